@@ -14,7 +14,8 @@ ANY_VALUE = (
     "arrayValue:string,kvlistValue:string>"
 )
 ATTRIBUTES = f"array<struct<key:string,value:{ANY_VALUE}>>"
-NESTING = 3
+# nested values deeper than this stay in their wrapped JSON form
+NESTING = 2
 
 
 def scalar_text(value: Column) -> Column:
@@ -26,7 +27,8 @@ def _json_text(value: Column, depth: int) -> Column:
     text = F.when(value["stringValue"].isNotNull(), F.to_json(F.array(value["stringValue"])))
     text = F.regexp_replace(text, r"^\[|\]$", "")
     plain = F.coalesce(text, value["intValue"], value["doubleValue"], value["boolValue"])
-    return F.coalesce(plain, nested_text(value, depth)) if depth > 0 else F.coalesce(plain, F.lit("null"))
+    deeper = nested_text(value, depth) if depth > 0 else F.coalesce(value["arrayValue"], value["kvlistValue"])
+    return F.coalesce(plain, deeper)
 
 
 def nested_text(value: Column, depth: int = NESTING) -> Column:

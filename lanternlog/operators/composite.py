@@ -28,6 +28,7 @@ from lanternlog.operators.windows import (
     with_window_statistics,
 )
 from lanternlog.params import DEFAULTS, Params
+from lanternlog.session import cut_lineage
 
 SUPPRESS_KEYS = ["tenant_id", "service", "pattern"]
 
@@ -37,7 +38,8 @@ def immediate_rows(logs: DataFrame, p: Params = DEFAULTS, history: DataFrame | N
 
     Candidates are reduced to the first row per key and second before the
     suppression windows are laid.  ``history`` holds the last emission of
-    each key (tenant_id, service, pattern, sec) of earlier runs.
+    each key (tenant_id, service, pattern, sec) of earlier runs.  The few
+    emitted rows are written out, because several later steps read them.
     """
     rows = with_signals(logs.select(*_needed(logs))).where("immediate")
     first = (
@@ -51,7 +53,7 @@ def immediate_rows(logs: DataFrame, p: Params = DEFAULTS, history: DataFrame | N
     openings = greedy_windows(marks, SUPPRESS_KEYS, p.immediate_dedup_seconds).where("sec = open_sec")
     if history is not None:
         openings = openings.join(history.select(*SUPPRESS_KEYS, "sec"), [*SUPPRESS_KEYS, "sec"], "left_anti")
-    return first.join(openings.select(*SUPPRESS_KEYS, "sec"), [*SUPPRESS_KEYS, "sec"])
+    return cut_lineage(first.join(openings.select(*SUPPRESS_KEYS, "sec"), [*SUPPRESS_KEYS, "sec"]), "emitted")
 
 
 def _needed(logs: DataFrame) -> list[str]:

@@ -10,6 +10,7 @@ from lanternlog.functions.signals import optional
 from lanternlog.functions.text import needed_tokens, tokens
 from lanternlog.operators.sequence import greedy_windows, running_counts, running_number
 from lanternlog.params import DEFAULTS, Params
+from lanternlog.session import cut_lineage
 
 KEYS = ["tenant_id", "dedup_key"]
 
@@ -65,10 +66,14 @@ def ticket_members(events: DataFrame, windows: DataFrame, p: Params = DEFAULTS)
 
 
 def open_tickets(events: DataFrame, p: Params = DEFAULTS, start_number: int = 0) -> DataFrame:
-    """One row per ticket: the opening event's fields, its group and its number."""
+    """One row per ticket: the opening event's fields, its group and its number.
+
+    The windows and the few events a ticket keeps are written out, so that
+    the events are read twice and not once per later step.
+    """
     keyed = keyed_events(events, p)
-    windows = ticket_windows(keyed, p)
-    members = ticket_members(keyed, windows, p)
+    windows = cut_lineage(ticket_windows(keyed, p), "ticket-windows")
+    members = cut_lineage(ticket_members(keyed, windows, p), "ticket-members")
     totals = windows.groupBy(*KEYS, "open_sec").agg(F.sum("n_events").alias("n_events"))
     opener = members.where(F.col("rank") == 1).drop("rank", "sec")
     extra = F.least(F.col("n_events") - 1, F.lit(p.ticket_group_size - 1))

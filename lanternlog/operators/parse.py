@@ -16,10 +16,8 @@ RECORD = (
     "struct<timeUnixNano:string,observedTimeUnixNano:string,severityNumber:int,severityText:string,"
     f"body:string,attributes:{ATTRIBUTES},traceId:string,spanId:string>"
 )
-RESOURCE_LOGS = (
-    f"array<struct<resource:struct<attributes:{ATTRIBUTES}>,"
-    f"scopeLogs:array<struct<scope:struct<name:string>,logRecords:array<{RECORD}>>>>>"
-)
+SCOPE_LOGS = f"struct<scope:struct<name:string>,logRecords:array<{RECORD}>>"
+RESOURCE_LOGS = f"array<struct<resource:struct<attributes:{ATTRIBUTES}>,scopeLogs:array<{SCOPE_LOGS}>>>"
 # Top-level fields of the four accepted forms; bodies stay raw text.
 MESSAGE = (
     f"resourceLogs {RESOURCE_LOGS}, body string, severityText string, timeUnixNano string, "
@@ -67,109 +65,141 @@ def with_route(raw: DataFrame) -> DataFrame:
     return parsed.withColumn("route", route)
 
 
-def dead_letters(routed: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """Rows that could not be read, with the reason and the original text."""
-    error = F.col("route") == "parse_error"
-    return routed.where(F.col("route").isin("parse_error", "unknown_format")).select(
-        F.lit(True).alias("_dlq"),
-        F.col("route").alias("reason"),
-        F.when(error, "malformed JSON").alias("error"),
-        F.lit(p.default_tenant).alias("tenant_id"),
-        F.current_timestamp().alias("timestamp"),
-        F.when(error, F.substring("value", 1, p.dlq_original_chars)).otherwise(F.col("value")).alias("original"),
-    )
+def _records(p_fields: Column) -> Column:
+    """Log records of a message as one array; a message without any readable form gives one empty record."""
+    m = F.col("m")
+    none = F.lit(None).cast("string")
 
+    def record(res, scope, r, text_time=none, service=none, message=none, fields=F.lit(None).cast("map<string,string>")):
+        return F.struct(
+            res.alias("res"), scope.alias("scope_name"), r["timeUnixNano"].alias("time"),
+            r["observedTimeUnixNano"].alias("observed"), r["severityText"].alias("severity"), r["body"].alias("body"),
+            r["attributes"].alias("attributes"), r["traceId"].alias("trace_id"), r["spanId"].alias("span_id"),
+            text_time.alias("text_time"), service.alias("field_service"), message.alias("field_message"),
+            fields.alias("fields"),
+        )
 
-def _record_rows(routed: DataFrame) -> DataFrame:
-    """One row per log record of batches and of single records."""
-    batch = (
-        routed.where(F.col("route") == "batch")
-        .select("value", F.posexplode("m.resourceLogs").alias("i", "rl"))
-        .select("value", "i", F.col("rl.resource.attributes").alias("res"), F.posexplode("rl.scopeLogs").alias("j", "sl"))
-        .select("value", "i", "j", "res", F.col("sl.scope.name").alias("scope_name"), F.posexplode("sl.logRecords").alias("k", "r"))
-        .select(
-            "value", F.concat_ws("/", "i", "j", "k").alias("pos"), "res", "scope_name", "r.*",
-            F.lit(None).cast("string").alias("text_time"), F.lit(None).cast("string").alias("field_service"),
-            F.lit(None).cast("string").alias("field_message"),
+    empty = F.array().cast(f"array<{RECORD}>")
+    batch = F.flatten(
+        F.transform(
+            m["resourceLogs"],
+            lambda rl: F.flatten(
+                F.transform(
+                    F.coalesce(rl["scopeLogs"], F.array().cast(f"array<{SCOPE_LOGS}>")),
+                    lambda sl: F.transform(
+                        F.coalesce(sl["logRecords"], empty),
+                        lambda r: record(rl["resource"]["attributes"], sl["scope"]["name"], r),
+                    ),
+                )
+            ),
         )
     )
-    single = routed.where(F.col("route") == "record").select(
-        "value", F.lit("0").alias("pos"), F.lit(None).cast(ATTRIBUTES).alias("res"),
-        F.lit(None).cast("string").alias("scope_name"),
-        "m.timeUnixNano", "m.observedTimeUnixNano", F.lit(None).cast("int").alias("severityNumber"), "m.severityText",
-        "m.body", "m.attributes", "m.traceId", "m.spanId",
-        F.coalesce("m.@timestamp", "m.timestamp").alias("text_time"), F.col("m.service").alias("field_service"),
-        F.col("m.message").alias("field_message"),
+    no_attributes = F.lit(None).cast(ATTRIBUTES)
+    single = F.array(
+        record(no_attributes, none, m, F.coalesce(m["@timestamp"], m["timestamp"]), m["service"], m["message"])
     )
-    return batch.unionByName(single)
-
-
-def body_text(body: Column, message: Column) -> Column:
-    """Message of a record: text value, plain text, message field, else the body itself."""
-    wrapped = F.get_json_object(body, "$.stringValue")
-    plain = F.when(~body.startswith("{"), body)
-    return F.coalesce(
-        F.nullif(wrapped, F.lit("")), F.nullif(plain, F.lit("")), F.nullif(message, F.lit("")),
-        F.when(body != "{}", body), F.lit("(no message)"),
+    canonical = F.array(record(no_attributes, none, m, fields=p_fields))
+    return (
+        F.when(F.col("route") == "batch", batch)
+        .when(F.col("route") == "canonical", canonical)
+        .otherwise(single)
     )
 
 
-def canonical_rows(routed: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """Canonical log rows of everything that could be read."""
-    rows = _record_rows(routed).withColumns({"ra": attribute_map("res"), "la": attribute_map("attributes")})
+def parsed_rows(raw: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """Canonical rows and dead letters of raw messages (column ``value``) in one table.
+
+    Every message is read once.  Dead letters have ``_dlq`` true, their
+    ``reason`` and ``original``, and no core columns.
+    """
+    fields = F.from_json("value", "map<string,string>")
+    rows = with_route(raw).select("value", "route", F.posexplode(_records(fields)).alias("pos", "r"))
+    rows = rows.select(
+        "value", "route", "pos", "r.*",
+        attribute_map(F.col("r.res")).alias("ra"), attribute_map(F.col("r.attributes")).alias("la"),
+    )
 
     def resource(name):
         return F.nullif(F.try_element_at("ra", F.lit(name)), F.lit(""))
 
+    def field(name):
+        return F.nullif(F.try_element_at("fields", F.lit(name)), F.lit(""))
+
+    dead = F.col("route").isin("parse_error", "unknown_format")
     time = F.coalesce(
-        nanos_to_ts(F.col("timeUnixNano")), nanos_to_ts(F.col("observedTimeUnixNano")),
-        F.try_to_timestamp("text_time"), F.current_timestamp(),
+        nanos_to_ts(F.col("time")), nanos_to_ts(F.col("observed")), F.try_to_timestamp("text_time"),
+        F.try_to_timestamp(field("@timestamp")), F.current_timestamp(),
     )
     rows = rows.withColumns(
         {
             "ts": time,
-            "trace_id": F.coalesce("traceId", F.lit("")),
-            "span_id": F.coalesce("spanId", F.lit("")),
-            "tenant_id": F.coalesce(resource("tenant_id"), F.lit(p.default_tenant)),
+            "trace": F.coalesce("trace_id", field("trace_id"), F.lit("")),
+            "span": F.coalesce("span_id", field("span_id"), F.lit("")),
+            "tenant_id": F.coalesce(resource("tenant_id"), field("tenant_id"), F.lit(p.default_tenant)),
         }
     )
-    empty = F.create_map().cast("map<string,string>")
-    log_attrs = F.map_filter(flat_names(F.coalesce("la", empty)), lambda k, v: ~k.isin(CORE_NAMES))
+    none = F.create_map().cast("map<string,string>")
+    log_attrs = F.map_filter(flat_names(F.coalesce("la", none)), lambda k, v: ~k.isin(CORE_NAMES))
     res_attrs = flat_names(
-        without_keys(F.coalesce("ra", empty), ["service.name", "tenant_id", "deployment.environment"]), "resource_"
+        without_keys(F.coalesce("ra", none), ["service.name", "tenant_id", "deployment.environment"]), "resource_"
     )
-    parsed = rows.select(
-        "ts",
-        log_id(F.col("trace_id"), F.col("span_id"), F.col("ts"), F.concat_ws("|", "value", "pos")).alias("log_id"),
-        nanos_to_ts(F.col("observedTimeUnixNano")).alias("observed_ts"),
-        normalize_level(F.col("severityText")).alias("level"),
-        body_text(F.col("body"), F.col("field_message")).alias("message"),
-        F.coalesce(
+    canonical = F.col("fields").isNotNull()
+    columns = {
+        "ts": F.col("ts"),
+        "log_id": F.coalesce(field("log_id"), log_id(F.col("trace"), F.col("span"), F.col("ts"), F.concat_ws("|", "value", "pos"))),
+        "observed_ts": F.coalesce(nanos_to_ts(F.col("observed")), F.try_to_timestamp(field("observed_timestamp"))),
+        "level": F.when(canonical, F.upper(field("level"))).otherwise(normalize_level(F.col("severity"))),
+        "message": F.when(canonical, F.coalesce(field("message"), F.lit("(no message)"))).otherwise(
+            body_text(F.col("body"), F.col("field_message"))
+        ),
+        "service": F.coalesce(
             resource("service.name"), F.nullif(F.try_element_at("la", F.lit("service.name")), F.lit("")),
-            F.nullif("field_service", F.lit("")), F.lit("unknown"),
-        ).alias("service"),
-        "tenant_id",
-        F.coalesce(resource("deployment.environment"), F.col("tenant_id")).alias("environment"),
-        "trace_id",
-        "span_id",
-        F.nullif("scope_name", F.lit("")).alias("scope_name"),
-        resource("host.name").alias("host_name"),
-        merge_attributes(log_attrs, res_attrs).alias("attrs"),
+            F.nullif("field_service", F.lit("")), field("service"), F.lit("unknown"),
+        ),
+        "tenant_id": F.col("tenant_id"),
+        "environment": F.coalesce(resource("deployment.environment"), field("environment"), F.col("tenant_id")),
+        "trace_id": F.col("trace"),
+        "span_id": F.col("span"),
+        "scope_name": F.coalesce(F.nullif("scope_name", F.lit("")), field("scope_name")),
+        "host_name": F.coalesce(resource("host.name"), field("host_name")),
+        "attrs": F.when(canonical, without_keys("fields", CORE_NAMES + ["timestamp"])).otherwise(
+            merge_attributes(log_attrs, res_attrs)
+        ),
+    }
+    broken = F.col("route") == "parse_error"
+    return rows.select(
+        *[F.when(~dead, c).alias(n) for n, c in columns.items() if n != "tenant_id"],
+        F.when(dead, F.lit(p.default_tenant)).otherwise(F.col("tenant_id")).alias("tenant_id"),
+        F.when(dead, F.lit(True)).alias("_dlq"),
+        F.when(dead, F.col("route")).alias("reason"),
+        F.when(broken, F.lit("malformed JSON")).alias("error"),
+        F.when(broken, F.substring("value", 1, p.dlq_original_chars)).when(dead, F.col("value")).alias("original"),
     )
-    return parsed.unionByName(_canonical_messages(routed, p))
 
 
-def merge_attributes(first: Column, second: Column) -> Column:
-    """Both maps; of equal keys the first one's value stays."""
-    return F.map_concat(first, F.map_filter(second, lambda k, v: ~F.array_contains(F.map_keys(first), k)))
+def good_rows(parsed: DataFrame) -> DataFrame:
+    return parsed.where(F.col("_dlq").isNull()).select(*CORE)
 
 
-def _canonical_messages(routed: DataFrame, p: Params) -> DataFrame:
-    """Messages that are canonical already; only a missing tenant is added."""
-    rows = routed.where(F.col("route") == "canonical").select(
-        F.from_json("value", "map<string,string>").alias("f")
+def dead_letters(parsed: DataFrame) -> DataFrame:
+    return parsed.where(F.col("_dlq").isNotNull()).select(
+        "_dlq", "reason", "error", "tenant_id", F.current_timestamp().alias("timestamp"), "original"
     )
-    return _from_fields(rows, p, keep_level=True)
+
+
+def body_text(body: Column, message: Column) -> Column:
+    """Message of a record: text value, plain text, message field, else the body itself."""
+    wrapped = F.get_json_object(body, "$.stringValue")
+    plain = F.when(~body.startswith("{"), body)
+    return F.coalesce(
+        F.nullif(wrapped, F.lit("")), F.nullif(plain, F.lit("")), F.nullif(message, F.lit("")),
+        F.when(body != "{}", body), F.lit("(no message)"),
+    )
+
+
+def merge_attributes(first: Column, second: Column) -> Column:
+    """Both maps; of equal keys the first one's value stays."""
+    return F.map_concat(first, F.map_filter(second, lambda k, v: ~F.array_contains(F.map_keys(first), k)))
 
 
 def flat_rows(rows: DataFrame, p: Params = DEFAULTS) -> DataFrame:
@@ -178,17 +208,13 @@ def flat_rows(rows: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     Level names are normalised, defaults fill what is missing, and fields
     that are not core columns become attributes.
     """
-    return _from_fields(rows, p, keep_level=False)
-
 
-def _from_fields(rows: DataFrame, p: Params, keep_level: bool) -> DataFrame:
     def field(name):
         return F.nullif(F.try_element_at("f", F.lit(name)), F.lit(""))
 
-    level = F.coalesce(field("level"), F.lit("INFO"))
-    text_time = F.coalesce(field("@timestamp"), field("timestamp"))
-    others = F.map_filter("f", lambda k, v: ~k.isin(CORE_NAMES + ["timestamp"]))
-    rows = rows.withColumn("ts", F.coalesce(F.try_to_timestamp(text_time), F.current_timestamp()))
+    rows = rows.withColumn(
+        "ts", F.coalesce(F.try_to_timestamp(F.coalesce(field("@timestamp"), field("timestamp"))), F.current_timestamp())
+    )
     trace = F.coalesce(field("trace_id"), F.lit(""))
     span = F.coalesce(field("span_id"), F.lit(""))
     tenant = F.coalesce(field("tenant_id"), F.lit(p.default_tenant))
@@ -196,7 +222,7 @@ def _from_fields(rows: DataFrame, p: Params, keep_level: bool) -> DataFrame:
         "ts",
         F.coalesce(field("log_id"), log_id(trace, span, F.col("ts"), F.to_json("f"))).alias("log_id"),
         F.try_to_timestamp(field("observed_timestamp")).alias("observed_ts"),
-        (F.upper(level) if keep_level else normalize_level(level)).alias("level"),
+        normalize_level(F.coalesce(field("level"), F.lit("INFO"))).alias("level"),
         F.coalesce(field("message"), F.lit("(no message)")).alias("message"),
         F.coalesce(field("service"), F.lit("unknown")).alias("service"),
         tenant.alias("tenant_id"),
@@ -204,17 +230,11 @@ def _from_fields(rows: DataFrame, p: Params, keep_level: bool) -> DataFrame:
         trace.alias("trace_id"),
         span.alias("span_id"),
         field("scope_name").alias("scope_name"),
-        field("host_name").alias("host_name"),
-        others.alias("attrs"),
+        F.coalesce(field("host_name"), field("host")).alias("host_name"),
+        without_keys("f", CORE_NAMES + ["timestamp", "host"]).alias("attrs"),
     )
 
 
-def parse(raw: DataFrame, p: Params = DEFAULTS) -> tuple[DataFrame, DataFrame]:
-    """(canonical rows, dead letters) of raw messages in column ``value``."""
-    routed = with_route(raw)
-    return canonical_rows(routed, p), dead_letters(routed, p)
-
-
 def scoring_columns(rows: DataFrame) -> DataFrame:
     """Attributes the scorers read, lifted to columns of canonical rows."""
     names = {

@@ -148,7 +148,7 @@ def otlp_roundtrip(spark, sf):
     """Logs encoded to batches and parsed back."""
     logs = log_view(spark, sf)
     raw = parse.to_batches(logs, attributes={"http.status_code": F.col("http_status"), "seq": F.col("log_seq")})
-    rows, _ = parse.parse(raw)
+    rows = parse.good_rows(parse.parsed_rows(raw))
     return rows.select(
         F.col("attrs")["seq"].cast("long").alias("log_seq"), epoch("ts"), "log_id", "level", "message", "service",
         "tenant_id", "environment", "trace_id", "span_id", F.col("attrs")["http_status_code"].alias("http_status"),
@@ -158,22 +158,16 @@ def otlp_roundtrip(spark, sf):
 @query
 def dlq_route(spark, sf):
     """Raw messages of five forms, by where they go."""
-    routed = parse.with_route(views.raw_messages(spark, sf))
-    good = parse.canonical_rows(routed)
-    bad = parse.dead_letters(routed)
-    a = good.groupBy(F.lit("log").alias("target"), F.lit("").alias("reason")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.length("message")).alias("chars")
-    )
-    b = bad.groupBy(F.lit("dlq").alias("target"), "reason").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.length("original")).alias("chars")
-    )
-    return a.unionByName(b)
+    rows = parse.parsed_rows(views.raw_messages(spark, sf))
+    return rows.groupBy(
+        F.when(F.col("_dlq"), "dlq").otherwise("log").alias("target"), F.coalesce("reason", F.lit("")).alias("reason")
+    ).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(F.coalesce("original", "message"))).alias("chars"))
 
 
 @query
 def parsed_messages(spark, sf):
     """Canonical rows of raw batches, single records and canonical messages."""
-    rows, _ = parse.parse(views.raw_messages(spark, sf))
+    rows = parse.good_rows(parse.parsed_rows(views.raw_messages(spark, sf)))
     return rows.select(
         "log_id", epoch("ts"), "level", "message", "service", "tenant_id", "environment", "scope_name", "trace_id",
         F.array_join(F.array_sort(F.map_keys("attrs")), ",").alias("attr_names"),
@@ -277,8 +271,7 @@ def erroring_services(spark, sf):
 def _event_columns(events):
     return events.select(
         "log_seq", "tenant_id", "service", "severity", "anomaly_score", "detection_mode", "error_category",
-        "error_template", F.round("z_score", 1).alias("z_score"), F.round("error_rate", 3).alias("error_rate"),
-        joined_map(F.transform_values("signal_weights", lambda k, v: F.round(v, 2))).alias("signals"),
+        "error_template", (F.col("z_score") + 0.0).alias("z_score"), "error_rate", joined_map(F.col("signal_weights")).alias("signals"),
         "window_buckets",
     )
 
