@@ -70,9 +70,15 @@ def attribute(attributes: Column, key: str) -> Column:
 def attribute_map(attributes: Column) -> Column:
     """Attribute list as a map; of equal keys the last one counts."""
     keys = F.transform(attributes, lambda a: F.coalesce(a["key"], F.lit("")))
-    indexed = F.transform(attributes, lambda a, i: F.struct(F.coalesce(a["key"], F.lit("")).alias("k"), a["value"].alias("v"), i.alias("i")))
-    kept = F.filter(indexed, lambda e: ~F.array_contains(F.slice(keys, e["i"] + 2, F.size(keys)), e["k"]))
-    return F.map_from_entries(F.transform(kept, lambda e: F.struct(e["k"], any_value(e["v"]))))
+    unique = F.size(F.array_distinct(keys)) == F.size(keys)
+    last = F.transform(
+        F.array_distinct(keys),
+        lambda k: F.element_at(F.filter(attributes, lambda a: F.coalesce(a["key"], F.lit("")) == k), -1),
+    )
+    kept = F.when(unique, attributes).otherwise(last)
+    return F.map_from_entries(
+        F.transform(kept, lambda a: F.struct(F.coalesce(a["key"], F.lit("")), any_value(a["value"])))
+    )
 
 
 def flat_names(values: Column, prefix: str = "") -> Column:

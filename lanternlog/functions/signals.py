@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lanternlog.functions import fixed
+from lanternlog.functions.numbers import round_exact
 from lanternlog.functions.text import error_category, is_error
 
 
@@ -141,7 +142,7 @@ def composite_score(statistical: Column | None = None, context: Column | None =
         if parts[name] is not None:
             total = total + F.coalesce(parts[name], F.lit(0.0)) * F.lit(weight)
     urgent = F.coalesce(F.col("sig_pattern").isin(fixed.IMMEDIATE_PATTERNS), F.lit(False))
-    return F.greatest(F.least(F.bround(total, 3), F.lit(1.0)), F.when(urgent, F.lit(floor)).otherwise(0.0))
+    return F.greatest(F.least(round_exact(total, 3), F.lit(1.0)), F.when(urgent, F.lit(floor)).otherwise(0.0))
 
 
 def composite_severity(score: Column) -> Column:
@@ -182,7 +183,7 @@ def signal_list(extra: dict[str, Column] | None = None, word_bound: bool = False
 
 def signal_map(signals: Column, digits: int = 3) -> Column:
     return F.map_from_entries(
-        F.transform(signals, lambda s: F.struct(s["name"], F.bround(s["weight"], digits)))
+        F.transform(signals, lambda s: F.struct(s["name"], round_exact(s["weight"], digits)))
     )
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lanternlog.functions.numbers import round_exact
 from lanternlog.functions.signals import (
     composite_score,
     composite_severity,
@@ -190,13 +191,13 @@ def anomaly_event(rows: DataFrame) -> DataFrame:
         "service",
         F.when(F.col("has_z"), spike_message).otherwise(signal_message).alias("message"),
         F.when(F.col("has_z"), spike_text).otherwise(signal_text).alias("description"),
-        F.bround("score", 2).alias("anomaly_score"),
+        round_exact(F.col("score"), 2).alias("anomaly_score"),
         F.coalesce(optional(rows, "endpoint"), F.lit("")).alias("affected_endpoint"),
         F.array("service").alias("affected_services"),
         F.lit("open").alias("status"),
         F.col("tenant_id").alias("environment"),
-        F.bround("z_score", 2).alias("z_score"),
-        F.bround("current_rate", 4).alias("error_rate"),
+        round_exact(F.col("z_score"), 2).alias("z_score"),
+        round_exact(F.col("current_rate"), 4).alias("error_rate"),
         "detection_mode",
         signal_map(F.col("signals")).alias("signal_weights"),
         error_template(F.col("message")).alias("error_template"),

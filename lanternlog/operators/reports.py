@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from lanternlog.functions.numbers import round_exact
 from lanternlog.functions.text import is_error
 from lanternlog.operators.search import where_equal
 from lanternlog.operators.sequence import exact_ranks
@@ -105,7 +106,7 @@ def time_to(incidents: DataFrame, now: Column | None = None, days: int = 30, ser
     )
 
     def minutes(c):
-        return F.bround(F.col(c) / 60e6, 1)
+        return round_exact(F.col(c) / 60e6, 1)
 
     return base.join(ranks.drop("n"), "metric").select(
         "metric", minutes("avg").alias("avg_minutes"), minutes("median").alias("median_minutes"),

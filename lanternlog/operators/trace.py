@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lanternlog.functions import fixed
+from lanternlog.functions.numbers import round_exact
 from lanternlog.functions.text import error_category, error_template, is_error
 from lanternlog.params import DEFAULTS, Params
 from lanternlog.session import cut_lineage
@@ -155,7 +156,7 @@ def blast_radius(edges: DataFrame, roots: DataFrame) -> DataFrame:
         .withColumn("affected_downstream", F.coalesce("affected_downstream", F.array().cast("array<string>")))
         .select(
             "tenant_id", "root", "affected_downstream",
-            F.bround(n / F.greatest(F.coalesce("total_services", F.lit(0)), F.lit(1)), 2).alias("impact_score"),
+            round_exact(n / F.greatest(F.coalesce("total_services", F.lit(0)), F.lit(1)), 2).alias("impact_score"),
             F.when(n > 3, "high").when(n > 1, "medium").otherwise("low").alias("estimated_user_impact"),
         )
     )

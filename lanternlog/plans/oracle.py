@@ -56,6 +56,16 @@ def words(text: str) -> str:
     )
 
 
+def _round(value: str, digits: int) -> str:
+    """Half-even rounding of the double's exact value, as the library rounds."""
+    k = f"{10**digits}::double"
+    high, low = "x::float::double", "(x - x::float::double)"
+    below = f"floor({high} * {k} + {low} * {k})"
+    beyond = f"(({high} * {k} - ({below} + 0.5::double)) + {low} * {k})"
+    up = f"case when {beyond} > 0 or ({beyond} = 0 and {below} % 2 <> 0) then 1 else 0 end"
+    return f"list_transform([({value})::double], lambda x: ({below} + {up}) / {k})[1]"
+
+
 def _weights(text: str) -> list[str]:
     return [
         f"case when {_rx(text, '(?i)' + r)} then struct_pack(name := 'pattern:{n}', weight := {w}::double) end"
@@ -85,7 +95,7 @@ def _score(statistical: str, context: str) -> str:
         f"coalesce({context}, 0) * 0.15::double + coalesce(http_w, 0) * 0.10::double + "
         f"coalesce(severity_w, 0) * 0.10::double + coalesce(structural_w, 0) * 0.10::double"
     )
-    return f"greatest(least(round_even({total}, 3), 1.0::double), case when {DYING} then 0.65::double else 0 end)"
+    return f"greatest(least({_round(total, 3)}, 1.0::double), case when {DYING} then 0.65::double else 0 end)"
 
 
 def _signal_list(extra=()) -> str:
@@ -99,8 +109,8 @@ def _signal_list(extra=()) -> str:
     return f"list_filter([{', '.join(parts)}], lambda s: s is not null)"
 
 
-def _signal_text(signals: str, digits: int | None = None) -> str:
-    w = "round_even(s.weight, 3)" if digits is None else f"round(round_even(s.weight, 3), {digits})"
+def _signal_text(signals: str) -> str:
+    w = _round("s.weight", 3)
     return f"array_to_string(list_sort(list_transform({signals}, lambda s: s.name || '=' || printf('%.3f', {w}))), ',')"
 
 
@@ -386,9 +396,9 @@ def _time_to(where: str = "true") -> str:
         for m, c in (("mttr", "res"), ("mtta", "ack"), ("mttm", "mit"))
     ]
     return f"""
-      select metric, round_even(avg(v), 1) as avg_minutes, round_even(max(v) filter (rn = n // 2 + 1), 1) as median_minutes,
-        round_even(max(v) filter (rn = case when n >= 5 then floor(n * 0.95::double)::bigint + 1 else n end), 1) as p95_minutes,
-        round_even(min(v), 1) as min_minutes, round_even(max(v), 1) as max_minutes, count(*) as sample_size
+      select metric, {_round('avg(v)', 1)} as avg_minutes, {_round('max(v) filter (rn = n // 2 + 1)', 1)} as median_minutes,
+        {_round('max(v) filter (rn = case when n >= 5 then floor(n * 0.95::double)::bigint + 1 else n end)', 1)} as p95_minutes,
+        {_round('min(v)', 1)} as min_minutes, {_round('max(v)', 1)} as max_minutes, count(*) as sample_size
       from (select *, row_number() over (partition by metric order by v) as rn, count(*) over (partition by metric) as n
             from ({' union all '.join(parts)})) group by metric"""
 
@@ -397,7 +407,7 @@ def _events(extra, mode: str, source: str, z: str, rate: str, buckets: str) -> s
     return f"""
       select log_seq, tenant_id, service,
         case when score >= 0.85 then 'critical' when score >= 0.65 then 'high' when score >= 0.45 then 'medium' else 'low' end as severity,
-        round_even(score, 2) as anomaly_score, '{mode}' as detection_mode, {category('message')} as error_category,
+        {_round('score', 2)} as anomaly_score, '{mode}' as detection_mode, {category('message')} as error_category,
         {template('message')} as error_template, {z} as z_score, {rate} as error_rate,
         {_signal_text(_signal_list(extra))} as signals, {buckets} as window_buckets
       from {source}"""
@@ -495,7 +505,7 @@ _BODIES: dict[str, str] = {
         "null::double", "0::double", "null::bigint"),
     "windowed_events": _events(
         [*STAT_SIGNALS, *CONTEXT_SIGNALS], "windowed", "scored where score >= 0.3",
-        "round_even(z_score, 2) + 0.0::double", "round_even(current_rate, 4)", "buckets"),
+        _round("z_score", 2) + " + 0.0::double", _round("current_rate", 4), "buckets"),
     "anomaly_union": f"""
       select anomaly_type, detection_mode, severity, count(*) as n from (
         select anomaly_type, detection_mode, severity from rules
@@ -534,8 +544,8 @@ _BODIES: dict[str, str] = {
         array_to_string(list_reverse(f.error_flow), '>') as chain, {category('l.message')} as category
       from flows f join logs l on l.log_seq = f.root_row""",
     "error_fingerprints": "select tenant_id, trace_id, trigger_level, error_message as error_template, trigger_category as error_category from fails",
-    "blast_radius": """
-      select tenant_id, root, coalesce(array_to_string(affected, ','), '') as affected, round_even(n / greatest(coalesce(total, 0), 1), 2) as impact_score,
+    "blast_radius": f"""
+      select tenant_id, root, coalesce(array_to_string(affected, ','), '') as affected, {_round("n / greatest(coalesce(total, 0), 1)", 2)} as impact_score,
         case when n > 3 then 'high' when n > 1 then 'medium' else 'low' end as estimated_user_impact from blast""",
     "request_failures": """
       select tenant_id, trace_id, severity, service, 'Request failure in ' || service || ' (' || error_category || ') causing cascade: '

@@ -187,9 +187,11 @@ def attr_flatten(spark, sf):
               '{"key":"kv","value":{"kvlistValue":{"values":[{"key":"a","value":{"boolValue":false}}]}}},'
               '{"key":"http.route","value":{"stringValue":"/last"}}]'),
     )
-    attrs = F.from_json(body, otlp.ATTRIBUTES)
-    flat = F.map_filter(otlp.flat_names(otlp.attribute_map(attrs)), lambda k, v: ~k.isin(parse.CORE_NAMES))
-    res = otlp.flat_names(otlp.attribute_map(attrs), "resource_")
+    logs = logs.select("log_seq", F.from_json(body, otlp.ATTRIBUTES).alias("attributes"))
+    attrs = F.col("attributes")
+    logs = logs.select("log_seq", "attributes", otlp.attribute_map(attrs).alias("m"))
+    flat = F.map_filter(otlp.flat_names(F.col("m")), lambda k, v: ~k.isin(parse.CORE_NAMES))
+    res = otlp.flat_names(F.col("m"), "resource_")
     merged = parse.merge_attributes(flat, res)
     line = F.array_join(
         F.array_sort(F.transform(F.map_entries(merged), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";"
