@@ -79,72 +79,91 @@ def greedy_windows(seconds: DataFrame, keys: list[str], length: int) -> DataFram
     Input: rows with the keys and ``sec``.  Output: one row per distinct
     (keys, sec) with ``open_sec``, the opening its window started at.
 
-    Each opening depends on the one before it, but only through where the
-    next window may open.  A day of a key is thus a function of one number
-    between 0 and ``length``; days are tabulated in parallel, chained over
-    the few days of a key, and then resolved in parallel.
+    A key's seconds are gathered by day, so a group never exceeds the seconds
+    of a day.  One day bears on the next only through where the next window
+    may open (``carry``: 0 to ``length`` seconds into the day), and only when
+    events lie near midnight on both sides.  Such days are tabulated for
+    every carry in parallel, chained, and then all days are resolved in
+    parallel.
     """
     if length > DAY:
         raise ValueError("window length is at most one day")
-    marks = seconds.select(*keys, "sec").distinct().withColumn("day", F.floor(F.col("sec") / DAY))
-    key_fields = ", ".join(f"`{k}` {seconds.schema[k].dataType.simpleString()}" for k in keys)
-    group = [*keys, "day"]
-
-    def tabulate(pdf: pd.DataFrame) -> pd.DataFrame:
-        secs = np.sort(pdf["sec"].to_numpy())
-        begin = int(pdf["day"].iloc[0]) * DAY
-        reach = begin + np.arange(length + 1)
-        while True:
-            pos = np.searchsorted(secs, reach)
-            live = pos < len(secs)
-            if not live.any():
-                break
-            reach = np.where(live, secs[np.minimum(pos, len(secs) - 1)] + length, reach)
-        out = pdf.iloc[[0]][group].copy()
-        out["table"] = [np.maximum(reach - begin - DAY, 0).astype("int32")]
-        return out
-
-    tables = marks.groupBy(*group).applyInPandas(tabulate, f"{key_fields}, day bigint, table array<int>")
+    days = (
+        seconds.select(*keys, "sec", F.floor(F.col("sec") / DAY).alias("day"))
+        .groupBy(*keys, "day")
+        .agg(F.array_sort(F.collect_set("sec")).alias("secs"))
+    )
+    begin = F.col("day") * DAY
+    resolved = days.join(_carries(days, keys, length), [*keys, "day"], "left").withColumn(
+        "carry", F.coalesce("carry", F.lit(0))
+    )
     start = F.struct(
-        F.lit(None).cast("bigint").alias("day"),
-        F.lit(0).alias("carry"),
-        F.array().cast("array<struct<day:bigint,carry:int>>").alias("out"),
+        (begin + F.col("carry")).alias("reach"),
+        F.when(F.col("carry") > 0, F.array(begin + F.col("carry") - length))
+        .otherwise(F.array().cast("array<bigint>"))
+        .alias("opens"),
     )
 
+    def step(acc, sec):
+        opened = F.struct((sec + length).alias("reach"), F.array_append(acc["opens"], sec).alias("opens"))
+        return F.when(sec >= acc["reach"], opened).otherwise(acc)
+
+    # openings are at least ``length`` apart, so a slot of that length holds at most one
+    by_slot = F.map_from_entries(
+        F.transform("opens", lambda o: F.struct(F.floor(o / length).alias("slot"), o.alias("open")))
+    )
+    slot = F.floor(F.col("sec") / length)
+    own = F.try_element_at("slots", slot)
+    return (
+        resolved.withColumn("opens", F.aggregate("secs", start, step)["opens"])
+        .select(*keys, by_slot.alias("slots"), F.explode("secs").alias("sec"))
+        .select(*keys, "sec", F.when(own <= F.col("sec"), own).otherwise(F.try_element_at("slots", slot - 1)).alias("open_sec"))
+    )
+
+
+def _carries(days: DataFrame, keys: list[str], length: int) -> DataFrame:
+    """(keys, day, carry) of the days a window of the day before can reach into."""
+    in_order = W.partitionBy(*keys).orderBy("day")
+    ends = days.select(*keys, "day", F.element_at("secs", 1).alias("first"), F.element_at("secs", -1).alias("last"))
+    begin = F.col("day") * DAY
+    reached = (
+        (F.lag("day").over(in_order) == F.col("day") - 1)
+        & (F.lag("last").over(in_order) + length > begin)
+        & (F.col("first") < begin + length)
+    )
+    ends = ends.withColumn("reached", F.coalesce(reached, F.lit(False)))
+    ends = ends.withColumn("reaches", F.coalesce(F.lead("reached").over(in_order), F.lit(False)))
+    chained = ends.where("reached or reaches").select(*keys, "day", "reached").join(days, [*keys, "day"])
+
+    @F.pandas_udf("array<int>")
+    def table(day: pd.Series, secs: pd.Series) -> pd.Series:
+        out = []
+        for d, s in zip(day, secs):
+            s, start = np.asarray(s), int(d) * DAY
+            reach = start + np.arange(length + 1)
+            while True:
+                pos = np.searchsorted(s, reach)
+                live = pos < len(s)
+                if not live.any():
+                    break
+                reach = np.where(live, s[np.minimum(pos, len(s) - 1)] + length, reach)
+            out.append(np.maximum(reach - start - DAY, 0).astype("int32"))
+        return pd.Series(out)
+
     def step(acc, cur):
-        carry = F.when(cur["day"] == acc["day"] + 1, acc["carry"]).otherwise(F.lit(0))
+        carry = F.when(cur["reached"], acc["carry"]).otherwise(F.lit(0))
         return F.struct(
-            cur["day"].alias("day"),
-            F.element_at(cur["table"], carry + 1).alias("carry"),
+            F.element_at(cur["exits"], carry + 1).alias("carry"),
             F.array_append(acc["out"], F.struct(cur["day"].alias("day"), carry.alias("carry"))).alias("out"),
         )
 
-    carries = (
-        tables.groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(F.struct("day", "table"))).alias("days"))
-        .select(*keys, F.inline(F.aggregate("days", start, step)["out"]))
-    )
-
-    def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sec")
-        secs = pdf["sec"].to_numpy()
-        reach = int(pdf["day"].iloc[0]) * DAY + int(pdf["carry"].iloc[0])
-        opens = [reach - length]
-        while True:
-            pos = int(np.searchsorted(secs, reach))
-            if pos == len(secs):
-                break
-            opens.append(int(secs[pos]))
-            reach = int(secs[pos]) + length
-        opens = np.array(opens)
-        out = pdf[[*keys, "sec"]].copy()
-        out["open_sec"] = opens[np.searchsorted(opens, secs, side="right") - 1]
-        return out
-
+    start = F.struct(F.lit(0).alias("carry"), F.array().cast("array<struct<day:bigint,carry:int>>").alias("out"))
     return (
-        marks.join(carries, group)
-        .groupBy(*group)
-        .applyInPandas(resolve, f"{key_fields}, sec bigint, open_sec bigint")
+        chained.select(*keys, "day", "reached", table("day", "secs").alias("exits"))
+        .groupBy(*keys)
+        .agg(F.array_sort(F.collect_list(F.struct("day", "reached", "exits"))).alias("chain"))
+        .select(*keys, F.inline(F.aggregate("chain", start, step)["out"]))
+        .where(F.col("carry") > 0)
     )
 
 
