@@ -423,6 +423,12 @@ def _uuid5(name: str) -> str:
 
 
 LOG_ID = _uuid5("trace_id || '|' || span_id || '|' || strftime(make_timestamp(epoch * 1000000), '%Y-%m-%dT%H:%M:%S') || '+00:00'")
+
+
+def _iso(epoch: str) -> str:
+    return f"strftime(make_timestamp({epoch} * 1000000), '%Y-%m-%dT%H:%M:%SZ')"
+
+
 DESCRIPTION = (
     "anomaly_type || ' anomaly detected in ' || service || ' (score=' || printf('%.2f', anomaly_score) || ', severity=' "
     "|| severity || '): ' || substr(message, 1, 200)"
@@ -714,6 +720,24 @@ _BODIES: dict[str, str] = {
     "schema_rejects": """
       select case when log_seq % 5 = 0 and log_seq % 7 = 0 then 'value:severity,range:anomaly_score' when log_seq % 5 = 0 then 'value:severity'
         else 'range:anomaly_score' end as broken, count(*) as n from rules where log_seq % 5 = 0 or log_seq % 7 = 0 group by all""",
+    "export_csv": f"""
+      select form, id, array_to_string(list_transform(cells, lambda c: case when regexp_matches(c, '[,"\n]') then '"' || replace(c, '"', '""') || '"' else c end), ',') as line
+      from (
+        select 'short' as form, id, [id, title, severity, state, service, {_iso('created_epoch')}, {_iso('created_epoch')}] as cells from inc
+        union all select 'long', id, [id, title, severity, state, service, priority, {_iso('created_epoch')}, '',
+          case when number % 5 >= 4 then (number % 50 * 180)::varchar else '' end, coalesce(root_cause, '')] from inc)
+      union all select 'markdown', id, '| ' || array_to_string([id, title, severity, state, service, {_iso('created_epoch')}], ' | ') || ' |' from inc""",
+    "archive_roundtrip": "select tenant_id, service, level, count(*) as n, sum(log_seq)::bigint as seq_sum from logs group by all",
+    "file_formats": """
+      select 'csv' as format, level, service, count(*) as n, sum(length(message))::bigint as chars from logs group by all
+      union all select 'ndjson', level, service, count(*), sum(length(message))::bigint from logs group by all
+      union all select 'text', 'INFO', 'unknown', count(*), sum(length(message))::bigint from logs""",
+    "daily_upsert": """
+      select 'logs-' || strftime(make_timestamp(epoch * 1000000), '%Y.%m.%d') as table_name, level, count(*) as n, count(*) as n_keys from logs group by all""",
+    "anomaly_store": """
+      select log_seq, case when log_seq % 2 = 0 then event_id
+          else substr(sha256('anomaly|' || service || '|' || (epoch * 1000000)::varchar), 1, 20) end as store_key,
+        strftime(make_timestamp(epoch * 1000000), '%Y-%m-%d') as day from rules""",
 }
 # failure_incidents numbers tickets over folds of failure keys; it is checked by a test instead.
 

@@ -13,6 +13,7 @@ from lanternlog.operators import (
 from lanternlog.params import Params
 from lanternlog.plans import views
 from lanternlog.session import work_path
+from lanternlog.sources import readers, writers
 from lanternlog.sources.logview import log_view, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -814,3 +815,75 @@ def schema_rejects(spark, sf):
     ).withColumn("anomaly_score", F.when(F.col("log_seq") % 7 == 0, 2.0).otherwise(F.col("anomaly_score")))
     r = quality.contract_rejects(ev, quality.ANOMALY_CONTRACT)
     return r.groupBy(F.array_join("broken_rules", ",").alias("broken")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- sources and sinks -------------------------------------------------------
+
+
+@query
+def export_csv(spark, sf):
+    """Incident export lines in three forms."""
+    inc = views.incidents(spark, sf)
+    short = writers.export_lines(inc).select(F.lit("short").alias("form"), "id", "line")
+    long = writers.export_lines(inc, writers.LONG_EXPORT).select(F.lit("long").alias("form"), "id", "line")
+    table_ = writers.export_markdown(inc).select(F.lit("markdown").alias("form"), "id", "line")
+    return short.unionByName(long).unionByName(table_)
+
+
+@query
+def archive_roundtrip(spark, sf):
+    """Messages archived by topic, day and hour, read back for one range and parsed."""
+    logs = log_view(spark, sf)
+    raw = parse.to_batches(logs, attributes={"seq": F.col("log_seq")})
+    stamp = F.get_json_object("value", "$.resourceLogs[0].scopeLogs[0].logRecords[0].timeUnixNano").cast("bigint")
+    messages = raw.withColumn("timestamp", F.timestamp_seconds(F.floor(stamp / 1e9)))
+    path = work_path(spark, "archive")
+    writers.write_archive(writers.archive_rows(messages, "raw-logs"), path)
+    back = readers.read_archive(spark, path, "raw-logs", F.timestamp_seconds(F.lit(SPARK_EPOCH)))
+    rows = parse.good_rows(parse.parsed_rows(back))
+    return rows.groupBy("tenant_id", "service", "level").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("attrs")["seq"].cast("bigint")).alias("seq_sum")
+    )
+
+
+@query
+def file_formats(spark, sf):
+    """Flat rows written as CSV, line JSON and text, read back by their format."""
+    logs = log_view(spark, sf)
+    flat = logs.select("message", "level", "service", writers.iso(F.col("ts")).alias("timestamp"))
+    base = work_path(spark, "files")
+    flat.write.option("header", True).option("escape", '"').csv(f"{base}/rows.csv")
+    flat.write.json(f"{base}/rows.ndjson")
+    flat.select("message").write.text(f"{base}/rows.txt")
+    out = None
+    for name in ("rows.csv", "rows.ndjson", "rows.txt"):
+        kind = readers.file_format(spark, f"{base}/{name}")
+        rows = parse.flat_rows(readers.read_log_files(spark, f"{base}/{name}", kind))
+        counted = rows.groupBy(F.lit(kind).alias("format"), "level", "service").agg(
+            F.count(F.lit(1)).alias("n"), F.sum(F.length("message")).alias("chars")
+        )
+        out = counted if out is None else out.unionByName(counted)
+    return out
+
+
+@query
+def daily_upsert(spark, sf):
+    """Logs stored twice by day; the second time adds nothing."""
+    logs = log_view(spark, sf).select("ts", "log_id", "tenant_id", "service", "level", "message", "trace_id", "span_id")
+    path = work_path(spark, "logs")
+    writers.upsert_daily(writers.with_log_key(logs.where("level <> 'INFO'")), path)
+    writers.upsert_daily(writers.with_log_key(logs), path)
+    stored = readers.read_dated(spark, path, F.timestamp_seconds(F.lit(SPARK_EPOCH)))
+    name = ids.dated_name("logs", F.col("ts"))
+    return stored.groupBy(name.alias("table_name"), "level").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("_key").alias("n_keys")
+    )
+
+
+@query
+def anomaly_store(spark, sf):
+    """Anomaly events with their storage keys; the fallback key where the id is missing."""
+    ev = rule_score.rule_score(log_view(spark, sf))
+    ev = ev.withColumn("event_id", F.when(F.col("log_seq") % 2 == 0, F.col("event_id")).otherwise(F.lit("")))
+    keyed = writers.with_anomaly_key(ev)
+    return keyed.select("log_seq", F.col("_key").alias("store_key"), F.col("dt").cast("string").alias("day"))
