@@ -112,6 +112,14 @@ def dependency_edges(traces: DataFrame) -> DataFrame:
     )
 
 
+def merge_edges(*parts: DataFrame) -> DataFrame:
+    """Dependency counts of several runs added up."""
+    rows = parts[0]
+    for other in parts[1:]:
+        rows = rows.unionByName(other.select(*rows.columns))
+    return rows.groupBy("tenant_id", "caller", "callee").agg(F.sum("n").alias("n"))
+
+
 def reach(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """Services reachable from each root along caller -> callee, root excluded.
 
@@ -173,10 +181,15 @@ def error_fingerprints(logs: DataFrame) -> DataFrame:
     )
 
 
-def request_failures(logs: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """One event per failed trace with flow, root cause and blast radius."""
-    traces = cut_lineage(with_causal_root(with_flow(timelines(logs, p))))
+def request_failures(logs: DataFrame, p: Params = DEFAULTS, known_edges: DataFrame | None = None) -> DataFrame:
+    """One event per failed trace with flow, root cause and blast radius.
+
+    ``known_edges`` adds service dependencies found in earlier runs.
+    """
+    traces = cut_lineage(with_causal_root(with_flow(timelines(logs, p))), "traces")
     edges = dependency_edges(traces)
+    if known_edges is not None:
+        edges = merge_edges(edges, known_edges)
     blast = blast_radius(edges, traces.select("tenant_id", F.col("root_cause_service").alias("root")))
     blast = blast.withColumnRenamed("root", "root_cause_service")
     joined = traces.join(error_fingerprints(logs), KEYS).join(blast, ["tenant_id", "root_cause_service"], "left")
