@@ -47,7 +47,8 @@ def apply_transitions(incidents: DataFrame, requests: DataFrame, text: str = "St
     First acknowledgement and mitigation times are kept, the last resolution
     time counts, and every change is appended to the timeline.
     """
-    joined = incidents.join(_requests(requests), "id", "left")
+    # a lambda would read a column that the select redefines from its new value
+    joined = incidents.join(_requests(requests), "id", "left").withColumnRenamed("state", "state_before")
     changed = F.col("changes").isNotNull()
     changes = F.coalesce("changes", F.array().cast("array<struct<at:timestamp,state:string,actor:string,message:string>>"))
 
@@ -55,7 +56,7 @@ def apply_transitions(incidents: DataFrame, requests: DataFrame, text: str = "St
         return F.transform(F.filter(changes, lambda c: c["state"] == state), lambda c: c["at"])
 
     def entry(c, i):
-        before = F.when(i == 0, F.col("state")).otherwise(F.try_element_at(changes, i)["state"])
+        before = F.when(i == 0, F.col("state_before")).otherwise(F.try_element_at(changes, i)["state"])
         message = F.coalesce(c["message"], F.concat(F.lit(text), before, F.lit(" -> "), c["state"]))
         return timeline_entry(c["at"], "state_change", c["state"], message, c["actor"], F.col("id"))
 
@@ -64,7 +65,7 @@ def apply_transitions(incidents: DataFrame, requests: DataFrame, text: str = "St
     return joined.select(
         *[F.col(c) for c in incidents.columns if c not in (
             "state", "updated_at", "acknowledged_at", "mitigated_at", "resolved_at", "timeline", "mttr_seconds")],
-        F.coalesce(last["state"], F.col("state")).alias("state"),
+        F.coalesce(last["state"], F.col("state_before")).alias("state"),
         F.coalesce(last["at"], F.col("updated_at")).alias("updated_at"),
         F.coalesce("acknowledged_at", F.try_element_at(times("acknowledged"), F.lit(1))).alias("acknowledged_at"),
         F.coalesce("mitigated_at", F.try_element_at(times("mitigated"), F.lit(1))).alias("mitigated_at"),
