@@ -46,7 +46,7 @@ def raw_anomalies(spark: SparkSession, servers: str, p: Params = DEFAULTS) -> Da
 
 def read_json_documents(spark: SparkSession, path: str) -> DataFrame:
     """JSON files that hold one object or an array of objects, as field maps."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     one = F.trim("value").startswith("{")
     objects = F.when(one, F.array(F.from_json("value", "map<string,string>"))).otherwise(
         F.from_json("value", "array<map<string,string>>")

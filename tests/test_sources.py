@@ -126,6 +126,7 @@ def test_contract_finds_unknown_columns(spark):
 
 
 def test_filters_reach_the_scan(spark, tmp_path):
+    spark.conf.set("spark.sql.maxMetadataStringLength", 1000)
     path = str(tmp_path / "t")
     logs(spark, [0, 1]).withColumns({"dt": F.to_date("ts"), "log_seq": F.lit(1)}).write.partitionBy("dt").parquet(path)
     found = search.search_logs(spark.read.parquet(path), tenant="ten", service="svc", start=F.lit(datetime(2024, 1, 2)), fields=["ts", "message"])
