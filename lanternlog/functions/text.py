@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
@@ -44,16 +45,12 @@ def template_key(template: Column) -> Column:
     return F.substring(F.md5(template), 1, 16)
 
 
-def keyword_regex(keywords: list[str]) -> str:
-    return "|".join(re.escape(k).replace(r"\ ", " ") for k in keywords)
-
-
 def first_keyword_class(text: Column, classes, default: Column) -> Column:
-    """Name of the first class with a keyword in the text, whatever its case."""
-    text = F.coalesce(text, F.lit(""))
+    """Name of the first class with a keyword in the lower-cased text."""
+    low = F.lower(F.coalesce(text, F.lit("")))
     out = None
     for name, keywords in classes:
-        hit = text.rlike("(?i)" + keyword_regex(keywords))
+        hit = reduce(lambda a, b: a | b, [low.contains(k) for k in keywords])
         out = F.when(hit, F.lit(name)) if out is None else out.when(hit, F.lit(name))
     return out.otherwise(default)
 

@@ -14,7 +14,7 @@ from lanternlog.params import Params
 from lanternlog.plans import views
 from lanternlog.session import work_path
 from lanternlog.sources import readers, writers
-from lanternlog.sources.logview import log_view, table
+from lanternlog.sources.logview import log_view, spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -97,7 +97,7 @@ def http_stack_signals(spark, sf):
 @query
 def document_signals(spark, sf):
     """Patterns and categories found in the whole document texts."""
-    docs = table(spark, sf, "documents").select("doc_id", "source", F.col("text").alias("message"), F.lit("ERROR").alias("level"))
+    docs = spread(table(spark, sf, "documents"), "doc_id").select("doc_id", "source", F.col("text").alias("message"), F.lit("ERROR").alias("level"))
     rows = signals.with_signals(docs)
     return rows.groupBy("source", "sig_pattern", "sig_category").agg(F.count(F.lit(1)).alias("n"))
 
@@ -131,7 +131,7 @@ def error_categories(spark, sf):
 @query
 def document_templates(spark, sf):
     """Template hash of every whole document text."""
-    docs = table(spark, sf, "documents")
+    docs = spread(table(spark, sf, "documents"), "doc_id")
     return docs.select("doc_id", text.template_key(text.error_template(F.col("text"))).alias("template_id"))
 
 
@@ -637,14 +637,14 @@ def search_logs(spark, sf):
 @query
 def search_fulltext(spark, sf):
     """Documents with any word of a query, over whole texts."""
-    docs = table(spark, sf, "documents")
+    docs = spread(table(spark, sf, "documents"), "doc_id")
     return search.full_text(docs, "license error password", ["text", "source"]).select("doc_id", "source", "n_chars")
 
 
 @query
 def search_60pct(spark, sf):
     """Documents with at least sixty percent of the query's words."""
-    docs = table(spark, sf, "documents")
+    docs = spread(table(spark, sf, "documents"), "doc_id")
     return search.share_text(docs, "the data and with error", ["text"]).select("doc_id", "lang")
 
 

@@ -43,8 +43,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows over all cores where the files give fewer splits than there are cores.
+
+    A table of many files or row groups is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def log_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    events = spread(events, "event_id")
     rows = spark.sql(
         f"select {VIEW_COLUMNS} from (select *, ({IS_ERR}) as is_err from {{events}})", events=events
     )
