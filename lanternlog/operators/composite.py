@@ -19,13 +19,15 @@ from lanternlog.functions.signals import (
     top_signals,
     with_signals,
 )
-from lanternlog.functions.text import error_category, error_template, template_key
+from lanternlog.functions.text import error_category, error_template, is_error, template_key
 from lanternlog.operators.sequence import greedy_windows
 from lanternlog.operators.windows import (
     blast_weight,
     erroring_services,
+    piece_context,
     recurrence,
     velocity_weight,
+    with_bucket_count,
     with_window_statistics,
 )
 from lanternlog.params import DEFAULTS, Params
@@ -48,6 +50,7 @@ def immediate_rows(logs: DataFrame, p: Params = DEFAULTS, history: DataFrame | N
         .groupBy(*SUPPRESS_KEYS, "sec")
         .agg(F.min(F.struct("ts", "log_seq"))["log_seq"].alias("log_seq"))
     )
+    first = cut_lineage(first, "candidates")
     marks = first.select(*SUPPRESS_KEYS, "sec")
     if history is not None:
         marks = marks.unionByName(history.select(*SUPPRESS_KEYS, "sec"))
@@ -109,21 +112,30 @@ def windowed_scores(
     error_history: DataFrame | None = None,
     template_history: DataFrame | None = None,
 ) -> DataFrame:
-    """All rows with enough buckets, their windowed signals and their score."""
+    """All rows with enough buckets, their windowed signals and their score.
+
+    The counts per piece of a bucket are written out once; the rows are then
+    shuffled once by piece, and the error rows once more, without the other
+    columns, to find new templates.
+    """
     emitted = immediate_rows(logs, p) if emitted is None else emitted
     base = logs.select(*_needed(logs))
-    stats = with_window_statistics(base, p, bucket_history)
-    services = erroring_services(base, p, error_history)
+    context = cut_lineage(piece_context(base, p, bucket_history), "context")
+    done = emitted.select("log_seq")
     rows = (
-        stats.join(emitted.select("log_seq"), "log_seq", "left_anti")
+        with_window_statistics(base, p, context=context)
+        .join(done, "log_seq", "left_anti")
         .where(F.col("buckets") >= p.min_buckets)
         .withColumn("sec", F.unix_seconds("ts"))
     )
     rows = with_signals(rows)
-    eligible = rows.where("is_error").select(
-        "tenant_id", "ts", "log_seq", template_key(error_template(F.col("message"))).alias("template_id")
+    services = erroring_services(base, p, error_history)
+    errors = base.where(is_error(F.col("level"))).select("tenant_id", "service", "ts", "log_seq", "message")
+    errors = with_bucket_count(errors, context, p).where(F.col("buckets") >= p.min_buckets)
+    novel = recurrence(
+        errors.join(done, "log_seq", "left_anti").withColumn("template_id", template_key(error_template(F.col("message")))),
+        template_history,
     )
-    novel = recurrence(eligible, template_history)
     rows = rows.join(services, ["tenant_id", "sec"], "left").join(novel, "log_seq", "left")
     rows = rows.withColumns(
         {

@@ -18,21 +18,23 @@ def _by_level(level: Column, position: int, default):
     return out.otherwise(F.lit(default))
 
 
-def rule_scores(logs: DataFrame) -> DataFrame:
-    """Add the score parts of every row, without a threshold."""
+def rule_scores(logs: DataFrame, threshold: float | None = None) -> DataFrame:
+    """Add the score parts of every row, of rows that reach the threshold when one is given."""
     level = F.upper(F.coalesce(F.col("level"), F.lit("INFO")))
     message = F.coalesce(F.col("message"), F.lit(""))
     level_type = _by_level(level, 2, "unknown")
+    level_score = _by_level(level, 1, 0.0)
     critical = message.rlike(fixed.RULE_CRITICAL)
     error = message.rlike(fixed.RULE_ERROR)
-    rows = logs.withColumn(
-        "rule_pattern", F.when(critical, "critical").when(error, "error")
+    pattern_score = (
+        F.when(critical, F.lit(fixed.RULE_CRITICAL_SCORE)).when(error, F.lit(fixed.RULE_ERROR_SCORE)).otherwise(F.lit(0.0))
     )
     anomaly_type = (
-        F.when(F.col("rule_pattern") == "critical", first_keyword_class(message, fixed.RULE_TYPES, level_type))
-        .when((F.col("rule_pattern") == "error") & level_type.isin("error", "unknown"), F.lit("request_failure"))
+        F.when(critical, first_keyword_class(message, fixed.RULE_TYPES, level_type))
+        .when(level_type.isin("error", "unknown") & error, F.lit("request_failure"))
         .otherwise(level_type)
     )
+    features, feature_limit = F.lit(0.0), 0.0
     if "ml_features" in logs.columns:
         rate = F.coalesce(F.col("ml_features.error_rate_1h"), F.lit(0.0))
         history = F.coalesce(F.col("ml_features.anomaly_history_count"), F.lit(0))
@@ -40,19 +42,19 @@ def rule_scores(logs: DataFrame) -> DataFrame:
         features = F.when(rate > fixed.RULE_ERROR_RATE_LIMIT, step).otherwise(0.0) + F.when(
             history > fixed.RULE_HISTORY_LIMIT, step
         ).otherwise(0.0)
-    else:
-        features = F.lit(0.0)
+        feature_limit = 2 * fixed.RULE_FEATURE_SCORE
+    rows = logs
+    if threshold is not None:
+        # most rows cannot reach the threshold by their level; no pattern is tried on them
+        best = level_score + F.lit(fixed.RULE_CRITICAL_SCORE + feature_limit + 1e-9)
+        rows = rows.where((best >= threshold) & (level_score + pattern_score + features >= threshold))
     return rows.withColumns(
         {
-            "severity_score": _by_level(level, 1, 0.0),
-            "pattern_score": F.when(F.col("rule_pattern") == "critical", F.lit(fixed.RULE_CRITICAL_SCORE))
-            .when(F.col("rule_pattern") == "error", F.lit(fixed.RULE_ERROR_SCORE))
-            .otherwise(F.lit(0.0)),
+            "severity_score": level_score,
+            "pattern_score": pattern_score,
             "ml_score": features,
             "anomaly_type": anomaly_type,
-            "detection_mode": F.when((level == "FATAL") | (F.col("rule_pattern") == "critical"), "immediate").otherwise(
-                "windowed"
-            ),
+            "detection_mode": F.when((level == "FATAL") | critical, "immediate").otherwise("windowed"),
         }
     ).withColumn("raw_score", F.col("severity_score") + F.col("pattern_score") + F.col("ml_score"))
 
@@ -66,7 +68,7 @@ def rule_score(logs: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     for flag in ("_dlq", "anomaly_score"):
         if flag in logs.columns:
             rows = rows.where(F.col(flag).isNull())
-    scored = rule_scores(rows).where(F.col("raw_score") >= p.rule_threshold)
+    scored = rule_scores(rows, p.rule_threshold)
     score = F.least(F.col("raw_score"), F.lit(1.0))
     severity = ladder(F.col("raw_score"), fixed.RULE_SEVERITY, "medium")
     span = optional(rows, "span_id")

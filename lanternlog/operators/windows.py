@@ -197,7 +197,7 @@ def error_templates(logs: DataFrame) -> DataFrame:
 
 def bucket_errors_zscore(context: DataFrame) -> DataFrame:
     """Window statistics of rows that carry a piece context and running counts."""
-    at_edge = (F.unix_micros("ts") == F.col("bucket") * 1000000) & (F.col("edge_n") > 0)
+    at_edge = _at_edge()
     rate = F.col("run_errors") / F.col("run_total")
     n = F.col("prev_n") + F.when(at_edge, 1).otherwise(0)
     total = F.col("prev_rate") + F.when(at_edge, F.col("edge_rate")).otherwise(0.0)
@@ -224,17 +224,33 @@ def bucket_errors_zscore(context: DataFrame) -> DataFrame:
     )
 
 
+PIECE_KEYS = [*KEYS, "bucket", "pc_sec", "pc_block"]
+
+
+def _with_piece(rows: DataFrame, p: Params) -> DataFrame:
+    return rows.withColumns(
+        {"bucket": bucket_start(p), "pc_sec": F.unix_seconds("ts"), "pc_block": F.shiftright("log_seq", PIECE_BITS)}
+    )
+
+
+def _at_edge() -> Column:
+    return (F.unix_micros("ts") == F.col("bucket") * 1000000) & (F.col("edge_n") > 0)
+
+
+def with_bucket_count(rows: DataFrame, context: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """Add only the number of buckets a row's window holds; no row is ordered for it."""
+    joined = _with_piece(rows, p).join(context.select(*PIECE_KEYS, "prev_n", "edge_n"), PIECE_KEYS)
+    buckets = F.col("prev_n") + F.when(_at_edge(), 1).otherwise(0) + 1
+    return joined.withColumn("buckets", buckets).drop("bucket", "pc_sec", "pc_block", "prev_n", "edge_n")
+
+
 def with_window_statistics(
     rows: DataFrame, p: Params = DEFAULTS, history: DataFrame | None = None, context: DataFrame | None = None
 ) -> DataFrame:
     """Add to every row its window statistics; rows are shuffled once, by piece."""
     context = piece_context(rows, p, history) if context is None else context
-    keys = [*KEYS, "bucket", "pc_sec", "pc_block"]
-    cut = rows.withColumns(
-        {"bucket": bucket_start(p), "pc_sec": F.unix_seconds("ts"), "pc_block": F.shiftright("log_seq", PIECE_BITS)}
-    )
-    inner = W.partitionBy(*keys).orderBy("ts", "log_seq").rowsBetween(W.unboundedPreceding, 0)
-    joined = cut.join(context, keys).withColumns(
+    inner = W.partitionBy(*PIECE_KEYS).orderBy("ts", "log_seq").rowsBetween(W.unboundedPreceding, 0)
+    joined = _with_piece(rows, p).join(context, PIECE_KEYS).withColumns(
         {
             "run_total": F.col("total_before") + F.count(F.lit(1)).over(inner),
             "run_errors": F.col("errors_before") + F.sum(is_error(F.col("level")).cast("int")).over(inner),
