@@ -330,6 +330,18 @@ CTES: dict[str, str] = {
     "fail_keys": """
       select *, service || ':request_failure:' || substr(md5(service || ':' || error_category || ':' || error_message), 1, 12) as dedup_key
       from fails where anomaly_score >= 0.5""",
+    "fopening": """
+      select tenant_id, dedup_key, min(epoch) as sec from fail_keys group by tenant_id, dedup_key
+      union all
+      select k.tenant_id, k.dedup_key, min(k.epoch) as sec from fopening o
+      join fail_keys k on k.tenant_id = o.tenant_id and k.dedup_key = o.dedup_key and k.epoch >= o.sec + 900
+      group by k.tenant_id, k.dedup_key""",
+    "ftickets": """
+      select *, row_number() over (order by epoch, event_id) as num from (
+        select k.*, row_number() over w as rank, count(*) over (partition by k.tenant_id, k.dedup_key, o.sec) as n_events
+        from fail_keys k asof join fopening o on k.tenant_id = o.tenant_id and k.dedup_key = o.dedup_key and k.epoch >= o.sec
+        window w as (partition by k.tenant_id, k.dedup_key, o.sec order by k.epoch, k.event_id))
+      where rank = 1""",
     "keyed": "select *, service || ':' || anomaly_type as dedup_key, epoch as sec from rules where anomaly_score >= 0.5",
     "opening": """
       select tenant_id, dedup_key, min(sec) as sec from keyed group by tenant_id, dedup_key
@@ -360,7 +372,7 @@ CTES: dict[str, str] = {
         case when log_seq % 17 = 0 then 'VERBOSE' when log_seq % 19 = 0 then '' else level end as level,
         log_seq % 23 = 0 as bad_time from logs""",
 }
-RECURSIVE = {"emission", "closure", "opening"}
+RECURSIVE = {"emission", "closure", "opening", "fopening"}
 
 
 def sql(body: str) -> str:
@@ -571,6 +583,17 @@ _BODIES: dict[str, str] = {
               (select count(*)::int from ev where ev.asked = t.log_seq) as n_evidence,
               (select max(epoch) from member m where m.tenant_id = t.tenant_id and m.dedup_key = t.dedup_key and m.open_sec = t.open_sec and m.rank <= 5) as updated_epoch
             from tickets t)""",
+    "failure_incidents": """
+      select 'TICK-' || lpad(num::varchar, 4, '0') as id, f.tenant_id, f.service,
+        case when f.severity = 'critical' then 'P1' else 'P2' end as priority,
+        substr('Request failure in ' || f.service || ': ' || error_category, 1, 200) as title,
+        f.service || ',request_failure,' || f.severity || case when error_category <> 'unknown' then ',' || error_category else '' end as tags,
+        error_category as error_type, least(n_events, 5)::int as n_traces, t.steps, least(n_events, 5) as similar_count, t.n_evidence
+      from ftickets f join (
+        select tenant_id, trace_id, count(*)::int as n_evidence, string_agg(
+          case when level in ('ERROR', 'FATAL') then service || ' fails: ' || substr(message, 1, 80)
+               else service || ': ' || substr(message, 1, 60) end, '|' order by log_seq) as steps
+        from trows group by all) t using (tenant_id, trace_id)""",
     "incident_evidence": """
       select i.id, count(*) as n, min(ev.log_seq) as oldest, max(ev.log_seq) as newest, sum(ev.log_seq)::bigint as seq_sum
       from inc i join ev on ev.asked = i.log_seq group by i.id""",
@@ -739,6 +762,4 @@ _BODIES: dict[str, str] = {
           else substr(sha256('anomaly|' || service || '|' || (epoch * 1000000)::varchar), 1, 20) end as store_key,
         strftime(make_timestamp(epoch * 1000000), '%Y-%m-%d') as day from rules""",
 }
-# failure_incidents numbers tickets over folds of failure keys; it is checked by a test instead.
-
 ORACLE: dict[str, str] = {name: sql(body) for name, body in _BODIES.items()}

@@ -10,7 +10,7 @@ from lanternlog.plans.oracle import ORACLE
 from lanternlog.plans.registry import QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-WITHOUT_SQL = {"failure_incidents"}
+WITHOUT_SQL = set()
 
 
 @pytest.fixture(scope="module")
