@@ -29,7 +29,7 @@ from .shingles import mixed
 
 LENGTH = 50
 GRAM = 16
-BLOCKS = 4
+BLOCKS = 6
 #: Bytes of records a bucket holds on average, and of text a part holds when spans are applied.
 BUCKET_BYTES = 6 << 20
 PART_BYTES = 6 << 20
