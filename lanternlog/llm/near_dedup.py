@@ -7,12 +7,14 @@ union estimates the similarity and filters far below the threshold; exact Jaccar
 Lists are worked off in rounds instead of pair by pair: a few leaders of each list are compared with the list's other
 classes, links are joined to components, and the next leaders come from outside the list's largest component. Classes
 that a component already joins are not compared again, so a group of thousands of copies costs one pass over its
-lists, while two classes in different components are always compared. Values that very many classes retain (shared
+lists, while two classes in different components are always compared. A class of a long list that holds many values of
+its own reaches only smaller sets, by the threshold; pairs out of reach, and classes that reach nothing, are left out.
+The first leader of a list is the class with the fewest values of its own, the likely source of the copies. Values that very many classes retain (shared
 passages) are looked at only for classes that consist mostly of them: by the threshold, any other class shares a rarer
 value of its sketch with each of its partners, and is found there.
 
-A pair at the threshold misses all ``index`` values with probability below 0.2 ** index (7e-12), and falls below the
-estimate's bound with probability below 1e-8; all else is exact.
+A pair is looked at if it shares three of the ``index`` values (fewer in small sets). At the threshold, it fails that
+with probability below 2e-8, and the estimate's bound with probability below 1e-8; all else is exact.
 
 Defined results: a null or wordless text has an empty set and links with nothing. A null id sorts before all others.
 Rows that repeat an id are texts of their own. An empty table gives an empty table. Columns other than ``doc_id`` and
@@ -47,7 +49,7 @@ def sketches(docs: DataFrame, words: int, k: int) -> DataFrame:
         for text in batch["text"]:
             found = shingle_set(text, words)
             out["n"].append(len(found))
-            out["node"].append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
+            out["node"].append(digest(found) if len(found) else None)
             out["sketch"].append(found[:k].view(np.int64))
         return out
 
@@ -60,8 +62,13 @@ def unshared(s: Column, k: int, percent: int) -> Column:
     return F.when(s * 100 <= k * percent, exact).otherwise(F.lit(36 * k // 64))
 
 
-def inverted_lists(classes: DataFrame, k: int, index: int, percent: int) -> DataFrame:
-    """Lists (value, node, n) of at least two classes."""
+def reach(n: Column, own: Column | int, percent: int) -> Column:
+    """The largest set that one of ``n`` values, ``own`` of which no other has, can be similar enough to."""
+    return F.floor((n - own) * (100 + percent) / percent - n)
+
+
+def inverted_lists(classes: DataFrame, docs: DataFrame, words: int, k: int, index: int, percent: int) -> DataFrame:
+    """Lists (value, node, n, reach) of at least two classes."""
 
     def shared(rows: DataFrame) -> DataFrame:
         counts = rows.groupBy("value").count().filter("count > 1")
@@ -70,15 +77,42 @@ def inverted_lists(classes: DataFrame, k: int, index: int, percent: int) -> Data
     lists = cut_lineage(shared(classes.select("node", "n", F.explode(F.slice("sketch", 1, index)).alias("value"))), "lists")
     short, long = lists.filter(F.col("count") <= SHORT), lists.filter(F.col("count") > SHORT)
     if long.isEmpty():
-        return short.drop("count")
+        return short.select("value", "node", "n", reach(F.col("n"), 0, percent).alias("reach"))
     wide = classes.join(long.select("node").distinct(), "node", "left_semi")
     wide = wide.select("node", "n", F.size("sketch").alias("s"), F.explode("sketch").alias("value"))
     wide = cut_lineage(shared(wide), "wide-lists")
     common = wide.filter(F.col("count") > SHORT).groupBy("node").agg(F.count(F.lit(1)).alias("common"), F.first("s").alias("s"))
     mostly = common.filter(F.col("s") - F.col("common") < unshared(F.col("s"), k, percent)).select("node")
-    rest = long.select("node", "n", "value").join(mostly, "node", "left_semi")
-    parts = [short.select("value", "node", "n"), wide.filter(F.col("count") <= SHORT).select("value", "node", "n"), rest.select("value", "node", "n")]
-    return cut_lineage(parts[0].unionByName(parts[1]).unionByName(parts[2]).distinct(), "work-lists")
+    mostly = cut_lineage(classes.join(mostly, "node", "left_semi").select("node", "n", "rep"), "mostly-common")
+    own = set_values(docs, mostly, words).groupBy("value").agg(F.count(F.lit(1)).alias("count"), F.min("node").alias("node"))
+    own = own.filter("count = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+    far = reach(F.col("n"), F.coalesce("own", F.lit(0)), percent)
+    viable = mostly.join(own, "node", "left").select("node", far.alias("reach"), (F.col("n") * percent).alias("least"))
+    viable = viable.filter(F.col("reach") * 100 >= F.col("least")).drop("least")
+    rest = long.select("value", "node", "n").join(viable, "node").select("value", "node", "n", "reach")
+    wide = wide.filter(F.col("count") <= SHORT)
+    plain = short.select("value", "node", "n").unionByName(wide.select("value", "node", "n")).distinct()
+    return cut_lineage(plain.withColumn("reach", reach(F.col("n"), 0, percent)).unionByName(rest), "work-lists")
+
+
+def set_values(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """(value, node) of the full sets of the classes in ``nodes`` (node, rep)."""
+    texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("rep"), "text").join(nodes.select("node", "rep"), "rep")
+
+    def values(batch: dict) -> dict:
+        out = {"value": [], "node": []}
+        for node, text in zip(batch["node"], batch["text"]):
+            found = shingle_set(text, words)
+            if digest(found) == node:
+                out["value"] += found.view(np.int64).tolist()
+                out["node"] += [node] * len(found)
+        return out
+
+    return arrow_map(texts.select("node", "text"), values, "value bigint, node binary")
+
+
+def digest(found: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(found.tobytes())
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int, k: int) -> DataFrame:
@@ -113,17 +147,23 @@ def unsigned(value: Column) -> Column:
     return value.bitwiseXOR(F.lit(NO_ID))
 
 
-def link_classes(classes: DataFrame, texts: DataFrame, lists: DataFrame, words: int, percent: int, k: int) -> DataFrame:
+def link_classes(classes: DataFrame, texts: DataFrame, lists: DataFrame, words: int, percent: int, k: int, index: int) -> DataFrame:
     """(node, root) of the classes that have links."""
-    near = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
-    leaders = lists.groupBy("value").agg(F.min_by(F.struct("node", "n"), "node").alias("l"))
-    leaders = leaders.select("value", F.col("l.node").alias("leader"), F.col("l.n").alias("m"))
+    near = (F.col("n") <= F.col("leader_reach")) & (F.col("m") <= F.col("reach"))
+    heads = classes.select("node", F.slice("sketch", 1, index).alias("head"))
+    lists = cut_lineage(lists.join(heads, "node"), "lists-with-heads")
+    few = F.greatest(F.lit(1), F.floor(F.least(F.size("head"), F.size("leader_head")) / 5))
+    near = near & (F.size(F.array_intersect("head", "leader_head")) >= few)
+    central = F.struct((F.col("n") - F.col("reach")).alias("gap"), "node")
+    leaders = lists.groupBy("value").agg(F.min_by(F.struct("node", "n", "reach", "head"), central).alias("l"))
+    leaders = leaders.select("value", F.col("l.node").alias("leader"), F.col("l.n").alias("m"), F.col("l.reach").alias("leader_reach"), F.col("l.head").alias("leader_head"))
     done, links, roots, many = None, None, None, SHORT
     while True:
         pairs = lists.withColumn("root", F.col("node")) if roots is None else with_roots(lists, roots)
         asked = leaders if roots is None else with_roots(leaders.withColumnRenamed("leader", "node"), roots)
         asked = asked.withColumn("leader_root", F.col("leader")) if roots is None else asked.withColumnsRenamed({"node": "leader", "root": "leader_root"})
-        pairs = pairs.join(asked, "value").filter((F.col("root") != F.col("leader_root")) & near)
+        other = (F.col("root") != F.col("leader_root")) & near
+        pairs = pairs.join(asked.withColumnRenamed("value", "led"), (F.col("value") == F.col("led")) & other)
         pairs = pairs.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
         found = cut_lineage(confirmed(pairs, classes, texts, words, percent, k), "links")
         links = found if links is None else links.unionByName(found)
@@ -132,7 +172,7 @@ def link_classes(classes: DataFrame, texts: DataFrame, lists: DataFrame, words:
         leaders = cut_lineage(next_leaders(lists, roots, done, many), "leaders")
         if leaders.isEmpty():
             return roots
-        many *= 8
+        many *= 16
 
 
 def with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -146,8 +186,10 @@ def next_leaders(lists: DataFrame, roots: DataFrame, done: DataFrame, many: int)
     largest = parts.groupBy("value").agg(F.max(F.struct("part", "root")).alias("top"), F.count(F.lit(1)).alias("parts"))
     open_ = placed.join(largest.filter("parts > 1").select("value", F.col("top.root").alias("top")), "value").filter("root != top")
     open_ = open_.join(done.withColumnRenamed("leader", "node"), ["value", "node"], "left_anti")
-    order = Window.partitionBy("value").orderBy("node")
-    return open_.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= many).select("value", F.col("node").alias("leader"), F.col("n").alias("m"))
+    order = Window.partitionBy("value").orderBy(F.col("n") - F.col("reach"), "node")
+    open_ = open_.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= many)
+    renamed = {"node": "leader", "n": "m", "reach": "leader_reach", "head": "leader_head"}
+    return open_.select("value", *[F.col(c).alias(to) for c, to in renamed.items()])
 
 
 def near_duplicates(
@@ -160,11 +202,11 @@ def near_duplicates(
         F.min(known).alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")
     )
     classes = cut_lineage(classes, "classes")
-    lists = inverted_lists(classes, k, index, percent)
+    lists = inverted_lists(classes, docs, words, k, index, percent)
     asked = classes.join(lists.select("node").distinct(), "node", "left_semi").select("node", "rep")
     texts = docs.select(known.alias("rep"), "text").join(asked, "rep")
-    texts = cut_lineage(texts_of(texts, words).dropDuplicates(["node"]), "texts")
-    roots = link_classes(classes, texts, lists, words, percent, k)
+    texts = cut_lineage(texts_of(texts, words), "texts")
+    roots = link_classes(classes, texts, lists, words, percent, k, index)
 
     placed = with_roots(classes.select("node", "rep"), roots)
     least = placed.groupBy("root").agg(F.min("rep").alias("component"))
@@ -177,12 +219,12 @@ def near_duplicates(
 
 
 def texts_of(rows: DataFrame, words: int) -> DataFrame:
-    """The rows (node, text) whose text has that node's set; a repeated id may bring others along."""
+    """The rows (node, text) whose text has that node's set; a repeated id may bring others along, or the same twice."""
 
     def own(batch: dict) -> dict:
         out = {"node": [], "text": []}
         for node, text in zip(batch["node"], batch["text"]):
-            if xxhash.xxh3_128_digest(shingle_set(text, words).tobytes()) == node:
+            if digest(shingle_set(text, words)) == node:
                 out["node"].append(node)
                 out["text"].append(text)
         return out
