@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import chat, classifier, exact_dedup, html_text, line_dedup, mixing, near_dedup, packing, quality_rules, suffix_dedup
+from .oracle import ORACLE  # noqa: F401
 
 #: Both turns of the conversation that is added to the table.
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
@@ -79,4 +80,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_quality_scores,
     )
 }
-ORACLE: dict[str, str] = {}
