@@ -52,7 +52,8 @@ def apportion(parties: DataFrame, group: list[str], party: list[str]) -> DataFra
 
     ``parties`` has ``votes``, ``most`` (seats a party can hold) and ``seats`` (of the whole group). Seats that every
     divisor near the right one gives are counted in closed form, so that only a few quotients of each party are
-    ranked. Ties go to the party that sorts first. Seats beyond what all parties can hold are not given.
+    ranked. Ties go to the party that sorts first. Seats that a full party cannot take pass to the others; seats that
+    these cannot take either are not given.
     """
     whole = Window.partitionBy(*group)
     k, votes = F.count(F.lit(1)).over(whole), F.sum("votes").over(whole)
@@ -61,7 +62,10 @@ def apportion(parties: DataFrame, group: list[str], party: list[str]) -> DataFra
         return F.when((twice > 0) & (votes > 0), F.floor((F.col("votes") * twice / votes + 1) / 2)).otherwise(0)
 
     rows = parties.withColumn("sure", F.least("most", at(2 * F.col("seats") - k)))
-    rows = rows.withColumn("top", F.greatest("sure", F.least(F.col("most"), at(2 * F.col("seats") + 5 * k) + 1)))
+    rows = rows.withColumn("over", F.coalesce(F.col("votes") * F.col("seats") / F.nullif(votes, F.lit(0.0)), F.lit(0.0)) - F.col("most"))
+    lost, free = F.sum(F.greatest(F.lit(0.0), "over")).over(whole), F.sum(F.when(F.col("over") <= 0, F.col("votes"))).over(whole)
+    more = F.ceil(F.coalesce(4 * lost * votes / free, F.lit(0.0)))
+    rows = rows.withColumn("top", F.greatest("sure", F.least(F.col("most"), at(2 * F.col("seats") + 5 * k + more) + 1)))
     rows = rows.withColumn("open", F.col("seats") - F.sum("sure").over(whole))
     seat = F.explode_outer(F.when(F.col("top") > F.col("sure"), F.sequence(F.col("sure"), F.col("top") - 1)))
     ranked = rows.withColumn("seat", seat).withColumn("quotient", F.col("votes") / (2 * F.col("seat") + 1))
