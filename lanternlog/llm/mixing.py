@@ -64,7 +64,7 @@ def apportion(parties: DataFrame, group: list[str], party: list[str]) -> DataFra
     rows = parties.withColumn("sure", F.least("most", at(2 * F.col("seats") - k)))
     rows = rows.withColumn("over", F.coalesce(F.col("votes") * F.col("seats") / F.nullif(votes, F.lit(0.0)), F.lit(0.0)) - F.col("most"))
     lost, free = F.sum(F.greatest(F.lit(0.0), "over")).over(whole), F.sum(F.when(F.col("over") <= 0, F.col("votes"))).over(whole)
-    more = F.ceil(F.coalesce(4 * lost * votes / free, F.lit(0.0)))
+    more = F.ceil(F.coalesce(4 * lost * votes / F.nullif(free, F.lit(0.0)), F.lit(0.0)))
     rows = rows.withColumn("top", F.greatest("sure", F.least(F.col("most"), at(2 * F.col("seats") + 5 * k + more) + 1)))
     rows = rows.withColumn("open", F.col("seats") - F.sum("sure").over(whole))
     seat = F.explode_outer(F.when(F.col("top") > F.col("sure"), F.sequence(F.col("sure"), F.col("top") - 1)))
