@@ -27,7 +27,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import NO_ID, arrow_map, cut_lineage
+from .common import NO_ID, arrow_map, cut_lineage, release
 from .components import components
 from .shingles import shingle_set
 
@@ -169,6 +169,7 @@ def link_classes(classes: DataFrame, texts: DataFrame, lists: DataFrame, words:
         links = found if links is None else links.unionByName(found)
         done = leaders.select("value", "leader") if done is None else done.unionByName(leaders.select("value", "leader"))
         roots = components(links)
+        release(lists.sparkSession)
         leaders = cut_lineage(next_leaders(lists, roots, done, many), "leaders")
         if leaders.isEmpty():
             return roots
@@ -206,6 +207,7 @@ def near_duplicates(
     asked = classes.join(lists.select("node").distinct(), "node", "left_semi").select("node", "rep")
     texts = docs.select(known.alias("rep"), "text").join(asked, "rep")
     texts = cut_lineage(texts_of(texts, words), "texts")
+    release(docs.sparkSession)
     roots = link_classes(classes, texts, lists, words, percent, k, index)
 
     placed = with_roots(classes.select("node", "rep"), roots)
