@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -51,3 +52,15 @@ def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that are no longer held."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete work tables of ``cut_lineage`` that no later step reads."""
+    for table in tables:
+        spark = table.sparkSession
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            if not re.search(r"/lanternlog/[\w-]+-[0-9a-f]{32}$", folder):
+                raise ValueError(f"{folder} is not a work table")
+            path = hadoop(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -4,6 +4,11 @@ A document's set is its hashed word shingles; its sketch the ``k`` smallest hash
 classes are compared. Inverted lists of the ``index`` smallest values give candidates. The bottom-k sketch of a pair's
 union estimates the similarity and filters far below the threshold; exact Jaccard on the full sets decides.
 
+A class also has a parity sketch: one bit for each of ``BITS`` cells, set if an odd number of its values fall there.
+Two classes differ in at least as many values as their parities in bits, so a pair with too many such bits is below the
+threshold for certain, whatever its size; most pairs of a group whose copies have several edits each end here. Of the
+lists that two classes share, only the one of the smallest value compares them.
+
 Lists are worked off in rounds instead of pair by pair: a few leaders of each list are compared with the list's other
 classes, links are joined to components, and the next leaders come from outside the list's largest component. Classes
 that a component already joins are not compared again, so a group of thousands of copies costs one pass over its
@@ -25,9 +30,10 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import NO_ID, arrow_map, cut_lineage, release
+from .common import NO_ID, arrow_map, cut_lineage, discard, release
 from .components import components
 from .shingles import shingle_set
 
@@ -39,21 +45,30 @@ INDEX = 16
 SHORT = 32
 #: Share of a union sketch that must be common before sets are compared; 6 standard deviations below 0.8.
 ESTIMATE = 0.5
+#: Cells of the parity sketch.
+BITS = 512
 
 
 def sketches(docs: DataFrame, words: int, k: int) -> DataFrame:
-    """One row per row of ``docs``: id, n, node (digest of the set) and sketch."""
+    """One row per row of ``docs``: id, n, node (digest of the set), sketch and parity."""
 
     def rows(batch: dict) -> dict:
-        out = {"doc_id": batch["doc_id"], "n": [], "node": [], "sketch": []}
+        out = {"doc_id": batch["doc_id"], "n": [], "node": [], "sketch": [], "parity": []}
         for text in batch["text"]:
             found = shingle_set(text, words)
             out["n"].append(len(found))
             out["node"].append(digest(found) if len(found) else None)
             out["sketch"].append(found[:k].view(np.int64))
+            out["parity"].append(parity(found))
         return out
 
-    return arrow_map(docs.select("doc_id", "text"), rows, "doc_id bigint, n bigint, node binary, sketch array<bigint>")
+    schema = "doc_id bigint, n bigint, node binary, sketch array<bigint>, parity array<bigint>"
+    return arrow_map(docs.select("doc_id", "text"), rows, schema)
+
+
+def parity(found: np.ndarray) -> np.ndarray:
+    cells = np.bincount((found % np.uint64(BITS)).astype(np.int64), minlength=BITS)
+    return np.packbits(cells % 2 == 1).view(np.int64)
 
 
 def unshared(s: Column, k: int, percent: int) -> Column:
@@ -67,46 +82,45 @@ def reach(n: Column, own: Column | int, percent: int) -> Column:
     return F.floor((n - own) * (100 + percent) / percent - n)
 
 
-def inverted_lists(classes: DataFrame, docs: DataFrame, words: int, k: int, index: int, percent: int) -> DataFrame:
-    """Lists (value, node, n, reach) of at least two classes."""
+def shared(rows: DataFrame) -> DataFrame:
+    """The rows whose value two classes hold, with the number of its classes."""
+    return rows.join(rows.groupBy("value").count().filter("count > 1"), "value")
 
-    def shared(rows: DataFrame) -> DataFrame:
-        counts = rows.groupBy("value").count().filter("count > 1")
-        return rows.join(counts, "value")
 
-    lists = cut_lineage(shared(classes.select("node", "n", F.explode(F.slice("sketch", 1, index)).alias("value"))), "lists")
-    short, long = lists.filter(F.col("count") <= SHORT), lists.filter(F.col("count") > SHORT)
+def inverted_lists(classes: DataFrame, plain: DataFrame, texts: DataFrame, words: int, k: int, percent: int) -> DataFrame:
+    """Lists (value, node, n, reach) of at least two classes, from those of the index (``plain``)."""
+    short, long = plain.filter(F.col("count") <= SHORT), plain.filter(F.col("count") > SHORT)
     if long.isEmpty():
         return short.select("value", "node", "n", reach(F.col("n"), 0, percent).alias("reach"))
     wide = classes.join(long.select("node").distinct(), "node", "left_semi")
     wide = wide.select("node", "n", F.size("sketch").alias("s"), F.explode("sketch").alias("value"))
     wide = cut_lineage(shared(wide), "wide-lists")
-    common = wide.filter(F.col("count") > SHORT).groupBy("node").agg(F.count(F.lit(1)).alias("common"), F.first("s").alias("s"))
-    mostly = common.filter(F.col("s") - F.col("common") < unshared(F.col("s"), k, percent)).select("node")
-    mostly = cut_lineage(classes.join(mostly, "node", "left_semi").select("node", "n", "rep"), "mostly-common")
-    own = set_values(docs, mostly, words).groupBy("value").agg(F.count(F.lit(1)).alias("count"), F.min("node").alias("node"))
+    common = wide.filter(F.col("count") > SHORT).groupBy("node").agg(F.count(F.lit(1)).alias("common"), F.first("s").alias("s"), F.first("n").alias("n"))
+    mostly = common.filter(F.col("s") - F.col("common") < unshared(F.col("s"), k, percent)).select("node", "n")
+    mostly = cut_lineage(mostly, "mostly-common")
+    own = set_values(texts.join(mostly.select("node"), "node"), words).groupBy("value")
+    own = own.agg(F.count(F.lit(1)).alias("count"), F.min("node").alias("node"))
     own = own.filter("count = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
     far = reach(F.col("n"), F.coalesce("own", F.lit(0)), percent)
     viable = mostly.join(own, "node", "left").select("node", far.alias("reach"), (F.col("n") * percent).alias("least"))
     viable = viable.filter(F.col("reach") * 100 >= F.col("least")).drop("least")
     rest = long.select("value", "node", "n").join(viable, "node").select("value", "node", "n", "reach")
-    wide = wide.filter(F.col("count") <= SHORT)
-    plain = short.select("value", "node", "n").unionByName(wide.select("value", "node", "n")).distinct()
-    return cut_lineage(plain.withColumn("reach", reach(F.col("n"), 0, percent)).unionByName(rest), "work-lists")
+    rare = wide.filter(F.col("count") <= SHORT).select("value", "node", "n")
+    rare = short.select("value", "node", "n").unionByName(rare).distinct()
+    lists = cut_lineage(rare.withColumn("reach", reach(F.col("n"), 0, percent)).unionByName(rest), "work-lists")
+    discard(wide, mostly)
+    return lists
 
 
-def set_values(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """(value, node) of the full sets of the classes in ``nodes`` (node, rep)."""
-    texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("rep"), "text").join(nodes.select("node", "rep"), "rep")
+def set_values(texts: DataFrame, words: int) -> DataFrame:
+    """(value, node) of the full sets of some ``texts``."""
 
     def values(batch: dict) -> dict:
-        out = {"value": [], "node": []}
-        for node, text in zip(batch["node"], batch["text"]):
-            found = shingle_set(text, words)
-            if digest(found) == node:
-                out["value"] += found.view(np.int64).tolist()
-                out["node"] += [node] * len(found)
-        return out
+        sets = [shingle_set(unpacked(text), words) for text in batch["text"]]
+        return {
+            "value": np.concatenate([x.view(np.int64) for x in sets]) if sets else [],
+            "node": [node for node, x in zip(batch["node"], sets) for _ in range(len(x))],
+        }
 
     return arrow_map(texts.select("node", "text"), values, "value bigint, node binary")
 
@@ -115,48 +129,55 @@ def digest(found: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(found.tobytes())
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int, k: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    sketch = classes.select("node", "sketch")
+def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int, k: int) -> DataFrame:
+    """The pairs (a, b) that the sketch of their union lets pass and whose full sets are similar enough."""
     for side in "ab":
-        pairs = pairs.join(sketch.withColumnsRenamed({"node": side, "sketch": f"sketch_{side}"}), side)
-    union = F.slice(F.array_sort(F.transform(F.array_union("sketch_a", "sketch_b"), unsigned)), 1, k)
-    both = F.array_intersect(union, F.transform(F.array_intersect("sketch_a", "sketch_b"), unsigned))
-    likely = pairs.filter(F.size(both) >= ESTIMATE * F.size(union)).select("a", "b")
-    for side in "ab":
-        likely = likely.join(texts.withColumnsRenamed({"node": side, "text": f"text_{side}"}), side)
+        pairs = pairs.join(texts.withColumnsRenamed({"node": side, "text": f"text_{side}"}), side)
 
     def rows(batch: dict) -> dict:
         out = {"a": [], "b": []}
-        last, left = None, None
-        for a, b, text_a, text_b in zip(batch["a"], batch["b"], batch["text_a"], batch["text_b"]):
-            if a != last:
-                last, left = a, shingle_set(text_a, words)
-            right = shingle_set(text_b, words)
-            common = len(np.intersect1d(left, right, assume_unique=True))
-            if 100 * common >= percent * (len(left) + len(right) - common):
-                out["a"].append(a)
-                out["b"].append(b)
+        sets = {side: (None, None) for side in "ab"}
+        for row in zip(batch["a"], batch["b"], batch["text_a"], batch["text_b"]):
+            for side, node, text in zip("ab", row, row[2:]):
+                if sets[side][0] != node:
+                    sets[side] = node, shingle_set(unpacked(text), words)
+            left, right = sets["a"][1], sets["b"][1]
+            if likely(left[:k], right[:k], k):
+                common = len(np.intersect1d(left, right, assume_unique=True))
+                if 100 * common >= percent * (len(left) + len(right) - common):
+                    out["a"].append(row[0])
+                    out["b"].append(row[1])
         return out
 
-    return arrow_map(likely.select("a", "b", "text_a", "text_b"), rows, "a binary, b binary")
+    return arrow_map(pairs.select("a", "b", "text_a", "text_b"), rows, "a binary, b binary")
 
 
-def unsigned(value: Column) -> Column:
-    """Sketches are the smallest values as unsigned numbers; this maps their order to that of signed ones."""
-    return value.bitwiseXOR(F.lit(NO_ID))
+def likely(left: np.ndarray, right: np.ndarray, k: int) -> bool:
+    """Whether enough of the bottom-k sketch of the union of two sketches is in both."""
+    union = np.union1d(left, right)[:k]
+    both = np.intersect1d(np.intersect1d(left, right, assume_unique=True), union, assume_unique=True)
+    return len(both) >= ESTIMATE * len(union)
 
 
-def link_classes(classes: DataFrame, texts: DataFrame, lists: DataFrame, words: int, percent: int, k: int, index: int) -> DataFrame:
-    """(node, root) of the classes that have links."""
+def link_classes(
+    classes: DataFrame, plain: DataFrame, texts: DataFrame, lists: DataFrame, words: int, percent: int, k: int, index: int
+) -> DataFrame:
+    """(node, root) of the classes that have links; ``plain`` are all lists of the index, ``lists`` those to work off."""
+    heads = plain.groupBy("node").agg(F.collect_list(F.pmod("value", F.lit(2**31 - 1)).cast("int")).alias("head"))
+    mine = lists.groupBy("node").agg(F.collect_list("value").alias("mine"))
+    marks = mine.join(heads, "node").join(classes.select("node", "parity"), "node")
+    work, lists = lists, cut_lineage(lists.join(marks, "node"), "marked-lists")
+    discard(work, plain)
     near = (F.col("n") <= F.col("leader_reach")) & (F.col("m") <= F.col("reach"))
-    heads = classes.select("node", F.slice("sketch", 1, index).alias("head"))
-    lists = cut_lineage(lists.join(heads, "node"), "lists-with-heads")
-    few = F.greatest(F.lit(1), F.floor(F.least(F.size("head"), F.size("leader_head")) / 5))
+    differ = sum((F.bit_count(F.get("parity", F.lit(i)).bitwiseXOR(F.get("leader_parity", F.lit(i)))) for i in range(BITS // 64)), F.lit(0))
+    near = near & (differ * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent))
+    few = F.greatest(F.lit(1), F.floor(F.least("n", "m", F.lit(index)) / 5))
     near = near & (F.size(F.array_intersect("head", "leader_head")) >= few)
+    near = near & (F.array_min(F.array_intersect("mine", "leader_mine")) == F.col("value"))
+    carried = ["head", "mine", "parity"]
     central = F.struct((F.col("n") - F.col("reach")).alias("gap"), "node")
-    leaders = lists.groupBy("value").agg(F.min_by(F.struct("node", "n", "reach", "head"), central).alias("l"))
-    leaders = leaders.select("value", F.col("l.node").alias("leader"), F.col("l.n").alias("m"), F.col("l.reach").alias("leader_reach"), F.col("l.head").alias("leader_head"))
+    leaders = lists.groupBy("value").agg(F.min_by(F.struct("node", "n", "reach", *carried), central).alias("l"))
+    leaders = leaders.select("value", F.col("l.node").alias("leader"), F.col("l.n").alias("m"), F.col("l.reach").alias("leader_reach"), *[F.col(f"l.{c}").alias(f"leader_{c}") for c in carried])
     done, links, roots, many = None, None, None, SHORT
     while True:
         pairs = lists.withColumn("root", F.col("node")) if roots is None else with_roots(lists, roots)
@@ -164,13 +185,15 @@ def link_classes(classes: DataFrame, texts: DataFrame, lists: DataFrame, words:
         asked = asked.withColumn("leader_root", F.col("leader")) if roots is None else asked.withColumnsRenamed({"node": "leader", "root": "leader_root"})
         other = (F.col("root") != F.col("leader_root")) & near
         pairs = pairs.join(asked.withColumnRenamed("value", "led"), (F.col("value") == F.col("led")) & other)
-        pairs = pairs.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
-        found = cut_lineage(confirmed(pairs, classes, texts, words, percent, k), "links")
+        pairs = cut_lineage(pairs.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct(), "pairs")
+        release(lists.sparkSession)
+        found = cut_lineage(confirmed(pairs, texts, words, percent, k), "links")
+        discard(pairs)
         links = found if links is None else links.unionByName(found)
         done = leaders.select("value", "leader") if done is None else done.unionByName(leaders.select("value", "leader"))
         roots = components(links)
         release(lists.sparkSession)
-        leaders = cut_lineage(next_leaders(lists, roots, done, many), "leaders")
+        leaders = cut_lineage(next_leaders(lists, roots, done, many, carried), "leaders")
         if leaders.isEmpty():
             return roots
         many *= 16
@@ -180,7 +203,7 @@ def with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def next_leaders(lists: DataFrame, roots: DataFrame, done: DataFrame, many: int) -> DataFrame:
+def next_leaders(lists: DataFrame, roots: DataFrame, done: DataFrame, many: int, carried: list[str]) -> DataFrame:
     """Up to ``many`` classes of each list, from outside its largest component, that have not led it yet."""
     placed = with_roots(lists, roots)
     parts = placed.groupBy("value", "root").agg(F.count(F.lit(1)).alias("part"))
@@ -189,7 +212,7 @@ def next_leaders(lists: DataFrame, roots: DataFrame, done: DataFrame, many: int)
     open_ = open_.join(done.withColumnRenamed("leader", "node"), ["value", "node"], "left_anti")
     order = Window.partitionBy("value").orderBy(F.col("n") - F.col("reach"), "node")
     open_ = open_.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= many)
-    renamed = {"node": "leader", "n": "m", "reach": "leader_reach", "head": "leader_head"}
+    renamed = {"node": "leader", "n": "m", "reach": "leader_reach"} | {c: f"leader_{c}" for c in carried}
     return open_.select("value", *[F.col(c).alias(to) for c, to in renamed.items()])
 
 
@@ -198,17 +221,19 @@ def near_duplicates(
 ) -> DataFrame:
     """doc_id, n_shingles, component_id and kept, one row per row of ``docs``."""
     known = F.coalesce("doc_id", F.lit(NO_ID))
-    rows = cut_lineage(sketches(docs, words, k), "sketches")
-    classes = rows.filter("node is not null").groupBy("node").agg(
-        F.min(known).alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")
-    )
-    classes = cut_lineage(classes, "classes")
-    lists = inverted_lists(classes, docs, words, k, index, percent)
-    asked = classes.join(lists.select("node").distinct(), "node", "left_semi").select("node", "rep")
-    texts = docs.select(known.alias("rep"), "text").join(asked, "rep")
-    texts = cut_lineage(texts_of(texts, words), "texts")
+    full = cut_lineage(sketches(docs, words, k), "sketches")
+    rows = cut_lineage(full.select("doc_id", "n", "node"), "sets")
+    first = [F.first(c).alias(c) for c in ("n", "sketch", "parity")]
+    classes = cut_lineage(full.filter("node is not null").groupBy("node").agg(F.min(known).alias("rep"), *first), "classes")
+    discard(full)
+    plain = classes.select("node", "n", F.explode(F.slice("sketch", 1, index)).alias("value"))
+    plain = cut_lineage(shared(plain), "lists")
+    asked = classes.join(plain.select("node").distinct(), "node", "left_semi").select("node", "rep")
+    texts = cut_lineage(texts_of(docs.select(known.alias("rep"), "text").join(asked, "rep"), words), "texts")
     release(docs.sparkSession)
-    roots = link_classes(classes, texts, lists, words, percent, k, index)
+    lists = inverted_lists(classes, plain, texts, words, k, percent)
+    roots = link_classes(classes, plain, texts, lists, words, percent, k, index)
+    discard(texts)
 
     placed = with_roots(classes.select("node", "rep"), roots)
     least = placed.groupBy("root").agg(F.min("rep").alias("component"))
@@ -221,14 +246,19 @@ def near_duplicates(
 
 
 def texts_of(rows: DataFrame, words: int) -> DataFrame:
-    """The rows (node, text) whose text has that node's set; a repeated id may bring others along, or the same twice."""
+    """(node, compressed text) of each node: of the rows under its id, one whose text has that set."""
 
     def own(batch: dict) -> dict:
         out = {"node": [], "text": []}
+        pack = zstandard.ZstdCompressor(level=3)
         for node, text in zip(batch["node"], batch["text"]):
             if digest(shingle_set(text, words)) == node:
                 out["node"].append(node)
-                out["text"].append(text)
+                out["text"].append(pack.compress(text.encode("utf-8", "surrogatepass")))
         return out
 
-    return arrow_map(rows.select("node", "text"), own, "node binary, text string")
+    return arrow_map(rows.select("node", "text"), own, "node binary, text binary")
+
+
+def unpacked(text: bytes) -> str:
+    return zstandard.ZstdDecompressor().decompress(text).decode("utf-8", "surrogatepass")
