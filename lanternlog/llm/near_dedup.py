@@ -165,55 +165,58 @@ def link_classes(
     """(node, root) of the classes that have links; ``plain`` are all lists of the index, ``lists`` those to work off."""
     heads = plain.groupBy("node").agg(F.collect_list(F.pmod("value", F.lit(2**31 - 1)).cast("int")).alias("head"))
     mine = lists.groupBy("node").agg(F.collect_list("value").alias("mine"))
-    marks = mine.join(heads, "node").join(classes.select("node", "parity"), "node")
-    work, lists = lists, cut_lineage(lists.join(marks, "node"), "marked-lists")
-    discard(work, plain)
+    marks = cut_lineage(mine.join(heads, "node").join(classes.select("node", "parity"), "node"), "marks")
+    release(lists.sparkSession)
     near = (F.col("n") <= F.col("leader_reach")) & (F.col("m") <= F.col("reach"))
     differ = sum((F.bit_count(F.get("parity", F.lit(i)).bitwiseXOR(F.get("leader_parity", F.lit(i)))) for i in range(BITS // 64)), F.lit(0))
     near = near & (differ * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent))
     few = F.greatest(F.lit(1), F.floor(F.least("n", "m", F.lit(index)) / 5))
     near = near & (F.size(F.array_intersect("head", "leader_head")) >= few)
     near = near & (F.array_min(F.array_intersect("mine", "leader_mine")) == F.col("value"))
-    carried = ["head", "mine", "parity"]
     central = F.struct((F.col("n") - F.col("reach")).alias("gap"), "node")
-    leaders = lists.groupBy("value").agg(F.min_by(F.struct("node", "n", "reach", *carried), central).alias("l"))
-    leaders = leaders.select("value", F.col("l.node").alias("leader"), F.col("l.n").alias("m"), F.col("l.reach").alias("leader_reach"), *[F.col(f"l.{c}").alias(f"leader_{c}") for c in carried])
-    done, links, roots, many = None, None, None, SHORT
+    leaders = lists.groupBy("value").agg(F.min_by(F.struct("node", "n", "reach"), central).alias("l"))
+    leaders = leaders.select("value", F.col("l.node").alias("leader"), F.col("l.n").alias("m"), F.col("l.reach").alias("leader_reach"))
+    leaders = cut_lineage(leaders, "leaders")
+    done, links, roots, many = leaders, None, None, SHORT
     while True:
-        pairs = lists.withColumn("root", F.col("node")) if roots is None else with_roots(lists, roots)
-        asked = leaders if roots is None else with_roots(leaders.withColumnRenamed("leader", "node"), roots)
-        asked = asked.withColumn("leader_root", F.col("leader")) if roots is None else asked.withColumnsRenamed({"node": "leader", "root": "leader_root"})
-        other = (F.col("root") != F.col("leader_root")) & near
-        pairs = pairs.join(asked.withColumnRenamed("value", "led"), (F.col("value") == F.col("led")) & other)
+        rows = lists if roots is None else lists.join(leaders, "value", "left_semi")
+        rows = rooted(rows, roots).join(marks, "node")
+        asked = rooted(leaders.withColumnRenamed("leader", "node"), roots).join(marks, "node")
+        asked = asked.withColumnsRenamed({"value": "led", "node": "leader"} | {c: f"leader_{c}" for c in ("root", "head", "mine", "parity")})
+        pairs = rows.join(asked, (F.col("value") == F.col("led")) & (F.col("root") != F.col("leader_root")) & near)
         pairs = cut_lineage(pairs.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct(), "pairs")
         release(lists.sparkSession)
         found = cut_lineage(confirmed(pairs, texts, words, percent, k), "links")
         discard(pairs)
+        release(lists.sparkSession)
         links = found if links is None else links.unionByName(found)
-        done = leaders.select("value", "leader") if done is None else done.unionByName(leaders.select("value", "leader"))
         roots = components(links)
-        release(lists.sparkSession)
-        leaders = cut_lineage(next_leaders(lists, roots, done, many, carried), "leaders")
+        leaders = cut_lineage(next_leaders(lists, roots, done, many), "leaders")
         if leaders.isEmpty():
+            discard(plain, lists, marks)
             return roots
+        done = done.unionByName(leaders)
         many *= 16
 
 
+def rooted(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
+    return rows.withColumn("root", F.col("node")) if roots is None else with_roots(rows, roots)
+
+
 def with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def next_leaders(lists: DataFrame, roots: DataFrame, done: DataFrame, many: int, carried: list[str]) -> DataFrame:
+def next_leaders(lists: DataFrame, roots: DataFrame, done: DataFrame, many: int) -> DataFrame:
     """Up to ``many`` classes of each list, from outside its largest component, that have not led it yet."""
     placed = with_roots(lists, roots)
     parts = placed.groupBy("value", "root").agg(F.count(F.lit(1)).alias("part"))
     largest = parts.groupBy("value").agg(F.max(F.struct("part", "root")).alias("top"), F.count(F.lit(1)).alias("parts"))
     open_ = placed.join(largest.filter("parts > 1").select("value", F.col("top.root").alias("top")), "value").filter("root != top")
-    open_ = open_.join(done.withColumnRenamed("leader", "node"), ["value", "node"], "left_anti")
+    open_ = open_.join(done.select("value", F.col("leader").alias("node")), ["value", "node"], "left_anti")
     order = Window.partitionBy("value").orderBy(F.col("n") - F.col("reach"), "node")
     open_ = open_.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= many)
-    renamed = {"node": "leader", "n": "m", "reach": "leader_reach"} | {c: f"leader_{c}" for c in carried}
-    return open_.select("value", *[F.col(c).alias(to) for c, to in renamed.items()])
+    return open_.select("value", F.col("node").alias("leader"), F.col("n").alias("m"), F.col("reach").alias("leader_reach"))
 
 
 def near_duplicates(
