@@ -10,7 +10,8 @@ threshold for certain, whatever its size; most pairs of a group whose copies hav
 lists that two classes share, only the one of the smallest value compares them.
 
 Lists are worked off in rounds instead of pair by pair: a few leaders of each list are compared with the list's other
-classes, links are joined to components, and the next leaders come from outside the list's largest component. Classes
+classes, links are joined to components, and the next leaders come from outside the list's largest component. A round
+reads only the lists that have leaders: once all classes outside the largest component have led, all pairs are compared. Classes
 that a component already joins are not compared again, so a group of thousands of copies costs one pass over its
 lists, while two classes in different components are always compared. A class of a long list that holds many values of
 its own reaches only smaller sets, by the threshold; pairs out of reach, and classes that reach nothing, are left out.
@@ -28,6 +29,8 @@ Rows that repeat an id are texts of their own. An empty table gives an empty tab
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import xxhash
 import zstandard
@@ -163,9 +166,9 @@ def link_classes(
     classes: DataFrame, plain: DataFrame, texts: DataFrame, lists: DataFrame, words: int, percent: int, k: int, index: int
 ) -> DataFrame:
     """(node, root) of the classes that have links; ``plain`` are all lists of the index, ``lists`` those to work off."""
-    heads = plain.groupBy("node").agg(F.collect_list(F.pmod("value", F.lit(2**31 - 1)).cast("int")).alias("head"))
+    head = F.transform(F.slice("sketch", 1, index), lambda x: F.pmod(x, F.lit(2**31 - 1)).cast("int"))
     mine = lists.groupBy("node").agg(F.collect_list("value").alias("mine"))
-    marks = cut_lineage(mine.join(heads, "node").join(classes.select("node", "parity"), "node"), "marks")
+    marks = cut_lineage(mine.join(classes.select("node", "parity", head.alias("head")), "node"), "marks")
     release(lists.sparkSession)
     near = (F.col("n") <= F.col("leader_reach")) & (F.col("m") <= F.col("reach"))
     differ = sum((F.bit_count(F.get("parity", F.lit(i)).bitwiseXOR(F.get("leader_parity", F.lit(i)))) for i in range(BITS // 64)), F.lit(0))
@@ -176,47 +179,47 @@ def link_classes(
     central = F.struct((F.col("n") - F.col("reach")).alias("gap"), "node")
     leaders = lists.groupBy("value").agg(F.min_by(F.struct("node", "n", "reach"), central).alias("l"))
     leaders = leaders.select("value", F.col("l.node").alias("leader"), F.col("l.n").alias("m"), F.col("l.reach").alias("leader_reach"))
-    leaders = cut_lineage(leaders, "leaders")
-    done, links, roots, many = leaders, None, None, SHORT
+    leaders = cut_lineage(leaders.withColumn("leader_root", F.col("leader")), "leaders")
+    rows = lists.withColumn("root", F.col("node"))
+    done, roots, opened, many = leaders, None, [], SHORT
     while True:
-        rows = lists if roots is None else lists.join(leaders, "value", "left_semi")
-        rows = rooted(rows, roots).join(marks, "node")
-        asked = rooted(leaders.withColumnRenamed("leader", "node"), roots).join(marks, "node")
-        asked = asked.withColumnsRenamed({"value": "led", "node": "leader"} | {c: f"leader_{c}" for c in ("root", "head", "mine", "parity")})
-        pairs = rows.join(asked, (F.col("value") == F.col("led")) & (F.col("root") != F.col("leader_root")) & near)
+        asked = leaders.withColumnRenamed("leader", "node").join(marks, "node")
+        asked = asked.withColumnsRenamed({"value": "led", "node": "leader"} | {c: f"leader_{c}" for c in ("head", "mine", "parity")})
+        apart = (F.col("value") == F.col("led")) & (F.col("root") != F.col("leader_root"))
+        pairs = rows.join(marks, "node").join(asked, apart & near)
         pairs = cut_lineage(pairs.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct(), "pairs")
         release(lists.sparkSession)
         found = cut_lineage(confirmed(pairs, texts, words, percent, k), "links")
         discard(pairs)
         release(lists.sparkSession)
-        links = found if links is None else links.unionByName(found)
-        roots = components(links)
-        leaders = cut_lineage(next_leaders(lists, roots, done, many), "leaders")
+        if not found.isEmpty():
+            known = [] if roots is None else [roots.select(F.col("node").alias("a"), F.col("root").alias("b"))]
+            roots = components(reduce(DataFrame.unionByName, known, found))
+            rows = cut_lineage(with_roots(rows.drop("root"), roots), "open-lists")
+            opened.append(rows)
+        leaders = cut_lineage(next_leaders(rows, done, many), "leaders")
         if leaders.isEmpty():
-            discard(plain, lists, marks)
-            return roots
+            discard(plain, lists, marks, *opened)
+            return classes.limit(0).select("node", F.col("node").alias("root")) if roots is None else roots
+        rows = rows.join(leaders, "value", "left_semi")
         done = done.unionByName(leaders)
         many *= 16
 
 
-def rooted(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
-    return rows.withColumn("root", F.col("node")) if roots is None else with_roots(rows, roots)
-
-
 def with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def next_leaders(lists: DataFrame, roots: DataFrame, done: DataFrame, many: int) -> DataFrame:
+def next_leaders(rows: DataFrame, done: DataFrame, many: int) -> DataFrame:
     """Up to ``many`` classes of each list, from outside its largest component, that have not led it yet."""
-    placed = with_roots(lists, roots)
-    parts = placed.groupBy("value", "root").agg(F.count(F.lit(1)).alias("part"))
+    parts = rows.groupBy("value", "root").agg(F.count(F.lit(1)).alias("part"))
     largest = parts.groupBy("value").agg(F.max(F.struct("part", "root")).alias("top"), F.count(F.lit(1)).alias("parts"))
-    open_ = placed.join(largest.filter("parts > 1").select("value", F.col("top.root").alias("top")), "value").filter("root != top")
+    open_ = rows.join(largest.filter("parts > 1").select("value", F.col("top.root").alias("top")), "value").filter("root != top")
     open_ = open_.join(done.select("value", F.col("leader").alias("node")), ["value", "node"], "left_anti")
     order = Window.partitionBy("value").orderBy(F.col("n") - F.col("reach"), "node")
     open_ = open_.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= many)
-    return open_.select("value", F.col("node").alias("leader"), F.col("n").alias("m"), F.col("reach").alias("leader_reach"))
+    leader = F.col("node").alias("leader"), F.col("n").alias("m"), F.col("reach").alias("leader_reach"), F.col("root").alias("leader_root")
+    return open_.select("value", *leader)
 
 
 def near_duplicates(
