@@ -22,11 +22,15 @@ def scalar_text(value: Column) -> Column:
     return F.coalesce(value["stringValue"], value["intValue"], value["doubleValue"], value["boolValue"])
 
 
+def quoted(text: Column) -> Column:
+    """A text as a JSON string; null stays null."""
+    listed = F.when(text.isNotNull(), F.to_json(F.array(text)))
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)
+
+
 def _json_text(value: Column, depth: int) -> Column:
     """A value as JSON text inside a nested value."""
-    text = F.when(value["stringValue"].isNotNull(), F.to_json(F.array(value["stringValue"])))
-    text = F.regexp_replace(text, r"^\[|\]$", "")
-    plain = F.coalesce(text, value["intValue"], value["doubleValue"], value["boolValue"])
+    plain = F.coalesce(quoted(value["stringValue"]), value["intValue"], value["doubleValue"], value["boolValue"])
     deeper = nested_text(value, depth) if depth > 0 else F.coalesce(value["arrayValue"], value["kvlistValue"])
     return F.coalesce(plain, deeper)
 
@@ -46,7 +50,7 @@ def nested_text(value: Column, depth: int = NESTING) -> Column:
             F.transform(
                 pairs,
                 lambda kv: F.concat(
-                    F.lit('"'), kv["key"], F.lit('":'), F.coalesce(_json_text(kv["value"], depth - 1), F.lit("null"))
+                    quoted(kv["key"]), F.lit(":"), F.coalesce(_json_text(kv["value"], depth - 1), F.lit("null"))
                 ),
             ),
             ",",
@@ -82,8 +86,18 @@ def attribute_map(attributes: Column) -> Column:
 
 
 def flat_names(values: Column, prefix: str = "") -> Column:
-    """Map with dots in its keys replaced by underscores, and a prefix."""
-    return F.transform_keys(values, lambda k, v: F.concat(F.lit(prefix), F.replace(k, F.lit("."), F.lit("_"))))
+    """Map with dots in its keys replaced by underscores, and a prefix; of names that become equal the last one counts."""
+
+    def name(entry: Column) -> Column:
+        return F.concat(F.lit(prefix), F.replace(entry["key"], F.lit("."), F.lit("_")))
+
+    def as_map(entries: Column) -> Column:
+        names = F.array_distinct(F.transform(entries, lambda e: e["key"]))
+        last = F.transform(names, lambda n: F.element_at(F.filter(entries, lambda e: e["key"] == n), -1))
+        return F.map_from_entries(F.when(F.size(names) == F.size(entries), entries).otherwise(last))
+
+    renamed = F.transform(F.map_entries(values), lambda e: F.struct(name(e).alias("key"), e["value"].alias("value")))
+    return F.get(F.transform(F.array(renamed), as_map), F.lit(0))
 
 
 def without_keys(values: Column, names: list[str]) -> Column:

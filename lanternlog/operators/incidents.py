@@ -309,7 +309,7 @@ def recent_duplicates(events: DataFrame, incidents: DataFrame, p: Params = DEFAU
     """
     key = ["tenant_id", "service"]
     width = p.ticket_dedup_seconds
-    asked = events.select(*key, "event_id", "ts", F.array_sort(tokens(F.substring("text", 1, 100))).alias("words"))
+    asked = events.select(*key, "event_id", "ts", F.array_sort(tokens(F.col("text"))).alias("words"))
     asked = asked.withColumn("ask_text", F.xxhash64("words")).where(F.size("words") > 0)
     held = incidents.where(F.col("state").isin(fixed.UNRESOLVED_STATES)).select(
         *key, "id", "created_at", tokens(F.col("title")).alias("title_words"), tokens(F.col("description")).alias("desc_words")

@@ -10,7 +10,6 @@ from lanternlog.operators.incidents import priority, timeline_entry
 from lanternlog.params import DEFAULTS, Params
 
 MAX_AUDIT = 500
-MAX_BATCH = 50
 
 
 def minutes_between(a: Column, b: Column) -> Column:
@@ -79,14 +78,9 @@ def apply_transitions(incidents: DataFrame, requests: DataFrame, text: str = "St
 
 
 def batch_results(incidents: DataFrame, requests: DataFrame) -> DataFrame:
-    """Outcome per requested id: (batch_id, pos, id, ok, result).
-
-    A batch handles its first fifty ids.
-    """
-    order = W.partitionBy("batch_id").orderBy("pos")
-    taken = requests.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= MAX_BATCH)
+    """Outcome per requested id, of batches of any size: (batch_id, pos, id, ok, result)."""
     known = incidents.select("id", F.lit(True).alias("known"))
-    joined = taken.join(known, "id", "left").withColumn("new_state", state_of(F.col("action")))
+    joined = requests.join(known, "id", "left").withColumn("new_state", state_of(F.col("action")))
     result = (
         F.when(F.col("known").isNull(), "not found")
         .when(F.col("new_state").isNull(), F.concat(F.lit("invalid state: "), F.col("action")))

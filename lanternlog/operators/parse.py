@@ -173,7 +173,7 @@ def parsed_rows(raw: DataFrame, p: Params = DEFAULTS) -> DataFrame:
         F.when(dead, F.lit(True)).alias("_dlq"),
         F.when(dead, F.col("route")).alias("reason"),
         F.when(broken, F.lit("malformed JSON")).alias("error"),
-        F.when(broken, F.substring("value", 1, p.dlq_original_chars)).when(dead, F.col("value")).alias("original"),
+        F.when(dead, F.col("value")).alias("original"),
     )
 
 

@@ -42,7 +42,6 @@ class Params:
     anomaly_topic: str = "anomaly-events"
     log_retention_days: int = 9
     anomaly_retention_days: int = 97
-    dlq_original_chars: int = 4096
 
     # routing: severity -> platforms; an empty list means every enabled platform
     routing: dict = field(

@@ -488,7 +488,7 @@ _BODIES: dict[str, str] = {
       select target, reason, count(*) as n, sum(chars)::bigint as chars from (
         select case when log_seq % 5 < 3 then 'log' else 'dlq' end as target,
           case when log_seq % 5 = 3 then 'unknown_format' when log_seq % 5 = 4 then 'parse_error' else '' end as reason,
-          case when log_seq % 5 < 3 then length(message) when log_seq % 5 = 3 then length('{"a":' || user_id || '}') else 4096 end as chars
+          case when log_seq % 5 < 3 then length(message) when log_seq % 5 = 3 then length('{"a":' || user_id || '}') else length('{bad ') + 5000 end as chars
         from logs) group by all""",
     "parsed_messages": f"""
       select {LOG_ID} as log_id, epoch, level, message,
@@ -500,9 +500,8 @@ _BODIES: dict[str, str] = {
         http_status::varchar as http_status
       from logs where log_seq % 5 < 3""",
     "attr_flatten": """
-      select log_seq, 'http_route=/last;ids=[1,"b"];kv={"a":false};ok=true;resource_http_route=/last;resource_ids=[1,"b"];'
-        || 'resource_kv={"a":false};resource_level=x;resource_ok=true;resource_retry_count=' || user_id::varchar
-        || ';retry_count=' || user_id::varchar as attrs, user_id::varchar as retries from logs""",
+      select log_seq, 'http_route=/last;ids=[1,"b"];kv={"a\\"b":false};ok=true;resource_http_route=/last;resource_ids=[1,"b"];'
+        || 'resource_kv={"a\\"b":false};resource_level=x;resource_ok=true;resource_retry_count=7;retry_count=7' as attrs, user_id::varchar as retries from logs""",
     "tenant_inject": """
       select 2 as n_attrs, tenant_id as injected, 'q' as fields, case when log_seq % 3 = 0 then 'dev-local' else tenant_id end as defaulted,
         count(*) as n from logs group by all""",
@@ -609,7 +608,7 @@ _BODIES: dict[str, str] = {
       select log_seq, incident_id, created_epoch from (
         select a.log_seq, p.id as incident_id, p.created_epoch,
           row_number() over (partition by a.log_seq order by p.created_epoch desc, p.id desc) as rn
-        from (select log_seq, tenant_id, service, epoch, {words(f"substr({template('message')}, 1, 100)")} as w from logs where {ERR}) a
+        from (select log_seq, tenant_id, service, epoch, {words(template('message'))} as w from logs where {ERR}) a
         join (select id, tenant_id, service, created_epoch, {words('title')} as tw, {words('description')} as dw from inc
               where state in ('identified', 'acknowledged', 'investigating')) p
           on p.tenant_id = a.tenant_id and p.service = a.service and p.created_epoch between a.epoch - 900 and a.epoch
@@ -653,7 +652,7 @@ _BODIES: dict[str, str] = {
       select ok, result, count(*) as n, max(pos) as last_pos from (
         select l.log_seq % 60 as pos, i.id is not null and l.log_seq % 9 <> 0 as ok,
           case when i.id is null then 'not found' when l.log_seq % 9 = 0 then 'invalid state: explode' else 'acknowledged' end as result
-        from logs l left join inc i on i.log_seq = l.log_seq where l.log_seq % 60 < 50) group by all""",
+        from logs l left join inc i on i.log_seq = l.log_seq) group by all""",
     "patch": f"""
       select id, new_urgency as urgency, case when p then {PRIORITY.replace('urgency', 'new_urgency')} else priority end as priority,
         case when p then 'u' || number::varchar end as assigned_to,

@@ -185,8 +185,8 @@ def attr_flatten(spark, sf):
         F.lit('[{"key":"http.route","value":{"stringValue":"/u/'), n, F.lit('"}},{"key":"retry.count","value":{"intValue":'), n,
         F.lit('}},{"key":"ok","value":{"boolValue":true}},{"key":"level","value":{"stringValue":"x"}},'
               '{"key":"ids","value":{"arrayValue":{"values":[{"intValue":1},{"stringValue":"b"}]}}},'
-              '{"key":"kv","value":{"kvlistValue":{"values":[{"key":"a","value":{"boolValue":false}}]}}},'
-              '{"key":"http.route","value":{"stringValue":"/last"}}]'),
+              '{"key":"kv","value":{"kvlistValue":{"values":[{"key":"a\\"b","value":{"boolValue":false}}]}}},'
+              '{"key":"http.route","value":{"stringValue":"/last"}},{"key":"retry_count","value":{"intValue":7}}]'),
     )
     logs = logs.select("log_seq", F.from_json(body, otlp.ATTRIBUTES).alias("attributes"))
     attrs = F.col("attributes")
@@ -549,7 +549,7 @@ def transitions(spark, sf):
 
 @query
 def batch_transitions(spark, sf):
-    """Bulk requests over many ids: known, unknown, invalid, and beyond fifty."""
+    """Bulk requests over many ids: known, unknown and invalid, sixty a batch."""
     inc = views.incidents(spark, sf)
     logs = log_view(spark, sf).select(
         F.floor(F.col("log_seq") / 60).alias("batch_id"), (F.col("log_seq") % 60).alias("pos"),
