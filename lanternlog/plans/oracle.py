@@ -702,7 +702,7 @@ _BODIES: dict[str, str] = {
     "log_facets": _facet("logs", {"level": 10, "service": 20}),
     "incident_facets": _facet("inc", {"state": 10, "severity": 10, "urgency": 10, "priority": 10, "service": 20}),
     "mttr": _time_to(),
-    "mttr_by_service": _time_to("service = 'svc-1' and severity = 'critical'"),
+    "mttr_by_service": _time_to("service = 'svc-1' and severity = 'high'"),
     "mean_mttr": """
       select round(avg(m) filter (m > 0), 4) as mean_mttr_seconds, count(*) filter (m > 0) as n
       from (select case when number % 5 >= 4 then number % 50 * 180 end as m from inc)""",

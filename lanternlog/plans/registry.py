@@ -714,7 +714,7 @@ def mttr(spark, sf):
 @query
 def mttr_by_service(spark, sf):
     inc = views.incidents(spark, sf)
-    return reports.time_to(inc, F.timestamp_seconds(F.lit(SPARK_EPOCH + 86400)), service="svc-1", severity="critical")
+    return reports.time_to(inc, F.timestamp_seconds(F.lit(SPARK_EPOCH + 86400)), service="svc-1", severity="high")
 
 
 @query
