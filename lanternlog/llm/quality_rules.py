@@ -38,6 +38,9 @@ SYMBOLS = re.compile(r"[#*$%&|<>]")
 LABEL_BREAK = re.compile(r"[|»›·•>]")
 SHOUT = re.compile(r"!{2,}")
 STOPS = ".!?…:;\"'”’»)。！？"
+#: All bytes but the capital and the small letters of ASCII.
+NO_CAPITALS = bytes(b for b in range(256) if not 65 <= b <= 90)
+NO_SMALL = bytes(b for b in range(256) if not 97 <= b <= 122)
 MOST_SYMBOLS = 0.3
 MOST_SHOUTS = 0.3
 MOST_CAPITALS = 0.7
@@ -73,12 +76,20 @@ def repeated_words(words: list[bytes]) -> int:
     return int(covered.sum())
 
 
+def capitals_and_letters(line: str) -> tuple[int, int]:
+    """Over the whole line; bytes are counted faster than characters where the line has ASCII only."""
+    if line.isascii():
+        capitals = len(line.encode().translate(None, NO_CAPITALS))
+        return capitals, capitals + len(line.encode().translate(None, NO_SMALL))
+    return sum(map(str.isupper, line)), sum(map(str.isalpha, line))
+
+
 def punctuation_fails(line: str, words: int) -> bool:
     symbols = len(SYMBOLS.findall(line))
     if symbols > MOST_SYMBOLS * words or len(SHOUT.findall(line)) > MOST_SHOUTS * words:
         return True
-    letters = sum(map(str.isalpha, line)) if line[:40].isupper() else 0
-    if letters > 20 and sum(map(str.isupper, line)) > MOST_CAPITALS * letters:
+    capitals, letters = capitals_and_letters(line)
+    if letters > 20 and capitals > MOST_CAPITALS * letters:
         return True
     return words > RUN_ON_WORDS and not any(s in line for s in STOPS)
 

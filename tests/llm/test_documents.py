@@ -136,6 +136,14 @@ def test_line_rules():
     assert not quality_rules.judge(" ".join(f"WORD{i}!!" for i in range(80)))[6]
 
 
+def test_shouting_is_judged_over_the_whole_line():
+    shout = "Notice: " + " ".join(f"BUY CHEAP WATCHES NOW AT STAND {'ABCDEFGHIJ'[i % 10] * (i + 1)}" for i in range(20)) + "."
+    assert quality_rules.punctuation_fails(shout, len(shout.split()))
+    assert quality_rules.punctuation_fails("Это: " + "КУПИТЕ ЧАСЫ СЕЙЧАС " * 10, 31)
+    assert not quality_rules.punctuation_fails("NOTICE TO ALL READERS OF THIS WHOLE PAGE: " + "the house stood on a hill by the sea, " * 4, 44)
+    assert not quality_rules.judge("\n".join(shout.replace("STAND", f"STAND{i}") for i in range(5)))[6]
+
+
 def brute_near(rows, size, percent):
     sets = []
     for r in rows:
