@@ -25,6 +25,31 @@ def test_density_without_article_element():
     assert html_text.main_text(page(body + links)) == " ".join(["Plain words of the story go on and on here."] * 5)
 
 
+def test_wrappers_with_names_of_side_matter():
+    text = " ".join(["Plain words of the story go on and on here."] * 5)
+    story = "<p>Plain words of the story go on and on here.</p>" * 5
+    side = "<div class='widget ad'>Buy now</div><div id=comments><p>No!</p></div><form><p>Search</p></form>"
+    links = "<div>" + "".join(f"<a href=/{i}>Link {i}</a> " for i in range(30)) + "</div>"
+    for open_, close in (
+        ("<div class='has-sidebar'>", "</div>"),
+        ("<div class='no-sidebar container'>", "</div>"),
+        ("<form id=aspnetForm action=/><div>", "</div></form>"),
+        ("<form><div class='page has-sidebar'><section id='banner-page'>", "</section></div></form>"),
+    ):
+        for inner in (f"<article>{story}</article>", f"<main>{story}</main>", f"<div class=story>{story}</div>"):
+            assert html_text.main_text(page(open_ + inner + side + links + close)) == text
+            assert html_text.main_text(page(open_ + inner + close, side, links)) == text
+    widgets = "".join(f"<div class=elementor-widget-container>{p}</p></div>" for p in story.split("</p>")[:-1])
+    assert html_text.main_text(page(f"<div class=story>{widgets}</div>", links, side)) == text
+    assert html_text.main_text(page(f"<main><div class=has-sidebar>{story}</div></main>", side)) == text
+    assert html_text.main_text(page(f"<article>{story}<div class=comments>{'<p>Another reader has an opinion on this story.</p>' * 4}</div></article>")) == text
+    assert html_text.main_text(page(f"<article>{story}</article><div class=comments>{'<p>Another reader has an opinion on this story.</p>' * 30}</div>")) == text
+    related = "<div class=related><article>Teaser of another story</article><article>Teaser of a third</article></div>"
+    assert html_text.main_text(page(f"<main><article>{story}</article>{related}</main>")) == text
+    assert html_text.main_text(page(f"<div class=story>{story}<form><input><p>Subscribe</p></form></div>")) == text
+    assert html_text.main_text(page(f"<div class='has-sidebar' style='display:none'>{story}</div><p>Shown.</p>")) == "Shown."
+
+
 def test_odd_pages(spark):
     long = "<article>" + "<p>word " * 20_000 + "</article>"
     rows = [(1, "u", None), (2, None, ""), (None, "u", "<"), (3, "u", "no tags"), (4, "u", long), (4, "u", long), (5, "u", "<p title='a>b\">x"), (6, "u", "<div>" * 3000 + "deep")]
