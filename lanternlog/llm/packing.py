@@ -49,7 +49,8 @@ class Reader:
     """Ids of texts by a byte-level BPE file, as little-endian 32-bit numbers.
 
     Token ids are in the order of the merges, so the file's vocabulary serves as ranks for the faster library. Texts
-    with a string of a special token are left to the library that the file is made for.
+    with a string of a special token, and those that the faster library refuses (its pattern fails on some million
+    blanks in a row), are left to the library that the file is made for.
     """
 
     def __init__(self, path: str):
@@ -64,9 +65,12 @@ class Reader:
         self.fast = tiktoken.Encoding("byte-level", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> bytes:
-        if self.special.search(text):
-            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        return self.fast.encode_to_numpy(text, disallowed_special=()).tobytes()
+        if not self.special.search(text):
+            try:
+                return self.fast.encode_to_numpy(text, disallowed_special=()).tobytes()
+            except ValueError:
+                pass
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
 
 _readers: dict[str, Reader] = {}

@@ -99,6 +99,19 @@ def test_pack(docs, rows):
     assert len(places) <= -(-total // 1024) + 1
 
 
+def test_pack_over_a_million_blanks(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(VOCABULARY)
+    texts = [" " * 1_200_000, "a\n" * 3 + "\n" * 1_200_000 + "b", "between"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(1)
+    got = {r["doc_id"]: r["n"] for r in packing.placed_pieces(docs, VOCABULARY).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
+    assert got == {i: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for i, t in enumerate(texts)}
+    reader = packing.Reader(VOCABULARY)
+    for t in texts:
+        assert reader.encode(t) == np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_pack_in_rounds(spark):
     sizes = [(i, 0, 0, int(x), 0) for i, x in enumerate(np.random.default_rng(1).integers(1, 1025, 4000))]
     pieces = spark.createDataFrame(sizes, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
