@@ -4,13 +4,13 @@ Each stage takes what its predecessor kept, written as Parquet, and returns the
 returns the pieces and their places. Low-quality documents go, repeated lines go, one document of each group of near
 copies stays, the sources are mixed to their weights, and the mix is packed.
 
-Defined results: see the operators. From the third stage on ids are unique (of rows that repeat an id, the one with the
-smallest text stays; null ids count as one), until the mix repeats documents.
+Defined results: see the operators. Rows are told apart by a number of their own, not by their id: of each group of near
+copies one row stays, whatever ids are null or repeated, and rows without near copies all stay.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lanternlog.llm import classifier, line_dedup, mixing, near_dedup, packing
 from lanternlog.llm.common import WORD, cut_lineage
@@ -19,6 +19,11 @@ from lanternlog.llm.queries import VOCABULARY
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """The rows with a number of their own, written so that every later step reads the same numbers."""
+    return cut_lineage(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is at least one half."""
     model = classifier.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -33,16 +38,16 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    kept = near_dedup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("stays"))
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi")
-    order = Window.partitionBy("doc_id").orderBy("text", "lang", "source", "n_chars")
-    return rows.withColumn("_row", F.row_number().over(order)).filter("_row = 1").select(*COLUMNS)
+    docs = numbered(docs)
+    kept = near_dedup.near_duplicates(docs, key="_row").filter("kept").select("_row")
+    return docs.join(kept, "_row", "left_semi").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: whole copies, and the part of the words where a run ends in one."""
-    plan = mixing.mix(docs).filter("taken > 0").select(F.col("doc_id").alias("id"), "size", "copies", "from", "to", "head")
-    rows = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("id")))
+    docs = numbered(docs)
+    plan = mixing.mix(docs, row="_row").filter("taken > 0").select("_row", "size", "copies", "from", "to", "head")
+    rows = docs.join(plan, "_row")
     whole = F.struct(F.lit(0).cast("bigint").alias("low"), F.col("size").alias("high"))
     part = F.struct(F.col("from").alias("low"), F.col("to").alias("high"))
     head = F.struct(F.lit(0).cast("bigint").alias("low"), F.col("head").alias("high"))

@@ -82,15 +82,19 @@ def mix(
     seed: str = "mix",
     block: int = BLOCK_WORDS,
     shard_words: int = SHARD_WORDS,
+    row: str | None = None,
 ) -> DataFrame:
     """What the mix takes of each document, one row per row of ``docs``.
 
+    ``row`` names a column of numbers that are unique to the rows; it is returned, too, and deals out null ids.
+
     Returns doc_id, size, source, source_size, target, taken, and what ``taken`` consists of: ``copies`` whole copies,
     the words from ``from`` up to ``to``, and the first ``head`` words.
     """
     name = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-"))
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key"))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-"), F.col(row)) if row else F.lit(""))))
+    carried = [row] if row else []
+    sized = docs.select(*carried, "doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key"))
     sized = cut_lineage(sized, "mix-sizes")
     per_source = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     per_source = per_source.withColumn(
@@ -114,7 +118,7 @@ def mix(
     quota = quota.select(F.col("source").alias("of"), F.col("shard").alias("part"), "quota")
 
     in_shard = Window.partitionBy("source", "shard")
-    order = in_shard.orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    order = in_shard.orderBy("key", "doc_id", "size", *carried).rowsBetween(Window.unboundedPreceding, 0)
     laid = dealt.withColumns({"end": F.sum("size").over(order), "length": F.sum("size").over(in_shard)})
     laid = laid.withColumn("start", F.col("end") - F.col("size"))
     laid = laid.join(quota, F.col("source").eqNullSafe(F.col("of")) & (F.col("shard") == F.col("part")), "left")
@@ -134,4 +138,4 @@ def mix(
     head = F.greatest(F.lit(0), F.least(F.col("end"), ring_to - F.col("length")) - F.col("start"))
     laid = laid.withColumns({"from": low - F.col("start"), "to": high - F.col("start"), "head": head})
     laid = laid.withColumn("taken", F.col("copies") * F.col("size") + F.col("to") - F.col("from") + F.col("head"))
-    return laid.select("doc_id", "size", "source", "source_size", "target", "taken", "copies", "from", "to", "head")
+    return laid.select(*carried, "doc_id", "size", "source", "source_size", "target", "taken", "copies", "from", "to", "head")

@@ -53,10 +53,10 @@ BITS = 512
 
 
 def sketches(docs: DataFrame, words: int, k: int) -> DataFrame:
-    """One row per row of ``docs``: id, n, node (digest of the set), sketch and parity."""
+    """One row per row of ``docs``: id, row, n, node (digest of the set), sketch and parity."""
 
     def rows(batch: dict) -> dict:
-        out = {"doc_id": batch["doc_id"], "n": [], "node": [], "sketch": [], "parity": []}
+        out = {"doc_id": batch["doc_id"], "row": batch["row"], "n": [], "node": [], "sketch": [], "parity": []}
         for text in batch["text"]:
             found = shingle_set(text, words)
             out["n"].append(len(found))
@@ -65,8 +65,8 @@ def sketches(docs: DataFrame, words: int, k: int) -> DataFrame:
             out["parity"].append(parity(found))
         return out
 
-    schema = "doc_id bigint, n bigint, node binary, sketch array<bigint>, parity array<bigint>"
-    return arrow_map(docs.select("doc_id", "text"), rows, schema)
+    schema = "doc_id bigint, row bigint, n bigint, node binary, sketch array<bigint>, parity array<bigint>"
+    return arrow_map(docs.select("doc_id", "row", "text"), rows, schema)
 
 
 def parity(found: np.ndarray) -> np.ndarray:
@@ -223,14 +223,20 @@ def next_leaders(rows: DataFrame, done: DataFrame, many: int) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, words: int = WORDS, percent: int = PERCENT, k: int = SKETCH, index: int = INDEX
+    docs: DataFrame, words: int = WORDS, percent: int = PERCENT, k: int = SKETCH, index: int = INDEX, key: str | None = None
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept, one row per row of ``docs``."""
+    """doc_id, n_shingles, component_id and kept, one row per row of ``docs``.
+
+    ``key`` names a column of numbers that are unique to the rows. It is returned, too, and of each component exactly
+    the row with the smallest id, and of these that with the smallest key, is kept; a row that links with nothing is.
+    """
     known = F.coalesce("doc_id", F.lit(NO_ID))
+    docs = docs.select("doc_id", (F.col(key) if key else F.lit(None)).cast("bigint").alias("row"), "text")
     full = cut_lineage(sketches(docs, words, k), "sketches")
-    rows = cut_lineage(full.select("doc_id", "n", "node"), "sets")
+    rows = cut_lineage(full.select("doc_id", "row", "n", "node"), "sets")
     first = [F.first(c).alias(c) for c in ("n", "sketch", "parity")]
-    classes = cut_lineage(full.filter("node is not null").groupBy("node").agg(F.min(known).alias("rep"), *first), "classes")
+    classes = full.filter("node is not null").groupBy("node").agg(F.min(F.struct(known.alias("rep"), "row")).alias("least"), *first)
+    classes = cut_lineage(classes.select("node", "least.rep", "least.row", "n", "sketch", "parity"), "classes")
     discard(full)
     plain = classes.select("node", "n", F.explode(F.slice("sketch", 1, index)).alias("value"))
     plain = cut_lineage(shared(plain), "lists")
@@ -241,14 +247,14 @@ def near_duplicates(
     roots = link_classes(classes, plain, texts, lists, words, percent, k, index)
     discard(texts)
 
-    placed = with_roots(classes.select("node", "rep"), roots)
-    least = placed.groupBy("root").agg(F.min("rep").alias("component"))
-    of_class = placed.join(least, "root").select("node", "component")
-    out = rows.select("doc_id", "n", "node").join(of_class, "node", "left")
+    placed = with_roots(classes.select("node", "rep", "row"), roots)
+    least = placed.groupBy("root").agg(F.min(F.struct("rep", "row")).alias("least"))
+    of_class = placed.join(least, "root").select("node", F.col("least.rep").alias("component"), F.col("least.row").alias("first"))
+    out = rows.join(of_class, "node", "left")
     component = F.nullif(F.coalesce("component", known), F.lit(NO_ID))
-    return out.select(
-        "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept")
-    )
+    kept = F.coalesce("first", "row") == F.col("row") if key else component.eqNullSafe(F.col("doc_id"))
+    named = [F.col("row").alias(key)] if key else []
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"), *named)
 
 
 def texts_of(rows: DataFrame, words: int) -> DataFrame:

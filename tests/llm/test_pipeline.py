@@ -41,3 +41,18 @@ def test_stages(spark, sf):
     for r in packed:
         room[r["sequence_id"]] += r["length"]
     assert max(room.values()) <= 1024 and len(room) <= -(-sum(room.values()) // 1024) + 3
+
+
+def test_rows_with_null_and_repeated_ids(spark):
+    """Of each group of near copies one row goes on, and every row without near copies, whatever their ids are."""
+    texts = [" ".join(f"t{i}w{k}" for k in range(60)) for i in range(5)]
+    rows = [(3, texts[0]), (5, texts[0] + " end"), (5, texts[1]), (None, texts[2]), (None, texts[3]), (None, texts[2] + " end"), (7, texts[4]), (7, texts[4]), (8, ""), (8, "")]
+    docs = spark.createDataFrame([(d, t, "en", "a", len(t)) for d, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3)
+    got = pipeline.near_duplicates(spark, docs, "").collect()
+    assert collections.Counter((r["doc_id"], r["text"].removesuffix(" end")) for r in got) == collections.Counter(
+        [(3, texts[0]), (5, texts[1]), (None, texts[2]), (None, texts[3]), (7, texts[4]), (8, ""), (8, "")]
+    )
+    twice = docs.filter("n_chars > 0")
+    taken = collections.Counter(w for r in pipeline.mix(spark, twice, "").collect() for w in r["text"].split())
+    assert max(taken[w] for w in texts[1].split()) <= 2 and max(taken[w] for w in texts[4].split()) <= 4
+    assert abs(sum(taken.values()) - 1.5 * sum(len(r["text"].split()) for r in twice.collect())) < 20
