@@ -53,10 +53,10 @@ BITS = 512
 
 
 def sketches(docs: DataFrame, words: int, k: int) -> DataFrame:
-    """One row per row of ``docs``: id, row, n, node (digest of the set), sketch and parity."""
+    """One row per row of ``docs``: id, row, mark, n, node (digest of the set), sketch and parity."""
 
     def rows(batch: dict) -> dict:
-        out = {"doc_id": batch["doc_id"], "row": batch["row"], "n": [], "node": [], "sketch": [], "parity": []}
+        out = {"doc_id": batch["doc_id"], "row": batch["row"], "mark": batch["mark"], "n": [], "node": [], "sketch": [], "parity": []}
         for text in batch["text"]:
             found = shingle_set(text, words)
             out["n"].append(len(found))
@@ -65,8 +65,8 @@ def sketches(docs: DataFrame, words: int, k: int) -> DataFrame:
             out["parity"].append(parity(found))
         return out
 
-    schema = "doc_id bigint, row bigint, n bigint, node binary, sketch array<bigint>, parity array<bigint>"
-    return arrow_map(docs.select("doc_id", "row", "text"), rows, schema)
+    schema = "doc_id bigint, row bigint, mark binary, n bigint, node binary, sketch array<bigint>, parity array<bigint>"
+    return arrow_map(docs.select("doc_id", "row", "mark", "text"), rows, schema)
 
 
 def parity(found: np.ndarray) -> np.ndarray:
@@ -231,17 +231,18 @@ def near_duplicates(
     the row with the smallest id, and of these that with the smallest key, is kept; a row that links with nothing is.
     """
     known = F.coalesce("doc_id", F.lit(NO_ID))
-    docs = docs.select("doc_id", (F.col(key) if key else F.lit(None)).cast("bigint").alias("row"), "text")
+    row, mark = F.col(key) if key else F.lit(None), F.unhex(F.md5(F.coalesce("text", F.lit(""))))
+    docs = docs.select("doc_id", row.cast("bigint").alias("row"), mark.alias("mark"), "text")
     full = cut_lineage(sketches(docs, words, k), "sketches")
     rows = cut_lineage(full.select("doc_id", "row", "n", "node"), "sets")
     first = [F.first(c).alias(c) for c in ("n", "sketch", "parity")]
-    classes = full.filter("node is not null").groupBy("node").agg(F.min(F.struct(known.alias("rep"), "row")).alias("least"), *first)
-    classes = cut_lineage(classes.select("node", "least.rep", "least.row", "n", "sketch", "parity"), "classes")
+    classes = full.filter("node is not null").groupBy("node").agg(F.min(F.struct(known.alias("rep"), "row", "mark")).alias("least"), *first)
+    classes = cut_lineage(classes.select("node", "least.rep", "least.row", "least.mark", "n", "sketch", "parity"), "classes")
     discard(full)
     plain = classes.select("node", "n", F.explode(F.slice("sketch", 1, index)).alias("value"))
     plain = cut_lineage(shared(plain), "lists")
-    asked = classes.join(plain.select("node").distinct(), "node", "left_semi").select("node", "rep")
-    texts = cut_lineage(texts_of(docs.select(known.alias("rep"), "text").join(asked, "rep"), words), "texts")
+    asked = classes.join(plain.select("node").distinct(), "node", "left_semi").select("node", "rep", "mark")
+    texts = cut_lineage(texts_of(docs.select(known.alias("rep"), "mark", "text"), asked), "texts")
     release(docs.sparkSession)
     lists = inverted_lists(classes, plain, texts, words, k, percent)
     roots = link_classes(classes, plain, texts, lists, words, percent, k, index)
@@ -257,19 +258,15 @@ def near_duplicates(
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"), *named)
 
 
-def texts_of(rows: DataFrame, words: int) -> DataFrame:
-    """(node, compressed text) of each node: of the rows under its id, one whose text has that set."""
+def texts_of(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(node, compressed text), one row per node of ``asked`` (node, rep, mark): the text of that id and digest."""
 
-    def own(batch: dict) -> dict:
-        out = {"node": [], "text": []}
+    def packed(batch: dict) -> dict:
         pack = zstandard.ZstdCompressor(level=3)
-        for node, text in zip(batch["node"], batch["text"]):
-            if digest(shingle_set(text, words)) == node:
-                out["node"].append(node)
-                out["text"].append(pack.compress(text.encode("utf-8", "surrogatepass")))
-        return out
+        return {"node": batch["node"], "text": [pack.compress(x.encode("utf-8", "surrogatepass")) for x in batch["text"]]}
 
-    return arrow_map(rows.select("node", "text"), own, "node binary, text binary")
+    rows = docs.groupBy("rep", "mark").agg(F.first("text").alias("text")).join(asked, ["rep", "mark"])
+    return arrow_map(rows.select("node", "text"), packed, "node binary, text binary")
 
 
 def unpacked(text: bytes) -> str:

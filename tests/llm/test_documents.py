@@ -200,6 +200,23 @@ def test_near_duplicates_in_long_lists(spark):
     assert bag((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got) == bag(brute_near(rows, 4, 80))
 
 
+def test_texts_are_fetched_once_for_equal_ids(spark):
+    """Null and repeated ids do not multiply the rows whose text is fetched; each class gets one text."""
+    rows = [(NO_ID, f"text {i}".encode(), f"text {i}") for i in range(40)] * 3 + [(7, b"a", "a"), (7, b"b", "b")]
+    docs = spark.createDataFrame(rows, "rep bigint, mark binary, text string").repartition(4)
+    asked = docs.select(F.col("mark").alias("node"), "rep", "mark").distinct()
+    got = near_dedup.texts_of(docs, asked).collect()
+    assert sorted((bytes(r["node"]).decode(), near_dedup.unpacked(r["text"])) for r in got) == sorted({(x[2], x[2]) for x in rows})
+
+
+def test_near_duplicates_with_null_ids(spark):
+    texts = [" ".join(f"g{i // 3}w{k}" for k in range(40)) + f" end{i % 3}" for i in range(60)]
+    rows = [{"doc_id": None if i % 3 else i, "text": t} for i, t in enumerate(texts)] * 2
+    docs = spark.createDataFrame([(r["doc_id"], r["text"]) for r in rows], "doc_id bigint, text string").repartition(3)
+    got = near_dedup.near_duplicates(docs, words=4).collect()
+    assert bag((r["doc_id"], r["n_shingles"], known(r["component_id"])) for r in got) == bag(brute_near(rows, 4, 80))
+
+
 def brute_lines(rows, extra=()):
     def key(line):
         line = line.strip(BLANK)
