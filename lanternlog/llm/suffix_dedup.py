@@ -1,11 +1,11 @@
-"""Removal of byte strings that an earlier document holds, by blockwise sorting of suffixes.
+"""Removal of byte strings that an earlier document holds, by hash grouping of sampled windows, block by block.
 
-Only the first ``length`` bytes of a suffix count, so suffixes are sorted to that depth. A cover sample picks, in every
+Only the first ``length`` bytes of a suffix count, so suffixes are grouped to that depth. A cover sample picks, in every
 string of ``length`` bytes, one of its 16-byte grams by content (the one with the smallest hash), so equal strings have
-the same cover gram at the same place. Runs of neighbouring suffixes with one cover gram form a record, and the ranks
-of the cover grams deal the records to blocks and, in a block, to buckets. One block of buckets is shuffled and sorted
+the same cover gram at the same place. Runs of neighbouring suffixes with one cover gram form a record, and the hash
+of the cover gram deals the records to blocks and, in a block, to buckets. One block of buckets is shuffled and solved
 at a time, so the space is that of a block. In a bucket, records whose cover gram occurs in one document only are done;
-the suffixes of the others are sorted, and equal neighbours are compared byte by byte.
+the suffixes of the others are ordered by a hash of their bytes, and equal neighbours are compared byte by byte.
 
 The driver's position is a loop over a fixed number of blocks. Exact copies are set apart first: each of them but the
 smallest id is covered whole. Results are spans (document, start, end), so the texts themselves never meet.
