@@ -73,4 +73,41 @@ select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, doc
 from documents window w as (partition by coalesce(text, ''))
 """
 
-ORACLE = {"op1_mix_sources": OP1, "op5_dedup_lines": OP5, "op7_exact_duplicates": OP7}
+#: CRC-32 by the table of its polynomial; ``crcs`` is the table as a list.
+CRC_TABLE = """bits as (
+  select n::bigint as n, n::bigint as v, 0 as k from range(256) as t(n)
+  union all
+  select n, case when v % 2 = 1 then xor(v // 2, 3988292384) else v // 2 end, k + 1 from bits where k < 8),
+crc_table as (select list(v order by n) as crcs from bits where k = 8)"""
+
+
+def crc32(text: str) -> str:
+    """SQL for the unsigned CRC-32 of a text, where ``crcs`` is in scope."""
+    return f"""xor(4294967295, list_reduce(
+      list_prepend(4294967295::bigint, list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: ('0x' || h)::bigint)),
+      lambda c, b: xor(c // 256, crcs[(xor(c, b) % 256) + 1])))::bigint"""
+
+
+OP12 = f"""
+with recursive {CRC_TABLE},
+rows as (
+  select doc_id, octet_length(encode(coalesce(text, '')))::bigint + 1 as size, {crc32("coalesce(text, '')")} as text_crc32,
+    md5(coalesce(doc_id::varchar, '')) as digest
+  from documents, crc_table),
+jumps as (
+  select digest, ('0x' || substr(digest, 1, 16))::hugeint as seed, 0::bigint as place, 0 as step from (select distinct digest from rows)
+  union all
+  select digest, next, floor((place + 1) * (2147483648::double / ((next // 8589934592)::double + 1)))::bigint, step + 1
+  from (select *, (seed * 2862933555777941757 + 1) % 18446744073709551616 as next from jumps where place <= 8)),
+shards as (
+  select digest, max(place) filter (where place < 8)::integer as shard, max(place) filter (where place < 9)::integer as grown_shard
+  from jumps group by digest),
+blocked as (
+  select *, (('0x' || substr(digest, 9, 8))::bigint + text_crc32) % (1 + (select count(*) from documents) // 65536) as block
+  from rows join shards using (digest))
+select doc_id, size, text_crc32, 'key' as law, shard,
+  row_number() over (partition by shard order by block, doc_id nulls first, size, text_crc32) - 1 as slot, grown_shard
+from blocked
+"""
+
+ORACLE = {"op1_mix_sources": OP1, "op5_dedup_lines": OP5, "op7_exact_duplicates": OP7, "op12_jump_shards": OP12}
