@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, classifier, exact_dedup, html_text, line_dedup, mixing, near_dedup, packing, quality_rules, sharding, suffix_dedup
+from . import chat, chat_repair, classifier, exact_dedup, html_text, line_dedup, mixing, near_dedup, packing, quality_rules, sharding, suffix_dedup
 from .oracle import ORACLE  # noqa: F401
 
 #: Both turns of the conversation that is added to the table.
@@ -69,6 +69,11 @@ def op12_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.manifest(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op13_repair_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = table(spark, sf_dir, "conversations")
+    return chat_repair.report(chats, chat_repair.damaged(chats))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -83,5 +88,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_remove_repeated,
         op10_quality_scores,
         op12_jump_shards,
+        op13_repair_chats,
     )
 }
