@@ -22,6 +22,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .common import cut_lineage
+
 #: Multiplier of the generator and the range of its upper bits.
 MULTIPLIER, RANGE = 2862933555777941757, float(2**31)
 LOW = 2**32 - 1
@@ -104,6 +106,7 @@ def manifest(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: str =
         F.crc32(body).alias("text_crc32"),
     )
     counted = rows.groupBy("key", "size", "text_crc32").agg(F.count(F.lit(1)).alias("n"))
+    counted = cut_lineage(counted, "shard-counts")
     counted = counted.withColumn("to", jumps(F.col("key"), shards)).select("*", "to.*").drop("to")
     counted = counted.withColumn("block", (key_halves(F.col("key"))[1] + F.col("text_crc32")) % blocks)
     inside = Window.partitionBy("shard", "block").orderBy(F.col("key").asc_nulls_first(), "size", "text_crc32")
