@@ -110,4 +110,109 @@ select doc_id, size, text_crc32, 'key' as law, shard,
 from blocked
 """
 
-ORACLE = {"op1_mix_sources": OP1, "op5_dedup_lines": OP5, "op7_exact_duplicates": OP7, "op12_jump_shards": OP12}
+OP11 = f"""
+with recursive {CRC_TABLE},
+turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text,
+    md5('0:' || length(coalesce(role, ''))::varchar || ':' || coalesce(role, '') || coalesce(text, '')) as digest
+  from conversations),
+own as (
+  select conv_id, list(length(role)::varchar || ':' || role || text order by turn nulls first, digest) as turns,
+    list(octet_length(encode(text)) order by turn nulls first, digest) as bytes
+  from turns group by conv_id),
+lengths as (select own.*, {crc32("coalesce(conv_id::varchar, '')")} % 9 as h, conv_id - conv_id % 5 as base_id from own, crc_table),
+whole as (
+  select c.conv_id, list_concat(coalesce(b.turns, [])[1:c.h], c.turns[c.h + 1:]) as path,
+    list_concat(coalesce(b.bytes, [])[1:c.h], c.bytes[c.h + 1:]) as bytes
+  from lengths c left join own b on c.base_id = b.conv_id),
+members as (
+  select conv_id, d, path[1:d] as prefix, len(path) as n, case when d > 0 then bytes[d] else 0 end as bytes
+  from whole, unnest(range(0, len(path) + 1)) as u(d)),
+nodes as (
+  select d, prefix, min(conv_id) as conv_id, count(*) as n_convs, (count(*) - 1) * any_value(bytes) as saved, max(n) = d as leaf,
+    coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where n = d), '') as ends
+  from members group by d, prefix),
+above as (select prefix[1:a] as prefix, a as d, leaf, saved from nodes, unnest(range(0, d + 1)) as u(a)),
+sums as (select d, prefix, sum(leaf::int)::bigint as n_leaves, sum(saved)::bigint as saved_tokens from above group by d, prefix),
+children as (select d - 1 as d, prefix[1:d - 1] as prefix, count(*) as n_children from nodes where d > 0 group by all)
+select n.conv_id, n.d::bigint as depth, p.conv_id as parent_conv_id, n.n_convs, coalesce(c.n_children, 0)::bigint as n_children,
+  s.n_leaves, s.saved_tokens, sha256(n.ends) as ends_sha256
+from nodes n join sums s on n.d = s.d and n.prefix = s.prefix
+left join children c on n.d = c.d and n.prefix = c.prefix
+left join nodes p on n.d - 1 = p.d and n.prefix[1:n.d - 1] = p.prefix
+"""
+
+#: A conversation's edits as the best cost and audit by the state reached (nothing, s, u, a), turn by turn.
+OP13 = f"""
+with recursive {CRC_TABLE},
+coded as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    {crc32("coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')")} % 20 as code
+  from conversations, crc_table),
+damaged as (
+  select conv_id, turn, case when code = 4 then 'user' else role end as role,
+    case code when 1 then '' when 2 then translate(text, '.!?', '') else text end as text
+  from coded, unnest(case code when 0 then [] when 3 then [1, 2] else [1] end) as u(copy)),
+placed as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, identity) as i,
+    row_number() over (partition by conv_id, identity order by turn nulls first) > 1 as seen,
+    right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) as last
+  from (select *, sha256(length(role)::varchar || ':' || role || text) as identity from damaged)),
+judged as (
+  select *, left(role, 1) as initial,
+    case when last = '' then 'blank' when seen then 'duplicate' when last not in ('.', '!', '?') then 'truncated' else '' end as fault
+  from placed),
+counts as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint as gaps,
+    count(*) filter (where fault = 'blank') as blank, count(*) filter (where fault = 'duplicate') as duplicate,
+    count(*) filter (where fault = 'truncated') as truncated, count(*) as n
+  from judged group by conv_id),
+neighbours as (select *, lag(initial) over (partition by conv_id order by i) || initial as pair from judged),
+illegals as (select conv_id, count(*) filter (where pair not in ('su', 'ua', 'au')) as illegal from neighbours group by conv_id),
+inserts as (select * from (values
+  ('', '', '', 0), ('', 'I', 'u', 2), ('', 'II', 'a', 4), ('s', '', 's', 0), ('s', 'I', 'u', 2), ('s', 'II', 'a', 4),
+  ('u', '', 'u', 0), ('u', 'I', 'a', 2), ('a', '', 'a', 0), ('a', 'I', 'u', 2)) as t(was, added, now, price)),
+edits as (
+  select conv_id, i, was, edit, now, price + case when fault = 'truncated' and edit <> 'D' then 1 else 0 end as price
+  from judged, (values
+    ('', 'R', 'u', 2), ('s', 'R', 'u', 2), ('u', 'R', 'a', 2), ('a', 'R', 'u', 2), ('', 'D', '', 3), ('s', 'D', 's', 3),
+    ('u', 'D', 'u', 3), ('a', 'D', 'a', 3), ('', 'K', 's', 0), ('', 'K', 'u', 0), ('s', 'K', 'u', 0), ('u', 'K', 'a', 0), ('a', 'K', 'u', 0))
+    as t(was, edit, now, price)
+  where case edit when 'K' then initial = now and fault not in ('blank', 'duplicate')
+    when 'R' then fault not in ('blank', 'duplicate') else true end),
+steps as (
+  select e.conv_id, e.i, n.was, n.added || e.edit as letters, e.now, n.price + e.price as price from edits e join inserts n on n.now = e.was),
+best as (
+  select conv_id, 0::bigint as i, '' as state, 0 as cost, '' as audit from counts
+  union all
+  select conv_id, i, state, found.cost, found.audit
+  from (
+    select b.conv_id, b.i + 1 as i, s.now as state, min({{'cost': b.cost + s.price, 'audit': b.audit || s.letters}}) as found
+    from best b join steps s on s.conv_id is not distinct from b.conv_id and s.i = b.i + 1 and s.was = b.state
+    group by b.conv_id, b.i, s.now)),
+ended as (
+  select b.conv_id, min({{'cost': b.cost + n.price, 'audit': b.audit || n.added}}) as found
+  from best b join counts c on c.conv_id is not distinct from b.conv_id and c.n = b.i
+  join inserts n on n.was = b.state where n.now in ('', 'a') group by b.conv_id),
+walk as (
+  select conv_id, found.audit as audit, 0 as spot, 0::bigint as i, '' as state, null::varchar as line from ended
+  union all
+  select w.conv_id, w.audit, w.spot + 1, w.i + case substr(w.audit, w.spot + 1, 1) when 'I' then 0 else 1 end,
+    case substr(w.audit, w.spot + 1, 1) when 'D' then w.state when 'K' then j.initial else case w.state when 'u' then 'a' else 'u' end end,
+    case substr(w.audit, w.spot + 1, 1) when 'D' then null when 'K' then j.role || ':' || j.text
+      when 'I' then case w.state when 'u' then 'assistant:' else 'user:' end
+      else case w.state when 'u' then 'assistant:' else 'user:' end || j.text end
+  from walk w left join judged j on j.conv_id is not distinct from w.conv_id and j.i = w.i + 1
+  where w.spot < length(w.audit)),
+texts as (select conv_id, string_agg(line, chr(10) order by spot) as repaired from walk group by conv_id)
+select c.conv_id, coalesce(n.gaps, 0)::bigint as gaps, coalesce(n.blank, 0)::bigint as blank,
+  coalesce(n.duplicate, 0)::bigint as duplicate, coalesce(n.truncated, 0)::bigint as truncated, coalesce(l.illegal, 0)::bigint as illegal,
+  coalesce(e.found.cost, 0)::bigint as cost, coalesce(e.found.audit, '') as audit, sha256(coalesce(t.repaired, '')) as repaired_sha256
+from (select distinct conv_id from conversations) c
+left join counts n on n.conv_id is not distinct from c.conv_id
+left join illegals l on l.conv_id is not distinct from c.conv_id
+left join ended e on e.conv_id is not distinct from c.conv_id
+left join texts t on t.conv_id is not distinct from c.conv_id
+"""
+
+ORACLE = {"op1_mix_sources": OP1, "op5_dedup_lines": OP5, "op7_exact_duplicates": OP7, "op11_prefix_trie": OP11, "op12_jump_shards": OP12, "op13_repair_chats": OP13}

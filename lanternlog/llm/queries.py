@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, chat_repair, classifier, exact_dedup, html_text, line_dedup, mixing, near_dedup, packing, quality_rules, sharding, suffix_dedup
+from . import chat, chat_repair, classifier, exact_dedup, html_text, line_dedup, mixing, near_dedup, packing, prefix_trie, quality_rules, sharding, suffix_dedup
 from .oracle import ORACLE  # noqa: F401
 
 #: Both turns of the conversation that is added to the table.
@@ -65,6 +65,10 @@ def op10_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.manifest(table(spark, sf_dir, "documents"), shards=8)
 
@@ -87,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_format_chats,
         op9_remove_repeated,
         op10_quality_scores,
+        op11_prefix_trie,
         op12_jump_shards,
         op13_repair_chats,
     )
