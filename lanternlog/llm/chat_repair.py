@@ -28,7 +28,7 @@ from __future__ import annotations
 
 import hashlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from itertools import groupby
 
@@ -211,7 +211,8 @@ def judged(turns: DataFrame) -> DataFrame:
         .when(~F.col("end").isin(".", "!", "?"), TRUNCATED)
         .otherwise(NO_FAULT)
     )
-    return rows.select("conv_id", "turn", "identity", "state", fault.alias("fault"))
+    rows = rows.select("conv_id", "turn", "identity", "state", fault.alias("fault"))
+    return rows.withColumn("again", F.col("fault") == DUPLICATE)  # of equal rows of a turn, the first one comes first
 
 
 def audited(rows: Iterator[dict]) -> Iterator[dict]:
@@ -236,15 +237,15 @@ def audited(rows: Iterator[dict]) -> Iterator[dict]:
         yield dict(zip(names(AUDITS), (conv, gaps, *faults[BLANK:], illegal, cost, audit)))
 
 
-def in_order(rows: DataFrame, *first: str) -> DataFrame:
-    order = ["conv_id", *first, F.col("turn").asc_nulls_first(), "identity"]
+def in_order(rows: DataFrame, first: Sequence[str] = (), last: Sequence[str] = ()) -> DataFrame:
+    order = ["conv_id", *first, F.col("turn").asc_nulls_first(), "identity", *last]
     return rows.repartition("conv_id").sortWithinPartitions(*order)
 
 
 def audits(turns: DataFrame) -> DataFrame:
     """Faults, cost and edits of every conversation; written, as the edits and the counts are read apart."""
     fields = arrow_schema(AUDITS)
-    rows = in_order(judged(turns)).select("conv_id", "turn", "state", "fault")
+    rows = in_order(judged(turns), last=["again"]).select("conv_id", "turn", "state", "fault")
     return cut_lineage(rows.mapInArrow(lambda b: by_batches(audited(rows_of(b)), fields), AUDITS), "audits")
 
 
@@ -267,7 +268,7 @@ def repaired(turns: DataFrame, found: DataFrame) -> DataFrame:
     fields = arrow_schema(TURNS)
     rows = identified(turns).withColumns({"kind": F.lit(1), "audit": F.lit(None).cast("string")})
     heads = found.select("conv_id", "audit").withColumn("kind", F.lit(0))
-    rows = in_order(rows.unionByName(heads, allowMissingColumns=True), "kind")
+    rows = in_order(rows.unionByName(heads, allowMissingColumns=True), ["kind"])
     return rows.select("conv_id", "turn", "role", "text", "audit").mapInArrow(lambda b: by_batches(edited(rows_of(b)), fields), TURNS)
 
 

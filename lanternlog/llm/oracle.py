@@ -153,11 +153,12 @@ damaged as (
   select conv_id, turn, case when code = 4 then 'user' else role end as role,
     case code when 1 then '' when 2 then translate(text, '.!?', '') else text end as text
   from coded, unnest(case code when 0 then [] when 3 then [1, 2] else [1] end) as u(copy)),
+identified as (select *, sha256(length(role)::varchar || ':' || role || text) as identity from damaged),
+met as (select *, row_number() over (partition by conv_id, identity order by turn nulls first) > 1 as seen from identified),
 placed as (
-  select *, row_number() over (partition by conv_id order by turn nulls first, identity) as i,
-    row_number() over (partition by conv_id, identity order by turn nulls first) > 1 as seen,
+  select *, row_number() over (partition by conv_id order by turn nulls first, identity, seen) as i,
     right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) as last
-  from (select *, sha256(length(role)::varchar || ':' || role || text) as identity from damaged)),
+  from met),
 judged as (
   select *, left(role, 1) as initial,
     case when last = '' then 'blank' when seen then 'duplicate' when last not in ('.', '!', '?') then 'truncated' else '' end as fault
