@@ -85,6 +85,9 @@ CATEGORY_SIGNAL = 0.30
 # Composite severity labels from a score upwards.
 COMPOSITE_SEVERITY = [(0.85, "critical"), (0.65, "high"), (0.45, "medium")]
 
+# A standard deviation below this counts as none.
+FLAT_STD = 1e-9
+
 # z-score labels and confidences from a z-score upwards.
 ZSCORE_LABELS = [(4.0, "critical", 0.98), (3.0, "high", 0.90), (2.5, "medium", 0.80)]
 

@@ -12,6 +12,7 @@ from lanternlog.params import DEFAULTS, Params
 
 KEYS = ["tenant_id", "service"]
 HOUR = 3600
+BLOCK_SECONDS = 3600
 
 
 def bucket_start(p: Params) -> Column:
@@ -34,25 +35,37 @@ def bucket_history(buckets: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     The frame reaches back to ``window - bucket`` seconds.  A row exactly at
     its bucket's start also still sees the bucket one full window earlier,
     unless the window is already full (``edge_*`` columns).
+
+    A service's buckets are cut into blocks of an hour, and the last window
+    of a block is copied to the next one, so no task holds a service's whole
+    time.  Deviations are summed from the frame's own mean.
     """
-    by = W.partitionBy(*KEYS).orderBy("bucket")
+    length = max(BLOCK_SECONDS, p.window_seconds)
+    block = F.floor(F.col("bucket") / length)
+    near_end = F.col("bucket") % length >= length - p.window_seconds
+    places = F.when(near_end, F.array(block, block + 1)).otherwise(F.array(block))
+    cut = buckets.withColumn("block", F.explode(places))
+    by = W.partitionBy(*KEYS, "block").orderBy("bucket")
     before = by.rangeBetween(-(p.window_seconds - p.bucket_seconds), -p.bucket_seconds)
     edge = by.rangeBetween(-p.window_seconds, -p.window_seconds)
     rate = F.col("errors") / F.col("total")
     capacity = p.window_seconds // p.bucket_seconds
     prev_n = F.count(F.lit(1)).over(before)
     edge_n = F.count(F.lit(1)).over(edge)
-    return buckets.withColumns(
+    out = cut.withColumns(
         {
             "prev_n": prev_n,
+            "prev_rates": F.collect_list(rate).over(before),
             "prev_rate": F.coalesce(F.sum(rate).over(before), F.lit(0.0)),
-            "prev_rate2": F.coalesce(F.sum(rate * rate).over(before), F.lit(0.0)),
             "prev_errors": F.coalesce(F.sum("errors").over(before), F.lit(0)),
             "edge_n": F.when(prev_n <= capacity - 2, edge_n).otherwise(F.lit(0)),
             "edge_rate": F.coalesce(F.sum(rate).over(edge), F.lit(0.0)),
             "edge_errors": F.coalesce(F.sum("errors").over(edge), F.lit(0)),
         }
-    )
+    ).where(F.col("block") == block)
+    mean = F.col("prev_rate") / F.col("prev_n")
+    squares = F.aggregate("prev_rates", F.lit(0.0), lambda total, r: total + (r - mean) * (r - mean))
+    return out.withColumn("prev_m2", squares).drop("block", "prev_rates")
 
 
 def piece_context(logs: DataFrame, p: Params = DEFAULTS, history: DataFrame | None = None) -> DataFrame:
@@ -195,32 +208,47 @@ def error_templates(logs: DataFrame) -> DataFrame:
     )
 
 
+def _statistics(rows: DataFrame, edge: Column) -> DataFrame:
+    """Window statistics from the earlier buckets, the one at the edge if ``edge`` holds, and the current one.
+
+    Squares are taken of deviations from the common mean, so rates that
+    differ by little keep their difference.
+    """
+    rate = F.col("run_errors") / F.col("run_total")
+    n = F.col("prev_n") + F.when(edge, 1).otherwise(0)
+    mean = (F.col("prev_rate") + F.when(edge, F.col("edge_rate")).otherwise(0.0) + rate) / (n + 1)
+    rows = rows.withColumns(
+        {
+            "buckets": n + 1,
+            "current_rate": rate,
+            "mean_rate": mean,
+            "window_errors": F.col("prev_errors") + F.when(edge, F.col("edge_errors")).otherwise(0),
+            "window_n": n,
+        }
+    )
+
+    def square(value: Column) -> Column:
+        return (value - F.col("mean_rate")) * (value - F.col("mean_rate"))
+
+    earlier = F.when(F.col("prev_n") > 0, F.col("prev_m2") + F.col("prev_n") * square(F.col("prev_rate") / F.col("prev_n")))
+    total = F.coalesce(earlier, F.lit(0.0)) + F.when(edge, square(F.col("edge_rate"))).otherwise(0.0) + square(F.col("current_rate"))
+    std = F.sqrt(total / F.col("buckets"))
+    return rows.withColumn("std_rate", F.when(std < fixed.FLAT_STD, 0.0).otherwise(std)).withColumn(
+        "z_score",
+        F.when(F.col("std_rate") > 0, F.round((F.col("current_rate") - F.col("mean_rate")) / F.col("std_rate"), 9)),
+    )
+
+
 def bucket_errors_zscore(context: DataFrame) -> DataFrame:
     """Window statistics of rows that carry a piece context and running counts."""
-    at_edge = _at_edge()
-    rate = F.col("run_errors") / F.col("run_total")
-    n = F.col("prev_n") + F.when(at_edge, 1).otherwise(0)
-    total = F.col("prev_rate") + F.when(at_edge, F.col("edge_rate")).otherwise(0.0)
-    squares = F.col("prev_rate2") + F.when(at_edge, F.col("edge_rate") * F.col("edge_rate")).otherwise(0.0)
-    mean = (total + rate) / (n + 1)
-    variance = (squares + rate * rate) / (n + 1) - mean * mean
-    return (
-        context.withColumns(
-            {
-                "buckets": n + 1,
-                "current_rate": rate,
-                "mean_rate": mean,
-                "std_rate": F.sqrt(F.greatest(variance, F.lit(0.0))),
-                "window_errors": F.col("prev_errors") + F.when(at_edge, F.col("edge_errors")).otherwise(0),
-                "window_n": n,
-            }
-        )
-        # the sum-of-squares form leaves noise of about 1e-8 where all rates are equal
-        .withColumn("std_rate", F.when(F.col("std_rate") < 1e-7, 0.0).otherwise(F.col("std_rate")))
-        .withColumn(
-            "z_score",
-            F.when(F.col("std_rate") > 0, F.round((F.col("current_rate") - F.col("mean_rate")) / F.col("std_rate"), 9)),
-        )
+    return _statistics(context, _at_edge())
+
+
+def bucket_scores(buckets: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """Window statistics of whole buckets, as they stand when a bucket has ended."""
+    rows = bucket_history(buckets, p).withColumns({"run_total": F.col("total"), "run_errors": F.col("errors")})
+    return _statistics(rows, F.lit(False)).select(
+        *KEYS, "bucket", "total", "errors", "buckets", "current_rate", "mean_rate", "std_rate", "z_score"
     )
 
 
@@ -257,6 +285,6 @@ def with_window_statistics(
         }
     )
     return bucket_errors_zscore(joined).drop(
-        "pc_sec", "pc_block", "total_before", "errors_before", "prev_n", "prev_rate", "prev_rate2",
+        "pc_sec", "pc_block", "total_before", "errors_before", "prev_n", "prev_rate", "prev_m2",
         "prev_errors", "edge_n", "edge_rate", "edge_errors",
     )

@@ -224,7 +224,7 @@ CTES: dict[str, str] = {
              count(*) filter (level in ('ERROR', 'FATAL', 'CRITICAL')) as errors
       from logs group by all""",
     "hist": """
-      select *, count(*) over w as prev_n, coalesce(sum(r) over w, 0) as prev_r, coalesce(sum(r * r) over w, 0) as prev_r2,
+      select *, count(*) over w as prev_n, coalesce(sum(r) over w, 0) as prev_r, coalesce(list(r) over w, []) as rates,
              coalesce(sum(errors) over w, 0) as prev_e,
              count(*) over e as edge_n, coalesce(sum(r) over e, 0) as edge_r, coalesce(sum(errors) over e, 0) as edge_e
       from (select *, errors / total as r from buckets)
@@ -232,12 +232,12 @@ CTES: dict[str, str] = {
              e as (partition by tenant_id, service order by bucket range between 300 preceding and 300 preceding)""",
     "stats": """
       select *, case when std_rate > 0 then round((current_rate - mean_rate) / std_rate, 9) end as z_score from (
-        select *, case when s0 < 1e-7 then 0 else s0 end as std_rate from (
-          select *, sqrt(greatest((sum_r2 + current_rate * current_rate) / buckets - mean_rate * mean_rate, 0)) as s0 from (
+        select *, case when s0 < 1e-9 then 0 else s0 end as std_rate from (
+          select *, sqrt(list_sum(list_transform(all_rates, lambda r: (r - mean_rate) * (r - mean_rate))) / buckets) as s0 from (
             select *, (sum_r + current_rate) / buckets as mean_rate from (
               select log_seq, run_errors, prev_n + edge as window_n, prev_n + edge + 1 as buckets,
-                     prev_r + edge * edge_r as sum_r, prev_r2 + edge * edge_r * edge_r as sum_r2,
-                     prev_e + edge * edge_e as window_errors, run_errors / run_total as current_rate
+                     prev_r + edge * edge_r as sum_r, prev_e + edge * edge_e as window_errors, run_errors / run_total as current_rate,
+                     list_concat(rates, case when edge = 1 then [edge_r] else [] end, [run_errors / run_total]) as all_rates
               from (
                 select l.log_seq, h.*, case when l.epoch = h.bucket and h.edge_n > 0 and h.prev_n <= 28 then 1 else 0 end as edge,
                   count(*) over r as run_total, count(*) filter (l.level in ('ERROR', 'FATAL', 'CRITICAL')) over r as run_errors
@@ -511,6 +511,15 @@ _BODIES: dict[str, str] = {
     "zscore_rows": """
       select log_seq, buckets, round(current_rate, 6) as current_rate, round(mean_rate, 6) as mean_rate, round(std_rate, 6) as std_rate,
         round(z_score, 5) as z_score from stats where buckets >= 3""",
+    "late_repair": """
+      select tenant_id, service, bucket, total, errors, buckets, round(mean_rate, 6) as mean_rate, round(std_rate, 6) as std_rate,
+        case when std_rate >= 1e-9 then round((r - mean_rate) / std_rate, 5) end as z_score from (
+        select *, sqrt(list_sum(list_transform(all_rates, lambda v: (v - mean_rate) * (v - mean_rate))) / buckets) as std_rate from (
+          select *, (prev_r + r) / (prev_n + 1) as mean_rate, prev_n + 1 as buckets, list_append(rates, r) as all_rates from hist))""",
+    "late_counts": f"""
+      select tenant_id, service, count(*) as late, max(mark - epoch)::double as most_seconds from (
+        select *, {T0} - 121 + 100 * (log_seq // 400 + case when log_seq % 13 = 0 then 6 else 0 end) as mark from logs)
+      where epoch < mark group by all""",
     "velocity": f"select s.log_seq, s.run_errors, v.velocity_w from stats s join velo v using (log_seq) join logs l using (log_seq) where l.{ERR}",
     "recurrence": f"""
       select log_seq, occurrence, case when occurrence = 1 then 0.3::double else 0.1 end as recurrence_w from (
@@ -538,6 +547,16 @@ _BODIES: dict[str, str] = {
       select tenant_id, service, round(case when service = 'svc-3' then 0 else error_rate_1h end, 6) as error_rate_1h,
         case when service = 'svc-3' then 0 else p99_latency_1h end as p99_latency_1h,
         case when service = 'svc-3' then 'default' end as source, count(*) as n from featured group by all""",
+    "feature_asof": """
+      select l.log_seq, round(coalesce(f.error_rate, 0), 6) as error_rate, coalesce(f.n, 0)::double as request_rate,
+        coalesce(f.anomalies, 0)::bigint as anomalies, case when f.n is null then 'default' end as source
+      from logs l asof left join (
+        select tenant_id, service, epoch - epoch % 300 + 300 as computed, count(*) as n, any_value(a.found) as anomalies,
+          count(*) filter (level in ('ERROR', 'FATAL', 'CRITICAL')) / count(*) as error_rate
+        from (select *, epoch - epoch % 300 as part from logs)
+        left join (select tenant_id, service, epoch - epoch % 300 as part, count(*) as found from rules group by all) a using (tenant_id, service, part)
+        group by all) f
+      on l.tenant_id = f.tenant_id and l.service = f.service and l.epoch >= f.computed""",
     "feature_freshness": f"""
       select max(hour_epoch) + 3600 as newest_epoch, {T0 + 40 * 3600} - (max(hour_epoch) + 3600) as age_seconds,
         {T0 + 40 * 3600} - (max(hour_epoch) + 3600) > 3600 as stale from features""",

@@ -15,6 +15,7 @@ from lanternlog.plans import views
 from lanternlog.session import work_path
 from lanternlog.sources import readers, writers
 from lanternlog.sources.logview import log_view, spread, table
+from lanternlog.streaming import late
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -268,6 +269,39 @@ def erroring_services(spark, sf):
     return s.select("tenant_id", "sec", "services", windows.blast_weight(F.col("services")).alias("blast_w"))
 
 
+@query
+def late_repair(spark, sf):
+    """Bucket scores after the repair of what late rows touch.
+
+    Every 13th row arrives six blocks of 100 seconds after its own; rows older
+    than their block's watermark are late.
+    """
+    logs = log_view(spark, sf)
+    late_ = _is_late()
+    counts, side = windows.bucket_rates(logs.where(~late_)), windows.bucket_rates(logs.where(late_))
+    scores = windows.bucket_scores(counts).withColumn("version", F.lit(0))
+    scores = scores.unionByName(late.corrections(counts, side).withColumn("version", F.lit(1)))
+    return late.newest(scores).select(
+        "tenant_id", "service", "bucket", "total", "errors", F.col("buckets").cast("long").alias("buckets"),
+        F.round("mean_rate", 6).alias("mean_rate"), F.round("std_rate", 6).alias("std_rate"), F.round("z_score", 5).alias("z_score"),
+    )
+
+
+def _watermark_ms():
+    arrival = F.expr("log_seq div 400") + F.when(F.col("log_seq") % 13 == 0, 6).otherwise(0)
+    return (F.lit(SPARK_EPOCH - 121) + 100 * arrival) * 1000
+
+
+def _is_late():
+    return F.unix_millis("ts") < _watermark_ms()
+
+
+@query
+def late_counts(spark, sf):
+    logs = log_view(spark, sf).withColumn("watermark_ms", _watermark_ms())
+    return late.late_counts(logs.where(F.unix_millis("ts") < F.col("watermark_ms")))
+
+
 # --- composite scorer --------------------------------------------------------
 
 
@@ -322,6 +356,18 @@ def feature_enrich(spark, sf):
     ).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def feature_asof(spark, sf):
+    """Rows with the five-minute features that were computed by their own time."""
+    logs = log_view(spark, sf)
+    f = features.hourly_features(logs, rule_score.rule_score(logs), seconds=300)
+    rows = features.enrich_asof(logs.select("log_seq", "ts", "tenant_id", "service"), f)
+    return rows.select(
+        "log_seq", F.round("ml_features.error_rate_1h", 6).alias("error_rate"), F.col("ml_features.request_rate_1h").alias("request_rate"),
+        F.col("ml_features.anomaly_history_count").cast("long").alias("anomalies"), F.col("ml_features._source").alias("source"),
+    )
+
+
 @query
 def feature_freshness(spark, sf):
     logs = log_view(spark, sf)

@@ -66,13 +66,17 @@ def rule_events(rows: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     return rs.rule_score(rows, p)
 
 
-def enrich_each(rows: DataFrame, features_path: str, sink, checkpoint: str, interval: str | None = "60 seconds"):
-    """Join the stored features, read anew for every micro-batch, and hand the rows to ``sink``."""
+def enrich_each(rows: DataFrame, features_path: str, sink, checkpoint: str, interval: str | None = "60 seconds", replay: bool = False):
+    """Join the stored features, read anew for every micro-batch, and hand the rows to ``sink``.
+
+    A replay joins the features that were computed by a row's own time.
+    """
+    join = ft.enrich_asof if replay else ft.enrich
 
     def each(batch: DataFrame, batch_id: int) -> None:
         fresh = ft.not_enriched(batch)
         found = batch.sparkSession.read.parquet(features_path)
-        sink(ft.enrich(fresh, found).withColumn("enriched_at", F.current_timestamp()), batch_id)
+        sink(join(fresh, found).withColumn("enriched_at", F.current_timestamp()), batch_id)
 
     return start(rows, each, checkpoint, interval, "enrich")
 
