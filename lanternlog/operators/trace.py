@@ -1,8 +1,10 @@
 """Trace correlation: timeline, service flow, root cause, blast radius.
 
-A trace is read up to a row cap, kept by a top-n window whose first stage
-runs before the shuffle; after it every trace is one bounded array, and the
-rest is array expressions without another shuffle.
+All rows of a trace count, however long it is.  A trace is folded in two
+steps: rows to one entry per service with its first row, first error and
+counts (combined where the rows are read, so a long trace reaches the shuffle
+as a few entries), then the services of a trace to its flow and root.  Only
+the list of rows that is shown with a trace is shortened, and says so.
 """
 
 from __future__ import annotations
@@ -17,84 +19,106 @@ from lanternlog.session import cut_lineage
 
 KEYS = ["tenant_id", "trace_id"]
 ROW = ["ts", "log_seq", "service", "level", "message", "span_id"]
+PIECE_SECONDS = 60
+SALTS = 16
+
+
+def traced(logs: DataFrame) -> DataFrame:
+    return logs.where(F.coalesce(F.col("trace_id"), F.lit("")) != "")
 
 
 def failed_traces(logs: DataFrame) -> DataFrame:
     """Traces with an error row, and the first such row as the trigger."""
-    rows = logs.where(is_error(F.col("level")) & (F.coalesce(F.col("trace_id"), F.lit("")) != ""))
+    rows = traced(logs).where(is_error(F.col("level")))
     first = F.min_by(F.struct(*ROW), F.struct("ts", "log_seq"))
     return rows.groupBy(*KEYS).agg(first.alias("trigger"))
 
 
-def trace_rows(logs: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """The earliest rows of each failed trace, up to the row cap."""
-    order = W.partitionBy(*KEYS).orderBy("ts", "log_seq")
-    rows = logs.where(F.coalesce(F.col("trace_id"), F.lit("")) != "").select(*KEYS, *ROW)
-    capped = rows.withColumn("seq", F.row_number().over(order)).where(F.col("seq") <= p.trace_row_cap)
-    return capped.join(failed_traces(logs).select(*KEYS), KEYS, "left_semi")
+def trace_rows(logs: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """All rows of the failed traces.
 
+    The traces are few columns wide; where they are not small enough to be
+    broadcast, the join is salted, so a long trace is not one task.
+    """
+    failed = traced(logs).where(is_error(F.col("level"))).select(*KEYS).distinct() if failed is None else failed.select(*KEYS)
+    salted = failed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = traced(logs).select(*KEYS, *ROW).withColumn("salt", F.pmod("log_seq", F.lit(SALTS)).cast("int"))
+    return rows.join(salted, [*KEYS, "salt"], "left_semi").drop("salt")
 
-def trace_steps(rows: DataFrame) -> DataFrame:
-    """Rows of a trace in order, with the time since the trace's previous row."""
-    order = W.partitionBy(*KEYS).orderBy("ts", "log_seq")
-    return rows.withColumns(
-        {
-            "seq": F.row_number().over(order),
-            "gap_ms": (F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(order))) / 1000.0,
-            "offset_ms": (F.unix_micros("ts") - F.unix_micros(F.first("ts").over(order))) / 1000.0,
-        }
-    )
 
+def trace_steps(rows: DataFrame) -> DataFrame:
+    """Rows of a trace in order, with the time since the trace's previous row.
 
-def timelines(logs: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """One row per failed trace with its ordered log rows."""
-    row = F.struct(*ROW)
-    return (
-        trace_rows(logs, p)
-        .groupBy(*KEYS)
-        .agg(F.array_sort(F.collect_list(row)).alias("request_trace"))
+    A trace is cut into minutes; what lies before a minute is found from one
+    row per minute, so no task holds a long trace.
+    """
+    cut = rows.withColumn("piece", F.floor(F.unix_seconds("ts") / PIECE_SECONDS))
+    place = [*KEYS, "piece"]
+    pieces = cut.groupBy(*place).agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("from"), F.max("ts").alias("to"))
+    earlier = W.partitionBy(*KEYS).orderBy("piece")
+    pieces = pieces.select(
+        *place,
+        (F.sum("n").over(earlier) - F.col("n")).alias("before"),
+        F.lag("to").over(earlier).alias("last"),
+        F.first("from").over(earlier).alias("begin"),
     )
+    inside = W.partitionBy(*place).orderBy("ts", "log_seq")
+    previous = F.coalesce(F.lag("ts").over(inside), F.col("last"))
+    return cut.join(pieces, place).withColumns(
+        {
+            "seq": F.col("before") + F.row_number().over(inside),
+            "gap_ms": (F.unix_micros("ts") - F.unix_micros(previous)) / 1000.0,
+            "offset_ms": (F.unix_micros("ts") - F.unix_micros("begin")) / 1000.0,
+        }
+    ).drop("piece", "before", "last", "begin")
 
 
-def _erroring(row: Column) -> Column:
-    return F.coalesce(F.upper(row["level"]).isin(fixed.ERROR_LEVELS), F.lit(False))
-
-
-def with_flow(traces: DataFrame) -> DataFrame:
-    """Services by first appearance, and the services that erred in that order."""
-    services = F.array_distinct(F.transform("request_trace", lambda r: F.coalesce(r["service"], F.lit("unknown"))))
-    erred = F.transform(F.filter("request_trace", _erroring), lambda r: F.coalesce(r["service"], F.lit("unknown")))
+def timelines(logs: DataFrame, p: Params = DEFAULTS, failed: DataFrame | None = None) -> DataFrame:
+    """One row per failed trace with its first ``trace_row_cap`` log rows in order, and their spans."""
+    order = W.partitionBy(*KEYS).orderBy("ts", "log_seq")
+    first = trace_rows(logs, failed).withColumn("seq", F.row_number().over(order)).where(F.col("seq") <= p.trace_row_cap)
+    shown = first.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct(*ROW))).alias("request_trace"))
     spans = F.filter(F.transform("request_trace", lambda r: r["span_id"]), lambda s: F.coalesce(s, F.lit("")) != "")
-    return traces.withColumns(
-        {"request_flow": services, "span_ids": F.array_sort(F.array_distinct(spans)), "erred": erred}
-    ).withColumn("error_flow", F.filter("request_flow", lambda s: F.array_contains(F.col("erred"), s))).drop("erred")
+    return shown.withColumn("span_ids", F.array_sort(F.array_distinct(spans)))
+
+
+def service_entries(logs: DataFrame) -> DataFrame:
+    """Per trace and service: first row, first error row, counts and last row."""
+    place = F.struct("ts", "log_seq")
+    erring = is_error(F.col("level"))
+    rows = traced(logs).select(*KEYS, *ROW).withColumn("service", F.coalesce("service", F.lit("unknown")))
+    return rows.groupBy(*KEYS, "service").agg(
+        F.min(place).alias("first"),
+        F.max(place).alias("last"),
+        F.min_by(F.struct("span_id", "message"), F.when(erring, place)).alias("error"),
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(erring).alias("n_errors"),
+    )
 
 
-def with_causal_root(traces: DataFrame) -> DataFrame:
-    """Root cause: the erring service that appears last in the flow.
+def flows(logs: DataFrame) -> DataFrame:
+    """Failed traces: services by first appearance, those that erred, and the root cause.
 
-    The chain runs from the root back through the erring services before it.
+    The root cause is the erring service that appears last in the flow; the
+    chain runs from it back through the erring services before it.
     """
-    root = F.coalesce(F.try_element_at("error_flow", F.lit(-1)), F.lit("unknown"))
-    out = traces.withColumns({"root_cause_service": root, "causal_chain": F.reverse("error_flow")})
-    first_error = F.try_element_at(
-        F.filter(
-            "request_trace",
-            lambda r: _erroring(r) & (F.coalesce(r["service"], F.lit("unknown")) == F.col("root_cause_service")),
-        ),
-        F.lit(1),
+    services = service_entries(logs).groupBy(*KEYS).agg(
+        F.array_sort(F.collect_list(F.struct("first", "service", "n_errors", "error"))).alias("services"),
+        F.max("last").alias("last"),
+        F.min("first.ts").alias("first_ts"),
+        F.sum("n_rows").alias("n_rows"),
+        F.sum("n_errors").alias("n_errors"),
     )
-    return (
-        out.withColumn("root_row", first_error)
-        .withColumns(
-            {
-                "root_cause_span_id": F.coalesce(F.col("root_row.span_id"), F.lit("")),
-                "causal_category": F.when(F.col("root_row").isNull(), "unknown").otherwise(
-                    error_category(F.col("root_row.message"))
-                ),
-            }
-        )
-        .drop("root_row")
+    erred = F.filter("services", lambda s: s["n_errors"] > 0)
+    root = F.element_at("erred", -1)
+    return services.where("n_errors > 0").withColumn("erred", erred).select(
+        *KEYS, "first_ts", F.col("last.ts").alias("last_ts"), F.col("last.log_seq").alias("last_seq"), "n_rows", "n_errors",
+        F.col("services.service").alias("request_flow"),
+        F.col("erred.service").alias("error_flow"),
+        F.reverse("erred.service").alias("causal_chain"),
+        root["service"].alias("root_cause_service"),
+        F.coalesce(root["error"]["span_id"], F.lit("")).alias("root_cause_span_id"),
+        error_category(root["error"]["message"]).alias("causal_category"),
     )
 
 
@@ -184,15 +208,17 @@ def error_fingerprints(logs: DataFrame) -> DataFrame:
 def request_failures(logs: DataFrame, p: Params = DEFAULTS, known_edges: DataFrame | None = None) -> DataFrame:
     """One event per failed trace with flow, root cause and blast radius.
 
+    ``request_trace`` shows the first rows; ``trace_rows`` is their true
+    number and ``trace_cut`` tells whether some are not shown.
     ``known_edges`` adds service dependencies found in earlier runs.
     """
-    traces = cut_lineage(with_causal_root(with_flow(timelines(logs, p))), "traces")
+    traces = cut_lineage(flows(logs), "traces")
     edges = dependency_edges(traces)
     if known_edges is not None:
         edges = merge_edges(edges, known_edges)
     blast = blast_radius(edges, traces.select("tenant_id", F.col("root_cause_service").alias("root")))
     blast = blast.withColumnRenamed("root", "root_cause_service")
-    joined = traces.join(error_fingerprints(logs), KEYS).join(blast, ["tenant_id", "root_cause_service"], "left")
+    joined = traces.join(timelines(logs, p, traces), KEYS).join(error_fingerprints(logs), KEYS).join(blast, ["tenant_id", "root_cause_service"], "left")
     level = F.upper("trigger_level")
 
     def by_level(position):
@@ -203,13 +229,12 @@ def request_failures(logs: DataFrame, p: Params = DEFAULTS, known_edges: DataFra
 
     category = F.when(F.col("causal_category") != "unknown", F.col("causal_category")).otherwise(F.col("error_category"))
     cascade = F.when(F.size("causal_chain") > 0, F.array_join("causal_chain", " -> ")).otherwise(F.col("root_cause_service"))
-    last = F.element_at("request_trace", -1)
     return (
         joined.withColumn("error_category", category)
         .select(
             F.md5(F.concat_ws("|", F.lit("request_failure"), *KEYS)).alias("event_id"),
-            last["ts"].alias("ts"),
-            last["log_seq"].alias("log_seq"),
+            F.col("last_ts").alias("ts"),
+            F.col("last_seq").alias("log_seq"),
             "tenant_id",
             F.lit("request_failure").alias("anomaly_type"),
             by_level(1).alias("severity"),
@@ -222,8 +247,11 @@ def request_failures(logs: DataFrame, p: Params = DEFAULTS, known_edges: DataFra
             "trace_id", "span_ids",
             F.col("request_flow").alias("affected_services"),
             "request_flow", "request_trace",
+            F.col("n_rows").alias("trace_rows"),
+            (F.col("n_rows") > F.size("request_trace")).alias("trace_cut"),
             F.col("error_template").alias("error_message"),
             F.substring("trigger_message", 1, 500).alias("raw_error_message"),
+            F.col("trigger_message").alias("whole_error_message"),
             "causal_chain", "root_cause_service", "root_cause_span_id", "error_category",
             F.struct("impact_score", "affected_downstream", "estimated_user_impact").alias("blast_radius"),
             F.lit("").alias("root_cause"),

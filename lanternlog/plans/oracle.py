@@ -284,8 +284,8 @@ CTES: dict[str, str] = {
     "troot": """
       select tenant_id, trace_id, min(log_seq) as first_err from logs where level in ('ERROR', 'FATAL', 'CRITICAL') group by all""",
     "trows": """
-      select * from (select l.*, row_number() over (partition by tenant_id, trace_id order by log_seq) as seq
-                     from logs l semi join troot using (tenant_id, trace_id)) where seq <= 200""",
+      select l.*, row_number() over (partition by tenant_id, trace_id order by log_seq) as seq
+      from logs l semi join troot using (tenant_id, trace_id)""",
     "tsvc": """
       select tenant_id, trace_id, service, min(log_seq) as first_seen,
              min(log_seq) filter (level in ('ERROR', 'FATAL', 'CRITICAL')) as first_error
@@ -300,6 +300,16 @@ CTES: dict[str, str] = {
       select tenant_id, caller, service as callee, count(*) as n from (
         select *, lag(service) over (partition by tenant_id, trace_id order by first_seen) as caller from tsvc)
       where caller is not null group by all""",
+    "llogs": "select * exclude (trace_id), md5('long' || (log_seq // 2000)::varchar) as trace_id from logs",
+    "ltroot": """
+      select tenant_id, trace_id, min(log_seq) as first_err from llogs where level in ('ERROR', 'FATAL', 'CRITICAL') group by all""",
+    "ltrows": """
+      select l.*, row_number() over (partition by tenant_id, trace_id order by log_seq) as seq
+      from llogs l semi join ltroot using (tenant_id, trace_id)""",
+    "ltsvc": """
+      select tenant_id, trace_id, service, min(log_seq) as first_seen,
+             min(log_seq) filter (level in ('ERROR', 'FATAL', 'CRITICAL')) as first_error
+      from ltrows group by all""",
     "roots": "select distinct tenant_id, root from flows",
     "closure": """
       select tenant_id, root, root as svc from roots
@@ -579,6 +589,28 @@ _BODIES: dict[str, str] = {
       select f.tenant_id, f.trace_id, f.root as root_cause_service, l.span_id as root_cause_span_id,
         array_to_string(list_reverse(f.error_flow), '>') as chain, {category('l.message')} as category
       from flows f join logs l on l.log_seq = f.root_row""",
+    "long_trace_roots": f"""
+      select t.tenant_id, t.trace_id, t.root as root_cause_service, r.span_id as root_cause_span_id, t.chain, t.flow,
+        case when {category('r.message')} <> 'unknown' then {category('r.message')} else {category('g.message')} end as error_category,
+        least(n.trace_rows, 200) as shown, n.trace_rows, n.trace_rows > 200 as trace_cut, n.epoch, n.log_seq
+      from (
+        select tenant_id, trace_id, string_agg(service, '>' order by first_seen) as flow,
+          string_agg(service, '>' order by first_seen desc) filter (first_error is not null) as chain,
+          arg_max(service, first_seen) filter (first_error is not null) as root,
+          arg_max(first_error, first_seen) filter (first_error is not null) as root_row
+        from ltsvc group by all) t
+      join (select tenant_id, trace_id, count(*) as trace_rows, max(epoch) as epoch, max(log_seq) as log_seq from ltrows group by all) n
+        using (tenant_id, trace_id)
+      join ltroot f using (tenant_id, trace_id)
+      join llogs r on r.log_seq = t.root_row join llogs g on g.log_seq = f.first_err""",
+    "long_trace_steps": """
+      select tenant_id, trace_id, log_seq, seq, ((epoch - lag(epoch) over w) * 1000)::double as gap_ms,
+        ((epoch - first_value(epoch) over w) * 1000)::double as offset_ms
+      from ltrows window w as (partition by tenant_id, trace_id order by log_seq)""",
+    "long_trace_edges": """
+      select tenant_id, caller, service as callee, count(*) as n from (
+        select *, lag(service) over (partition by tenant_id, trace_id order by first_seen) as caller from ltsvc)
+      where caller is not null group by all""",
     "error_fingerprints": "select tenant_id, trace_id, trigger_level, error_message as error_template, trigger_category as error_category from fails",
     "blast_radius": f"""
       select tenant_id, root, coalesce(array_to_string(affected, ','), '') as affected, {_round("n / greatest(coalesce(total, 0), 1)", 2)} as impact_score,

@@ -397,7 +397,8 @@ def trace_steps(spark, sf):
 
 @query
 def request_flow(spark, sf):
-    t = trace.with_flow(trace.timelines(log_view(spark, sf)))
+    logs = log_view(spark, sf)
+    t = trace.flows(logs).join(trace.timelines(logs), trace.KEYS)
     return t.select(
         "tenant_id", "trace_id", F.array_join("request_flow", ">").alias("flow"),
         F.array_join("error_flow", ">").alias("error_flow"), F.array_join("span_ids", ",").alias("span_ids"),
@@ -406,18 +407,46 @@ def request_flow(spark, sf):
 
 @query
 def dependency_edges(spark, sf):
-    return trace.dependency_edges(trace.with_flow(trace.timelines(log_view(spark, sf))))
+    return trace.dependency_edges(trace.flows(log_view(spark, sf)))
 
 
 @query
 def causal_root(spark, sf):
-    t = trace.with_causal_root(trace.with_flow(trace.timelines(log_view(spark, sf))))
+    t = trace.flows(log_view(spark, sf))
     return t.select(
         "tenant_id", "trace_id", "root_cause_service", "root_cause_span_id", F.array_join("causal_chain", ">").alias("chain"),
         F.col("causal_category").alias("category"),
     )
 
 
+def _long_traces(spark, sf):
+    """The log view with traces of about a thousand rows per tenant."""
+    trace_id = F.md5(F.concat(F.lit("long"), F.expr("log_seq div 2000").cast("string")))
+    return log_view(spark, sf).withColumn("trace_id", trace_id)
+
+
+@query
+def long_trace_roots(spark, sf):
+    """Root cause and flow of long traces, with how much of them an event shows."""
+    e = trace.request_failures(_long_traces(spark, sf))
+    return e.select(
+        "tenant_id", "trace_id", "root_cause_service", "root_cause_span_id", F.array_join("causal_chain", ">").alias("chain"),
+        F.array_join("request_flow", ">").alias("flow"), "error_category", F.size("request_trace").cast("long").alias("shown"),
+        "trace_rows", "trace_cut", F.unix_seconds("ts").alias("epoch"), "log_seq",
+    )
+
+
+@query
+def long_trace_steps(spark, sf):
+    s = trace.trace_steps(trace.trace_rows(_long_traces(spark, sf)))
+    return s.select("tenant_id", "trace_id", "log_seq", F.col("seq").cast("long").alias("seq"), "gap_ms", "offset_ms")
+
+
+@query
+def long_trace_edges(spark, sf):
+    return trace.dependency_edges(trace.flows(_long_traces(spark, sf)))
+
+
 @query
 def error_fingerprints(spark, sf):
     f = trace.error_fingerprints(log_view(spark, sf))
@@ -426,7 +455,7 @@ def error_fingerprints(spark, sf):
 
 @query
 def blast_radius(spark, sf):
-    t = trace.with_causal_root(trace.with_flow(trace.timelines(log_view(spark, sf))))
+    t = trace.flows(log_view(spark, sf))
     b = trace.blast_radius(trace.dependency_edges(t), t.select("tenant_id", F.col("root_cause_service").alias("root")))
     return b.select(
         "tenant_id", "root", F.array_join("affected_downstream", ",").alias("affected"),

@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from lanternlog.functions.text import is_error
-from lanternlog.operators.trace import dependency_edges, merge_edges, request_failures, timelines, with_flow
+from lanternlog.operators.trace import dependency_edges, flows, merge_edges, request_failures
 from lanternlog.params import DEFAULTS, Params
 from lanternlog.sources.readers import read_dated
 from lanternlog.streaming.pipelines import start
@@ -112,7 +112,7 @@ def correlate_each(
                 logs = logs.withColumn("log_seq", F.xxhash64("log_id"))
             known = state.read(batch_id).get("edges")
             write_batch(request_failures(logs, p, known), out_path, batch_id)
-            edges = dependency_edges(with_flow(timelines(logs, p)))
+            edges = dependency_edges(flows(logs))
             state.write(batch_id, {"edges": edges if known is None else merge_edges(edges, known)})
         finally:
             due.unpersist()

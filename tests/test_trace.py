@@ -88,7 +88,33 @@ def test_reach_with_cycles_equals_breadth_first_search(spark):
             assert got[(t, s)] == seen - {s}
 
 
-def test_trace_row_cap(spark):
-    steps = [(i, "S", "ERROR" if i == 0 else "INFO", f"m{i}", "x") for i in range(250)]
-    row = tr.timelines(logs(spark, [("big", 0, steps)])).head()
-    assert len(row.request_trace) == 200 and row.request_trace[-1].message == "m199"
+def test_long_trace_is_read_whole(spark):
+    """An error after more rows than are shown still gives the root; the shown list is marked as cut."""
+    steps = [(i * 700, f"S{i % 3}", "INFO", f"m{i}", f"x{i}") for i in range(250)]
+    steps += [(200_000, "deep", "ERROR", "deadlock detected", "d"), (200_001, "S0", "ERROR", "Request timeout", "e")]
+    table = logs(spark, [("big", 0, steps), ("t1", 0, CASE_1)])
+    events = {r.trace_id: r for r in tr.request_failures(table).collect()}
+    big, small = events["big"], events["t1"]
+    assert big.request_flow == ["S0", "S1", "S2", "deep"] and big.causal_chain == ["deep", "S0"]
+    assert (big.root_cause_service, big.root_cause_span_id) == ("deep", "d")
+    assert (len(big.request_trace), big.trace_rows, big.trace_cut) == (200, 252, True)
+    assert big.request_trace[-1].message == "m199" and big.span_ids[0] == "x0"
+    assert big.ts.timestamp() * 1000 == T0 + 200_001
+    assert (len(small.request_trace), small.trace_rows, small.trace_cut) == (8, 8, False)
+
+
+def test_steps_of_long_traces(spark):
+    """Order, gaps and offsets over many minutes, against a plain walk."""
+    rng = random.Random(8)
+    traces = [(f"t{k}", 0, [(rng.randrange(0, 900_000), "S", rng.choice(("INFO", "ERROR")), "m", "x") for _ in range(300)]) for k in range(3)]
+    table = logs(spark, traces)
+    rows = defaultdict(list)
+    for r in table.select("trace_id", "ms", "log_seq").collect():
+        rows[r.trace_id].append((r.ms, r.log_seq))
+    got = {r.log_seq: (r.seq, r.gap_ms, r.offset_ms) for r in tr.trace_steps(tr.trace_rows(table)).collect()}
+    want = {}
+    for own in rows.values():
+        own.sort()
+        for i, (ms, seq) in enumerate(own):
+            want[seq] = (i + 1, float(ms - own[i - 1][0]) if i else None, float(ms - own[0][0]))
+    assert got == want
