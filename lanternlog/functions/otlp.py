@@ -14,10 +14,6 @@ ANY_VALUE = (
     "arrayValue:string,kvlistValue:string>"
 )
 ATTRIBUTES = f"array<struct<key:string,value:{ANY_VALUE}>>"
-# nested values deeper than this stay in their wrapped JSON form
-NESTING = 2
-
-
 def scalar_text(value: Column) -> Column:
     return F.coalesce(value["stringValue"], value["intValue"], value["doubleValue"], value["boolValue"])
 
@@ -28,36 +24,63 @@ def quoted(text: Column) -> Column:
     return F.substring(listed, F.lit(2), F.length(listed) - 2)
 
 
-def _json_text(value: Column, depth: int) -> Column:
-    """A value as JSON text inside a nested value."""
+def _done(text: Column) -> Column:
+    """A piece of output."""
+    return F.struct(text.alias("text"), F.lit(None).cast("string").alias("wrapped"))
+
+
+def _pending(json: Column) -> Column:
+    """A wrapped value that is still to be opened; a missing one is null."""
+    return F.struct(F.when(json.isNull(), "null").alias("text"), json.alias("wrapped"))
+
+
+def _opened(value: Column) -> Column:
+    """One level of a value: its plain text, or brackets around its wrapped parts."""
     plain = F.coalesce(quoted(value["stringValue"]), value["intValue"], value["doubleValue"], value["boolValue"])
-    deeper = nested_text(value, depth) if depth > 0 else F.coalesce(value["arrayValue"], value["kvlistValue"])
-    return F.coalesce(plain, deeper)
-
-
-def nested_text(value: Column, depth: int = NESTING) -> Column:
-    """Arrays and key-value lists as plain JSON text."""
-    items = F.from_json(value["arrayValue"], f"struct<values:array<{ANY_VALUE}>>")["values"]
-    pairs = F.from_json(value["kvlistValue"], f"struct<values:{ATTRIBUTES}>")["values"]
-    array_text = F.concat(
-        F.lit("["),
-        F.array_join(F.transform(items, lambda v: F.coalesce(_json_text(v, depth - 1), F.lit("null"))), ","),
-        F.lit("]"),
+    items = F.from_json(value["arrayValue"], "struct<values:array<string>>")["values"]
+    pairs = F.from_json(value["kvlistValue"], "struct<values:array<struct<key:string,value:string>>>")["values"]
+
+    def comma(i: Column) -> Column:
+        return F.when(i > 0, ",").otherwise("")
+
+    listed = F.flatten(F.transform(items, lambda v, i: F.array(_done(comma(i)), _pending(v))))
+    keyed = F.flatten(
+        F.transform(
+            pairs,
+            lambda kv, i: F.array(_done(F.concat(comma(i), F.coalesce(quoted(kv["key"]), F.lit('""')), F.lit(":"))), _pending(kv["value"])),
+        )
     )
-    pair_text = F.concat(
-        F.lit("{"),
-        F.array_join(
-            F.transform(
-                pairs,
-                lambda kv: F.concat(
-                    quoted(kv["key"]), F.lit(":"), F.coalesce(_json_text(kv["value"], depth - 1), F.lit("null"))
-                ),
-            ),
-            ",",
-        ),
-        F.lit("}"),
+
+    def around(begin: str, inner: Column, end: str) -> Column:
+        return F.concat(F.array(_done(F.lit(begin))), F.coalesce(inner, F.array().cast("array<struct<text:string,wrapped:string>>")), F.array(_done(F.lit(end))))
+
+    return (
+        F.when(plain.isNotNull(), F.array(_done(plain)))
+        .when(value["arrayValue"].isNotNull(), around("[", listed, "]"))
+        .when(value["kvlistValue"].isNotNull(), around("{", keyed, "}"))
+        .otherwise(F.array(_done(F.lit("null"))))
     )
-    return F.when(value["arrayValue"].isNotNull(), array_text).when(value["kvlistValue"].isNotNull(), pair_text)
+
+
+def nested_text(value: Column) -> Column:
+    """Arrays and key-value lists as plain JSON text, at any depth.
+
+    The value is a list of finished pieces and of wrapped values.  Each pass
+    opens the wrapped ones by a level, and the passes end when none is left; a
+    value has at most as many levels as its text has wrappers.
+    """
+    raw = F.coalesce(value["arrayValue"], value["kvlistValue"])
+    levels = F.regexp_count(raw, F.lit('"(arrayValue|kvlistValue)"')) + 2
+
+    def deeper(pieces: Column, _: Column) -> Column:
+        opened = F.transform(
+            pieces,
+            lambda p: F.when(p["wrapped"].isNull(), F.array(p)).otherwise(_opened(F.from_json(p["wrapped"], ANY_VALUE))),
+        )
+        return F.when(F.exists(pieces, lambda p: p["wrapped"].isNotNull()), F.flatten(opened)).otherwise(pieces)
+
+    pieces = F.aggregate(F.sequence(F.lit(1), levels), _opened(value), deeper)
+    return F.when(raw.isNotNull(), F.array_join(F.transform(pieces, lambda p: p["text"]), ""))
 
 
 def any_value(value: Column) -> Column:

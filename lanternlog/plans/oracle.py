@@ -512,6 +512,8 @@ _BODIES: dict[str, str] = {
     "attr_flatten": """
       select log_seq, 'http_route=/last;ids=[1,"b"];kv={"a\\"b":false};ok=true;resource_http_route=/last;resource_ids=[1,"b"];'
         || 'resource_kv={"a\\"b":false};resource_level=x;resource_ok=true;resource_retry_count=7;retry_count=7' as attrs, user_id::varchar as retries from logs""",
+    "attr_nesting": """
+      select log_seq, repeat('[{"k":', (log_seq % 12 + 1)::int) || log_seq::varchar || repeat('},null]', (log_seq % 12 + 1)::int) as value from logs""",
     "tenant_inject": """
       select 2 as n_attrs, tenant_id as injected, 'q' as fields, case when log_seq % 3 = 0 then 'dev-local' else tenant_id end as defaulted,
         count(*) as n from logs group by all""",

@@ -201,6 +201,18 @@ def attr_flatten(spark, sf):
     return logs.select("log_seq", line.alias("attrs"), otlp.attribute(attrs, "retry.count").alias("retries"))
 
 
+@query
+def attr_nesting(spark, sf):
+    """Attribute values nested 2 to 24 levels deep, decoded."""
+    depth = (F.col("log_seq") % 12 + 1).cast("int")
+    inner = F.concat(F.lit('{"intValue":"'), F.col("log_seq").cast("string"), F.lit('"}'))
+    opening = F.repeat(F.lit('{"arrayValue":{"values":[{"kvlistValue":{"values":[{"key":"k","value":'), depth)
+    value = F.concat(opening, inner, F.repeat(F.lit("}]}},{}]}}"), depth))
+    listed = F.concat(F.lit('[{"key":"nested","value":'), value, F.lit("}]"))
+    rows = log_view(spark, sf).select("log_seq", otlp.attribute_map(F.from_json(listed, otlp.ATTRIBUTES))["nested"].alias("value"))
+    return rows
+
+
 @query
 def tenant_inject(spark, sf):
     """Caller-set tenants replaced by the verified one; tenant fields stripped from requests."""

@@ -1,4 +1,5 @@
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -87,3 +88,33 @@ def test_tenant_injection(spark):
 def test_last_of_equal_keys_counts(spark):
     df = spark.createDataFrame([(json.dumps([attr("k", stringValue="1"), attr("k", intValue=2)]),)], "j string")
     assert df.select(otlp.attribute_map(F.from_json("j", otlp.ATTRIBUTES)).alias("m")).head().m == {"k": "2"}
+
+
+def wrapped(v):
+    if isinstance(v, bool):
+        return {"boolValue": v}
+    if isinstance(v, int):
+        return {"intValue": str(v)}
+    if isinstance(v, float):
+        return {"doubleValue": v}
+    if isinstance(v, str):
+        return {"stringValue": v}
+    if isinstance(v, list):
+        return {"arrayValue": {"values": [wrapped(x) for x in v]}}
+    return {"kvlistValue": {"values": [{"key": k, "value": wrapped(x)} for k, x in v.items()]}} if v is not None else {}
+
+
+def test_nested_values_at_any_depth(spark):
+    """Nested attribute values of depth 1 to 12 and odd ones, against a plain recursion's input."""
+    rng = random.Random(1)
+
+    def made(depth):
+        if depth == 0:
+            return rng.choice([1, 2.5, True, False, None, 'a"b', '{"arrayValue":1}', "", "x,y]", "é\n"])
+        inner = [made(rng.randrange(depth)) for _ in range(rng.randrange(4))] + [made(depth - 1)]
+        return inner if rng.random() < 0.5 else {f'k{i}"': v for i, v in enumerate(inner)}
+
+    values = [made(depth) for depth in range(1, 13) for _ in range(4)] + [[], {}, [[[[]]]], [None, {"": None}]]
+    table = spark.createDataFrame([(i, json.dumps(wrapped(v))) for i, v in enumerate(values)], "i int, j string")
+    got = table.select("i", otlp.any_value(F.from_json("j", otlp.ANY_VALUE)).alias("text")).collect()
+    assert {r.i: json.loads(r.text) for r in got} == dict(enumerate(values))
