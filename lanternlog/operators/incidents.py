@@ -8,11 +8,13 @@ from lanternlog.functions import fixed
 from lanternlog.functions.ids import fingerprint
 from lanternlog.functions.signals import optional
 from lanternlog.functions.text import needed_tokens, tokens
-from lanternlog.operators.sequence import greedy_windows, running_counts, running_number
+from lanternlog.operators.asof import asof
+from lanternlog.operators.sequence import DAY, greedy_windows, piece_offsets, running_counts, running_number
 from lanternlog.params import DEFAULTS, Params
 from lanternlog.session import cut_lineage
 
 KEYS = ["tenant_id", "dedup_key"]
+LOOKUP_SECONDS = 60
 
 
 def urgency(severity: Column) -> Column:
@@ -386,45 +388,72 @@ def route(incidents: DataFrame, platforms: DataFrame, p: Params = DEFAULTS) -> D
     )
 
 
+def _running(seconds: DataFrame, key: list[str], names: list[str]) -> DataFrame:
+    """Sums of per-second measures up to and with each second, over the days of a key and the seconds of a day."""
+    pieces = seconds.select(
+        *key, F.floor(F.col("sec") / DAY).alias("pc_day"), F.col("sec").alias("pc_sec"), F.lit(0).cast("long").alias("pc_block"), *names
+    )
+    before = piece_offsets(pieces, key, names)
+    both = pieces.join(before, [*key, "pc_day", "pc_sec", "pc_block"])
+    return both.select(
+        *key, F.timestamp_seconds("pc_sec").alias("at"), *[(F.col(f"{n}_before") + F.col(n)).alias(n) for n in names]
+    )
+
+
+def _asked(incidents: DataFrame, key: list[str], **seconds: Column) -> DataFrame:
+    """A row per incident and named second."""
+    points = F.array(*[F.struct(F.lit(n).alias("point"), F.timestamp_seconds(s).alias("when")) for n, s in seconds.items()])
+    return incidents.select("id", *key, F.unix_seconds("created_at").alias("created")).select("id", *key, "created", F.inline(points))
+
+
 def incident_context(incidents: DataFrame, logs: DataFrame, minutes: int = 10) -> DataFrame:
-    """Rows, errors, first error and error traces of the service around an incident.
+    """Rows, errors and first error of the service around an incident.
 
-    Rows are reduced to seconds, and seconds are met through time slots, so
-    the join's size is bounded by the window and not by the traffic.
+    Counts in a range are the difference of two running sums, so an incident
+    asks for its two ends and for the next error after its beginning, and
+    never meets the rows or seconds in between.
     """
     key = ["tenant_id", "service"]
     width = minutes * 60
     err = F.upper("level").isin(fixed.ERROR_LEVELS)
-    second = F.unix_seconds("ts")
-    per_sec = (
-        logs.groupBy(*key, second.alias("sec"))
-        .agg(
+    per_sec = cut_lineage(
+        logs.groupBy(*key, F.unix_seconds("ts").alias("sec")).agg(
             F.count(F.lit(1)).alias("n"),
             F.count_if(err).alias("e"),
             F.min(F.when(err, F.struct("ts", "log_seq", "message"))).alias("first_err"),
-        )
-        .withColumn("slot", F.floor(F.col("sec") / width))
-    )
-    asked = incidents.select(
-        "id", *key, F.unix_seconds("created_at").alias("at"),
-        F.explode(F.array(*[F.floor(F.unix_seconds("created_at") / width) + d for d in (-1, 0, 1)])).alias("slot"),
+        ),
+        "seconds",
     )
-    near = asked.join(per_sec, [*key, "slot"]).where(F.abs(F.col("sec") - F.col("at")) <= width)
-    return near.groupBy("id", *key).agg(
-        F.sum("n").alias("n_logs"), F.sum("e").alias("n_errors"), F.min("first_err").alias("first_err")
-    ).select(
-        "id", *key, "n_logs", "n_errors", F.col("first_err.ts").alias("first_error_at"),
+    ends = _asked(incidents, key, low=F.col("created") - width - 1, high=F.col("created") + width)
+    sums = asof(ends, _running(per_sec, key, ["n", "e"]), key, "when", "at", ["n", "e"], "sums", LOOKUP_SECONDS)
+
+    def between(name: str) -> Column:
+        value = F.coalesce(F.col(f"sums.{name}"), F.lit(0))
+        return F.sum(F.when(F.col("point") == "high", value).otherwise(-value)).alias(f"n_{name}")
+
+    counts = sums.groupBy("id", *key, "created").agg(between("n"), between("e")).where("n_n > 0")
+    # the next error at or after a second is the newest one when time runs backwards
+    begins = _asked(incidents, key, begin=width - F.col("created")).select("id", "when", *key)
+    errors = per_sec.where("e > 0").select(*key, "sec", F.timestamp_seconds(-F.col("sec")).alias("at"))
+    first = asof(begins, errors, key, "when", "at", ["sec"], "next", LOOKUP_SECONDS).select("id", F.col("next.sec").alias("sec"))
+    found = counts.join(first, "id").withColumn("sec", F.when(F.col("sec") <= F.col("created") + width, F.col("sec")))
+    return found.join(per_sec.select(*key, "sec", "first_err"), [*key, "sec"], "left").select(
+        "id", *key, F.col("n_n").alias("n_logs"), F.col("n_e").alias("n_errors"), F.col("first_err.ts").alias("first_error_at"),
         F.col("first_err.message").alias("first_error_message"),
     )
 
 
+def error_seconds(logs: DataFrame, key: list[str]) -> DataFrame:
+    """The distinct seconds in which a trace has an error in a service."""
+    errors = logs.where(F.upper("level").isin(fixed.ERROR_LEVELS) & (F.coalesce("trace_id", F.lit("")) != ""))
+    return errors.select(*key, "trace_id", F.unix_seconds("ts").alias("sec")).distinct()
+
+
 def correlated_traces(incidents: DataFrame, logs: DataFrame, minutes: int = 10) -> DataFrame:
-    """(id, trace_id) of the service's failed traces around an incident."""
+    """(id, trace_id) of the service's failed traces around an incident: the list itself, so a row per pair."""
     key = ["tenant_id", "service"]
     width = minutes * 60
-    errors = logs.where(F.upper("level").isin(fixed.ERROR_LEVELS) & (F.coalesce("trace_id", F.lit("")) != ""))
-    traces = errors.select(*key, "trace_id", F.unix_seconds("ts").alias("sec")).distinct()
-    traces = traces.withColumn("slot", F.floor(F.col("sec") / width))
+    traces = error_seconds(logs, key).withColumn("slot", F.floor(F.col("sec") / width))
     asked = incidents.select(
         "id", *key, F.unix_seconds("created_at").alias("at"),
         F.explode(F.array(*[F.floor(F.unix_seconds("created_at") / width) + d for d in (-1, 0, 1)])).alias("slot"),
@@ -433,6 +462,26 @@ def correlated_traces(incidents: DataFrame, logs: DataFrame, minutes: int = 10)
     return near.select("id", "trace_id").distinct()
 
 
+def correlated_trace_counts(incidents: DataFrame, logs: DataFrame, minutes: int = 10) -> DataFrame:
+    """(id, n_traces): how many of the service's failed traces lie around an incident, without pairing them.
+
+    A window of fixed width counts a trace by the first of its seconds in it.
+    A second is the first one for the windows that begin after the trace's
+    second before it and not after itself, and that reach it; so each second
+    adds one to a range of beginnings, and a window looks up a running sum.
+    """
+    key = ["tenant_id", "service"]
+    width = minutes * 60
+    own = W.partitionBy(*key, "trace_id").orderBy("sec")
+    marks = error_seconds(logs, key).withColumn("earlier", F.lag("sec").over(own))
+    begin = F.greatest(F.coalesce(F.col("earlier") + 1, F.col("sec") - 2 * width), F.col("sec") - 2 * width)
+    steps = F.array(F.struct(begin.alias("sec"), F.lit(1).alias("d")), F.struct((F.col("sec") + 1).alias("sec"), F.lit(-1).alias("d")))
+    changes = marks.select(*key, F.inline(steps)).groupBy(*key, "sec").agg(F.sum("d").alias("d"))
+    asked = _asked(incidents, key, begin=F.col("created") - width)
+    level = asof(asked, _running(changes, key, ["d"]), key, "when", "at", ["d"], "level", LOOKUP_SECONDS)
+    return level.select("id", F.col("level.d").alias("n_traces")).where("n_traces > 0")
+
+
 def burst_incidents(events: DataFrame, logs: DataFrame | None = None, width: str = "5 minutes", least: int = 3) -> DataFrame:
     """Services with at least ``least`` anomalies in one time window, and their severity."""
     rows = events.groupBy("tenant_id", "service", F.window("ts", width).alias("w")).agg(

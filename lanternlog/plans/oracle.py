@@ -683,7 +683,7 @@ _BODIES: dict[str, str] = {
       group by i.id""",
     "correlated_traces": """
       select i.id, count(distinct l.trace_id) as n_traces from inc i join logs l on l.tenant_id = i.tenant_id and l.service = i.service
-        and l.epoch between i.created_epoch - 60 and i.created_epoch + 60 and l.level in ('ERROR', 'FATAL', 'CRITICAL') group by i.id""",
+        and l.epoch between i.created_epoch - 600 and i.created_epoch + 600 and l.level in ('ERROR', 'FATAL', 'CRITICAL') group by i.id""",
     "burst_incidents": """
       select tenant_id, service, window_epoch, n_anomalies, n_services, round(top_score, 4) as top_score,
         case when n_services >= 3 or fatal then 'critical' when n_services >= 2 or top_score > 0.7 then 'high' else 'medium' end as severity

@@ -590,10 +590,9 @@ def incident_context(spark, sf):
 
 @query
 def correlated_traces(spark, sf):
-    """Number of failed traces within a minute around every incident."""
+    """Number of failed traces within ten minutes around every incident."""
     inc = views.incidents(spark, sf).select("id", "tenant_id", "service", "created_at")
-    c = incidents.correlated_traces(inc, log_view(spark, sf), minutes=1)
-    return c.groupBy("id").agg(F.count(F.lit(1)).alias("n_traces"))
+    return incidents.correlated_trace_counts(inc, log_view(spark, sf))
 
 
 @query
