@@ -85,6 +85,9 @@ CATEGORY_SIGNAL = 0.30
 # Composite severity labels from a score upwards.
 COMPOSITE_SEVERITY = [(0.85, "critical"), (0.65, "high"), (0.45, "medium")]
 
+# Attributes that may hold a request's time in milliseconds, the first one counts.
+LATENCY_ATTRIBUTES = ["latency_ms", "response_time_ms", "duration_ms"]
+
 # A standard deviation below this counts as none.
 FLAT_STD = 1e-9
 

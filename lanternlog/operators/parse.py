@@ -26,6 +26,9 @@ MESSAGE = (
     f"{CORRUPT} string"
 )
 
+# bits of an arrival number for the record's place in its message and for the topic's partition
+PLACE_BITS, PARTITION_BITS = 18, 8
+
 CORE = [
     "ts", "log_id", "observed_ts", "level", "message", "service", "tenant_id", "environment",
     "trace_id", "span_id", "scope_name", "host_name", "attrs",
@@ -106,6 +109,21 @@ def _records(p_fields: Column) -> Column:
     )
 
 
+def arrival_number(columns: list[str]) -> Column:
+    """A unique number of a record, in order of arrival.
+
+    It is made of the message's offset and partition and the record's place,
+    or, for messages without an offset, of the place at which Spark read it;
+    that one is stable once the parsed rows have been written.
+    """
+    if "offset" not in columns:
+        return F.monotonically_increasing_id()
+    partition = F.col("partition").cast("bigint") if "partition" in columns else F.lit(0).cast("bigint")
+    fits = (F.col("pos") < 1 << PLACE_BITS) & (partition < 1 << PARTITION_BITS)
+    number = F.shiftleft(F.shiftleft(F.col("offset").cast("bigint"), PARTITION_BITS) + partition, PLACE_BITS) + F.col("pos")
+    return F.when(fits, number).otherwise(F.raise_error(F.lit("a message or topic is too large to number its records")))
+
+
 def parsed_rows(raw: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """Canonical rows and dead letters of raw messages (column ``value``) in one table.
 
@@ -113,9 +131,10 @@ def parsed_rows(raw: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     ``reason`` and ``original``, and no core columns.
     """
     fields = F.from_json("value", "map<string,string>")
-    rows = with_route(raw).select("value", "route", F.posexplode(_records(fields)).alias("pos", "r"))
+    order = [c for c in ("partition", "offset") if c in raw.columns]
+    rows = with_route(raw).select("value", "route", *order, F.posexplode(_records(fields)).alias("pos", "r"))
     rows = rows.select(
-        "value", "route", "pos", "r.*",
+        "value", "route", "pos", arrival_number(order).alias("log_seq"), "r.*",
         attribute_map(F.col("r.res")).alias("ra"), attribute_map(F.col("r.attributes")).alias("la"),
     )
 
@@ -169,6 +188,7 @@ def parsed_rows(raw: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     broken = F.col("route") == "parse_error"
     return rows.select(
         *[F.when(~dead, c).alias(n) for n, c in columns.items() if n != "tenant_id"],
+        F.when(~dead, F.col("log_seq")).alias("log_seq"),
         F.when(dead, F.lit(p.default_tenant)).otherwise(F.col("tenant_id")).alias("tenant_id"),
         F.when(dead, F.lit(True)).alias("_dlq"),
         F.when(dead, F.col("route")).alias("reason"),
@@ -178,7 +198,7 @@ def parsed_rows(raw: DataFrame, p: Params = DEFAULTS) -> DataFrame:
 
 
 def good_rows(parsed: DataFrame) -> DataFrame:
-    return parsed.where(F.col("_dlq").isNull()).select(*CORE)
+    return parsed.where(F.col("_dlq").isNull()).select(*CORE, "log_seq")
 
 
 def dead_letters(parsed: DataFrame) -> DataFrame:
@@ -244,13 +264,18 @@ def scoring_columns(rows: DataFrame) -> DataFrame:
         "exception_stacktrace": "exception_stacktrace",
         "endpoint": "endpoint",
     }
-    return rows.withColumns({c: F.try_element_at("attrs", F.lit(a)) for c, a in names.items()})
+    lifted = {c: F.try_element_at("attrs", F.lit(a)) for c, a in names.items()}
+    times = [F.try_element_at("attrs", F.lit(a)).try_cast("double") for a in fixed.LATENCY_ATTRIBUTES]
+    return rows.withColumns(lifted | {"latency_ms": F.coalesce(*times)})
 
 
-def to_batches(logs: DataFrame, batch_rows: int = 1000, attributes: dict[str, Column] | None = None) -> DataFrame:
+def to_batches(
+    logs: DataFrame, batch_rows: int = 1000, attributes: dict[str, Column] | None = None, offsets: bool = False
+) -> DataFrame:
     """Flat rows to OTLP batches, one message per service and arrival block.
 
-    ``attributes`` names the columns that become record attributes.
+    ``attributes`` names the columns that become record attributes;
+    ``offsets`` adds the partition and offset a topic would give.
     """
     extra = attributes or {}
     wrapped = [
@@ -280,4 +305,5 @@ def to_batches(logs: DataFrame, batch_rows: int = 1000, attributes: dict[str, Co
         )
     )
     batch = F.array(F.struct(F.struct(resource.alias("attributes")).alias("resource"), scope.alias("scopeLogs")))
-    return grouped.select(F.to_json(F.struct(batch.alias("resourceLogs"))).alias("value"))
+    place = [F.lit(0).alias("partition"), F.col("block").cast("bigint").alias("offset")] if offsets else []
+    return grouped.select(F.to_json(F.struct(batch.alias("resourceLogs"))).alias("value"), *place)

@@ -366,6 +366,18 @@ CTES: dict[str, str] = {
       select *, row_number() over (order by epoch, event_id) as num from (
         select *, count(*) over (partition by tenant_id, dedup_key, open_sec) as n_events from member)
       where rank = 1""",
+    "every_event": f"""
+      select tenant_id, dedup_key, epoch from keyed
+      union all select tenant_id, service || ':error_rate_spike', epoch from (
+        select s.*, {_score('null', 'null')} as score from sig s semi join emitted using (log_seq)) where {_round('score', 2)} >= 0.5
+      union all select tenant_id, service || ':error_rate_spike', epoch from scored where score >= 0.3 and {_round('score', 2)} >= 0.5
+      union all select tenant_id, dedup_key, epoch from fail_keys""",
+    "every_opening": """
+      select tenant_id, dedup_key, min(epoch) as sec from every_event group by tenant_id, dedup_key
+      union all
+      select k.tenant_id, k.dedup_key, min(k.epoch) as sec from every_opening o
+      join every_event k on k.tenant_id = o.tenant_id and k.dedup_key = o.dedup_key and k.epoch >= o.sec + 900
+      group by k.tenant_id, k.dedup_key""",
     "evrank": """
       select *, count(*) filter (level in ('ERROR', 'FATAL', 'WARN')) over (partition by tenant_id, service order by log_seq) as ev_no
       from logs""",
@@ -382,7 +394,7 @@ CTES: dict[str, str] = {
         case when log_seq % 17 = 0 then 'VERBOSE' when log_seq % 19 = 0 then '' else level end as level,
         log_seq % 23 = 0 as bad_time from logs""",
 }
-RECURSIVE = {"emission", "closure", "opening", "fopening"}
+RECURSIVE = {"emission", "closure", "opening", "fopening", "every_opening"}
 
 
 def sql(body: str) -> str:
@@ -555,6 +567,14 @@ _BODIES: dict[str, str] = {
     "hourly_features": """
       select tenant_id, service, hour_epoch, round(error_rate_1h, 6) as error_rate_1h, p99_latency_1h, request_rate_1h, anomaly_history_count
       from features""",
+    "parsed_features": """
+      select tenant_id, service, hour_epoch, round(error_rate_1h, 6) as error_rate_1h, p99_latency_1h, request_rate_1h, anomaly_history_count
+      from features""",
+    "parse_to_incidents": """
+      select k.tenant_id, k.dedup_key, o.sec as open_sec, count(*) as n_events, least(count(*), 5)::bigint as similar_count,
+        count(*) - least(count(*), 5)::bigint as dropped
+      from every_event k asof join every_opening o on k.tenant_id = o.tenant_id and k.dedup_key = o.dedup_key and k.epoch >= o.sec
+      group by all""",
     "feature_enrich": """
       select tenant_id, service, round(case when service = 'svc-3' then 0 else error_rate_1h end, 6) as error_rate_1h,
         case when service = 'svc-3' then 0 else p99_latency_1h end as p99_latency_1h,

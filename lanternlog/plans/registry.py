@@ -12,7 +12,7 @@ from lanternlog.operators import (
 )
 from lanternlog.params import Params
 from lanternlog.plans import views
-from lanternlog.session import work_path
+from lanternlog.session import cut_lineage, work_path
 from lanternlog.sources import readers, writers
 from lanternlog.sources.logview import log_view, spread, table
 from lanternlog.streaming import late
@@ -519,6 +519,33 @@ def incidents_open(spark, sf):
     )
 
 
+@query
+def parse_to_incidents(spark, sf):
+    """From raw messages to tickets: parse, score by all detectors, correlate, deduplicate."""
+    attributes = {"http.status_code": F.col("http_status"), "latency_ms": F.col("latency_ms")}
+    raw = parse.to_batches(log_view(spark, sf), 1, attributes, offsets=True)
+    rows = cut_lineage(parse.scoring_columns(parse.good_rows(parse.parsed_rows(raw))), "parsed")
+    events = composite.union_events(rule_score.rule_score(rows), composite.composite(rows), trace.request_failures(rows))
+    tickets = incidents.open_tickets(cut_lineage(events, "events"))
+    return tickets.select(
+        "tenant_id", "dedup_key", "open_sec", "n_events", F.col("similar_count").cast("long").alias("similar_count"),
+        F.col("dropped").cast("long").alias("dropped"),
+    )
+
+
+@query
+def parsed_features(spark, sf):
+    """Hourly features of parsed rows."""
+    attributes = {"http.status_code": F.col("http_status"), "latency_ms": F.col("latency_ms")}
+    rows = parse.scoring_columns(parse.good_rows(parse.parsed_rows(parse.to_batches(log_view(spark, sf), 1000, attributes))))
+    rows = cut_lineage(rows, "parsed")
+    f = features.hourly_features(rows, rule_score.rule_score(rows))
+    return f.select(
+        "tenant_id", "service", F.unix_seconds("hour").alias("hour_epoch"), F.round("error_rate_1h", 6).alias("error_rate_1h"),
+        "p99_latency_1h", "request_rate_1h", F.col("anomaly_history_count").cast("long").alias("anomaly_history_count"),
+    )
+
+
 @query
 def failure_incidents(spark, sf):
     """Incidents of failed requests: kept traces and steps to reproduce."""
