@@ -827,6 +827,10 @@ _BODIES: dict[str, str] = {
       select 'csv' as format, level, service, count(*) as n, sum(length(message))::bigint as chars from logs group by all
       union all select 'ndjson', level, service, count(*), sum(length(message))::bigint from logs group by all
       union all select 'text', 'INFO', 'unknown', count(*), sum(length(message))::bigint from logs""",
+    "json_array_upload": """
+      select case when bad then 'parse_error' else 'read' end as result, case when bad then '-' else level end as level, count(*) as n,
+        sum(case when bad then length('{"message": nope ') + length(service) + 1 else length(message) + 9 end)::bigint as chars
+      from (select *, log_seq % 50 = 7 as bad from logs) group by all""",
     "daily_upsert": """
       select 'logs-' || strftime(make_timestamp(epoch * 1000000), '%Y.%m.%d') as table_name, level, count(*) as n, count(*) as n_keys from logs group by all""",
     "anomaly_store": """

@@ -979,6 +979,22 @@ def file_formats(spark, sf):
     return out
 
 
+@query
+def json_array_upload(spark, sf):
+    """JSON arrays of 1,000 logs, every 50th broken, written and read back in ranges: rows and rejects."""
+    logs = log_view(spark, sf).select("log_seq", "level", "service", "message")
+    element = F.when(F.col("log_seq") % 50 == 7, F.concat(F.lit('{"message": nope '), "service", F.lit("}"))).otherwise(
+        F.to_json(F.struct("level", "service", F.concat("message", F.lit(' } ] "{ \\')).alias("message")))
+    )
+    arrays = logs.groupBy(F.expr("log_seq div 1000").alias("part")).agg(F.sort_array(F.collect_list(F.struct("log_seq", element.alias("e")))).alias("rows"))
+    path = work_path(spark, "json-arrays")
+    arrays.select(F.concat(F.lit("["), F.array_join("rows.e", ","), F.lit("]")).alias("value"), "part").write.partitionBy("part").text(path)
+    read = readers.parsed_elements(readers.json_elements(spark, path))
+    return read.groupBy(
+        F.coalesce("reason", F.lit("read")).alias("result"), F.coalesce(F.col("f")["level"], F.lit("-")).alias("level"),
+    ).agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.length(F.col("f")["message"]), F.length("original"))).alias("chars"))
+
+
 @query
 def daily_upsert(spark, sf):
     """Logs stored twice by day; the second time adds nothing."""
