@@ -234,6 +234,7 @@ def build_incidents(tickets: DataFrame, evidence: DataFrame | None = None) -> Da
             ),
         ).otherwise(F.create_map().cast("map<string,string>")),
         "log_seq": F.col("log_seq"),
+        "applied": F.array().cast("array<string>"),
     }
     if "blast_radius" in tickets.columns:
         columns["blast_radius"] = F.col("blast_radius")

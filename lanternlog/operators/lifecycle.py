@@ -90,6 +90,39 @@ def batch_results(incidents: DataFrame, requests: DataFrame) -> DataFrame:
     return joined.select("batch_id", "pos", "id", ok.alias("ok"), result.alias("result"))
 
 
+def batch_apply(incidents: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Results, incidents afterwards (with ``changed``) and audit rows of batches of requests.
+
+    ``requests``: batch_id, pos, id, action, at[, actor, message].  An
+    incident remembers the batches it has taken in ``applied``; a batch that
+    comes again gives the same results and changes nothing.
+    """
+    held = incidents.withColumn("applied", F.coalesce(optional(incidents, "applied", "array<string>"), F.array().cast("array<string>")))
+    actor = F.coalesce(optional(requests, "actor"), F.lit("operator"))
+    fit = requests.where(state_of(F.col("action")).isNotNull()).select(
+        "id", "action", "at", actor.alias("actor"), optional(requests, "message").alias("message"),
+        F.col("batch_id").cast("string").alias("batch_id"), "pos",
+    )
+    fit = fit.join(held.select("id", "applied", F.col("state").alias("before")), "id")
+    fit = fit.where(~F.array_contains("applied", F.col("batch_id")))
+    after = apply_transitions(held, fit.select("id", "action", "at", "actor", "message"))
+    taken = fit.groupBy("id").agg(F.array_sort(F.collect_set("batch_id")).alias("taken"))
+    after = after.join(taken, "id", "left").withColumn(
+        "applied", F.array_union("applied", F.coalesce("taken", F.array().cast("array<string>")))
+    ).drop("taken")
+    row = F.struct("at", state_of(F.col("action")).alias("to"), "actor", "message", "batch_id", "pos")
+    changes = fit.groupBy("id").agg(F.any_value("before").alias("before"), F.array_sort(F.collect_list(row)).alias("rows"))
+    audit = changes.select("id", "before", "rows", F.posexplode("rows").alias("i", "r")).select(
+        F.sha2(F.concat_ws("|", "id", "r.batch_id", F.col("r.pos").cast("string")), 256).alias("audit_id"),
+        F.col("id").alias("incident_id"), F.col("r.at").alias("at"), F.lit("state_change").alias("action"), F.col("r.actor").alias("actor"),
+        F.create_map(
+            F.lit("from"), F.when(F.col("i") == 0, F.col("before")).otherwise(F.try_element_at("rows", F.greatest(F.col("i"), F.lit(1)))["to"]),
+            F.lit("to"), F.col("r.to"),
+        ).alias("details"),
+    )
+    return batch_results(incidents, requests), after, audit
+
+
 def patch_incidents(incidents: DataFrame, patches: DataFrame) -> DataFrame:
     """Incidents after field patches; one patch per incident.
 

@@ -726,6 +726,13 @@ _BODIES: dict[str, str] = {
         select l.log_seq % 60 as pos, i.id is not null and l.log_seq % 9 <> 0 as ok,
           case when i.id is null then 'not found' when l.log_seq % 9 = 0 then 'invalid state: explode' else 'acknowledged' end as result
         from logs l left join inc i on i.log_seq = l.log_seq) group by all""",
+    "batch_apply": """
+      select 'state' as kind, id, arg_max(act, req_at) as detail, 1 + count(*) as n from requests group by id
+      union all
+      select 'audit', id, lag(act, 1, state) over (partition by id order by pos) || '>' || act || ' by ops', 1
+      from requests join (select id, state from inc) using (id)
+      union all
+      select 'result', '', act, count(*) from requests group by act""",
     "patch": f"""
       select id, new_urgency as urgency, case when p then {PRIORITY.replace('urgency', 'new_urgency')} else priority end as priority,
         case when p then 'u' || number::varchar end as assigned_to,
@@ -827,6 +834,9 @@ _BODIES: dict[str, str] = {
       select 'csv' as format, level, service, count(*) as n, sum(length(message))::bigint as chars from logs group by all
       union all select 'ndjson', level, service, count(*), sum(length(message))::bigint from logs group by all
       union all select 'text', 'INFO', 'unknown', count(*), sum(length(message))::bigint from logs""",
+    "compact_table": """
+      select strftime(date '2024-01-01' + (log_seq % 3)::int, '%Y-%m-%d') as day, count(*) as n, sum(log_seq)::bigint as seq_sum,
+        sum(length(message))::bigint as chars, true as packed from logs group by all""",
     "json_array_upload": """
       select case when bad then 'parse_error' else 'read' end as result, case when bad then '-' else level end as level, count(*) as n,
         sum(case when bad then length('{"message": nope ') + length(service) + 1 else length(message) + 9 end)::bigint as chars

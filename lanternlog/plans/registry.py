@@ -13,7 +13,7 @@ from lanternlog.operators import (
 from lanternlog.params import Params
 from lanternlog.plans import views
 from lanternlog.session import cut_lineage, work_path
-from lanternlog.sources import readers, writers
+from lanternlog.sources import readers, store, writers
 from lanternlog.sources.logview import log_view, spread, table
 from lanternlog.streaming import late
 
@@ -673,6 +673,21 @@ def batch_transitions(spark, sf):
     return r.groupBy("ok", "result").agg(F.count(F.lit(1)).alias("n"), F.max("pos").alias("last_pos"))
 
 
+@query
+def batch_apply(spark, sf):
+    """Batches of requests applied: results, new states and audit rows."""
+    inc = views.incidents(spark, sf)
+    requests = _requests(inc).withColumn("batch_id", F.substring("id", 1, 11)).withColumn("pos", F.unix_seconds("at"))
+    results, after, audit = lifecycle.batch_apply(inc, requests)
+    states = after.where("changed").select(F.lit("state").alias("kind"), "id", F.col("state").alias("detail"), F.size("timeline").cast("long").alias("n"))
+    steps = audit.select(
+        F.lit("audit").alias("kind"), F.col("incident_id").alias("id"),
+        F.concat(F.col("details")["from"], F.lit(">"), F.col("details")["to"], F.lit(" by "), "actor").alias("detail"), F.lit(1).cast("long").alias("n"),
+    )
+    told = results.groupBy(F.lit("result").alias("kind"), F.lit("").alias("id"), F.col("result").alias("detail")).agg(F.count(F.lit(1)).alias("n"))
+    return states.unionByName(steps).unionByName(told)
+
+
 def _patches(inc):
     return inc.where("number % 4 = 1").select(
         "id", F.timestamp_seconds(F.unix_seconds("created_at") + 500).alias("at"), F.lit("ops").alias("actor"),
@@ -979,6 +994,21 @@ def file_formats(spark, sf):
     return out
 
 
+@query
+def compact_table(spark, sf):
+    """A daily table of many small files, packed: its rows by day, and whether each day has no more files than it needs."""
+    path = work_path(spark, "compact-table")
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("log_seq") % 3).cast("int"))
+    logs = log_view(spark, sf).select("log_seq", "service", "message", day.alias("dt"))
+    logs.repartition(6, "log_seq").write.partitionBy("dt").parquet(path)
+    store.compact_days(spark, path, "log_seq")
+    left = store.scattered_days(store.file_sizes(spark, path), store.TARGET_BYTES).select("dt", F.lit(True).alias("scattered"))
+    rows = spark.read.parquet(path).groupBy("dt").agg(F.count(F.lit(1)).alias("n"), F.sum("log_seq").alias("seq_sum"), F.sum(F.length("message")).alias("chars"))
+    return rows.join(left, "dt", "left").select(
+        F.date_format("dt", "yyyy-MM-dd").alias("day"), "n", "seq_sum", "chars", F.col("scattered").isNull().alias("packed")
+    )
+
+
 @query
 def json_array_upload(spark, sf):
     """JSON arrays of 1,000 logs, every 50th broken, written and read back in ranges: rows and rejects."""
