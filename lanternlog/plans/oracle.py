@@ -834,6 +834,12 @@ _BODIES: dict[str, str] = {
       select 'csv' as format, level, service, count(*) as n, sum(length(message))::bigint as chars from logs group by all
       union all select 'ndjson', level, service, count(*), sum(length(message))::bigint from logs group by all
       union all select 'text', 'INFO', 'unknown', count(*), sum(length(message))::bigint from logs""",
+    "typed_rejects": """
+      select case when reasons = '' then 'stored' else reasons end as result, count(*) as n,
+        sum(case when reasons = '' then http_status else 0 end)::bigint as sum
+      from (select *, concat_ws(', ', case when log_seq % 97 = 5 then 'ts: not a timestamp' end,
+          case when log_seq % 89 = 7 then 'http_status: not a int' end, case when log_seq % 101 = 3 then 'log_id: missing' end) as reasons from logs)
+      group by all""",
     "compact_table": """
       select strftime(date '2024-01-01' + (log_seq % 3)::int, '%Y-%m-%d') as day, count(*) as n, sum(log_seq)::bigint as seq_sum,
         sum(length(message))::bigint as chars, true as packed from logs group by all""",

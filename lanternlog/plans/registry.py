@@ -15,7 +15,7 @@ from lanternlog.plans import views
 from lanternlog.session import cut_lineage, work_path
 from lanternlog.sources import readers, store, writers
 from lanternlog.sources.logview import log_view, spread, table
-from lanternlog.streaming import late
+from lanternlog.streaming import late, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -994,6 +994,21 @@ def file_formats(spark, sf):
     return out
 
 
+@query
+def typed_rejects(spark, sf):
+    """Rows for a typed sink, some poisoned: what is stored, and what is rejected why."""
+    logs = log_view(spark, sf)
+    rows = logs.select(
+        F.when(F.col("log_seq") % 101 != 3, F.col("log_id")).alias("log_id"),
+        F.when(F.col("log_seq") % 97 == 5, "yesterday").otherwise(F.col("ts").cast("string")).alias("ts"), "level", "message",
+        F.when(F.col("log_seq") % 89 == 7, "5xx").otherwise(F.col("http_status").cast("string")).alias("http_status"),
+    )
+    good, bad = sinks.split(rows, sinks.LOG_TYPES, sinks.LOG_REQUIRED)
+    stored = good.groupBy(F.lit("stored").alias("result")).agg(F.count(F.lit(1)).alias("n"), F.sum("http_status").alias("sum"))
+    told = bad.groupBy(F.array_join("reasons", ", ").alias("result")).agg(F.count(F.lit(1)).alias("n"), F.lit(0).cast("long").alias("sum"))
+    return stored.unionByName(told)
+
+
 @query
 def compact_table(spark, sf):
     """A daily table of many small files, packed: its rows by day, and whether each day has no more files than it needs."""

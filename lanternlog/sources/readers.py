@@ -9,11 +9,21 @@ from lanternlog.params import DEFAULTS, Params
 FILE_FORMATS = ("csv", "ndjson", "json", "text")
 
 
-def kafka_options(topic: str, servers: str, starting: str = "latest", max_records: int | None = None, **more) -> dict:
-    """Options of a topic source: where to start and how much one batch takes."""
+def kafka_options(
+    topic: str, servers: str, starting: str = "latest", max_records: int | None = None, min_records: int | None = None,
+    max_delay: str | None = None, **more,
+) -> dict:
+    """Options of a topic source: where to start and how much one batch takes.
+
+    A batch waits for ``min_records``, but no longer than ``max_delay``.
+    """
     options = {"kafka.bootstrap.servers": servers, "subscribe": topic, "startingOffsets": starting, **more}
     if max_records is not None:
         options["maxOffsetsPerTrigger"] = str(max_records)
+    if min_records is not None:
+        options["minOffsetsPerTrigger"] = str(min_records)
+    if max_delay is not None:
+        options["maxTriggerDelay"] = max_delay
     return options
 
 
@@ -31,11 +41,15 @@ def read_topic_files(spark: SparkSession, path: str, files_per_batch: int | None
     return reader.load(path)
 
 
-def read_table_stream(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
-    """Stream of the Parquet files that are added to a table."""
+def read_table_stream(
+    spark: SparkSession, path: str, schema, files_per_batch: int | None = None, bytes_per_batch: int | None = None
+) -> DataFrame:
+    """Stream of the Parquet files that are added to a table, a batch bounded by their number or by their bytes."""
     reader = spark.readStream.schema(schema)
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    if bytes_per_batch is not None:
+        reader = reader.option("maxBytesPerTrigger", bytes_per_batch)
     return reader.parquet(path)
 
 

@@ -26,8 +26,18 @@ LATENESS_SECONDS = 600
 TEMPLATE_IDLE_SECONDS = 3600
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def use_rocksdb(spark: SparkSession) -> None:
+    """Keep the state of queries that start from here on in RocksDB, with changelog checkpoints."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+
+
 def start(stream: DataFrame, each_batch, checkpoint: str, interval: str | None = None, name: str | None = None):
     """Run a function per micro-batch: every ``interval``, or over what is there now and then stop."""
+    use_rocksdb(stream.sparkSession)
     writer = stream.writeStream.foreachBatch(each_batch).option("checkpointLocation", checkpoint)
     if name:
         writer = writer.queryName(name)
@@ -257,3 +267,31 @@ class CounterListener(StreamingQueryListener):
     def table(self, spark: SparkSession) -> DataFrame:
         """Counters as (name, value) rows, as ``stage_totals`` reads them."""
         return spark.createDataFrame(sorted(self.totals.items()), "name string, value bigint")
+
+
+class StateListener(StreamingQueryListener):
+    """Size of the keyed state after every micro-batch, per query and stateful operator."""
+
+    FIELDS = "query string, batch_id bigint, operator string, rows bigint, updated bigint, late bigint, memory_bytes bigint, provider string"
+
+    def __init__(self):
+        self.rows: dict[tuple, tuple] = {}
+
+    def onQueryStarted(self, event):
+        pass
+
+    def onQueryProgress(self, event):
+        p = event.progress
+        for i, op in enumerate(p.stateOperators):
+            rocks = any(name.lower().startswith("rocksdb") for name in op.customMetrics)
+            row = (op.numRowsTotal, op.numRowsUpdated, op.numRowsDroppedByWatermark, op.memoryUsedBytes, "rocksdb" if rocks else "memory")
+            self.rows[p.name or str(p.id), p.batchId, f"{i}:{op.operatorName}"] = row
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        pass
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame([(*key, *row) for key, row in sorted(self.rows.items())], self.FIELDS)

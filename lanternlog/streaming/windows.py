@@ -30,6 +30,7 @@ from pyspark.sql.types import IntegerType, LongType, StringType, StructField, St
 from lanternlog.functions.signals import with_signals
 from lanternlog.operators import composite as cp, incidents as inc
 from lanternlog.params import DEFAULTS, Params
+from lanternlog.streaming.pipelines import start
 from lanternlog.streaming.state import write_batch
 
 BLOCK_SECONDS = 3600
@@ -197,11 +198,9 @@ def ticket_changes(events: DataFrame, p: Params = DEFAULTS, delay: str = "1 hour
     return window_changes(rows, inc.KEYS, p.ticket_dedup_seconds, "event_id", None, delay, block_seconds)
 
 
-def store_changes(changes: DataFrame, path: str, checkpoint: str, interval: str | None = None):
+def store_changes(changes: DataFrame, path: str, checkpoint: str, interval: str | None = None, name: str | None = None):
     """Write the changelog, one folder per micro-batch, so that a batch that runs again replaces itself."""
-    writer = changes.writeStream.option("checkpointLocation", checkpoint)
-    writer = writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)
-    return writer.foreachBatch(lambda batch, batch_id: write_batch(batch, path, batch_id)).start()
+    return start(changes, lambda batch, batch_id: write_batch(batch, path, batch_id), checkpoint, interval, name)
 
 
 def standing(changes: DataFrame) -> DataFrame:

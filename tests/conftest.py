@@ -14,10 +14,6 @@ def spark():
 
     session = local_session("8", "8g", "tests")
     session.conf.set("spark.sql.shuffle.partitions", "4")
-    session.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
     yield session
 
 
