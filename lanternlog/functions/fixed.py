@@ -85,6 +85,12 @@ CATEGORY_SIGNAL = 0.30
 # Composite severity labels from a score upwards.
 COMPOSITE_SEVERITY = [(0.85, "critical"), (0.65, "high"), (0.45, "medium")]
 
+# Characters of an error that are looked up among stored incidents.
+DUPLICATE_TEXT = 100
+
+# Fields of a flat log that have a place of their own in a batch.
+FLAT_FIELDS = ["message", "level", "service", "timestamp", "trace_id", "span_id", "host"]
+
 # Attributes that may hold a request's time in milliseconds, the first one counts.
 LATENCY_ATTRIBUTES = ["latency_ms", "response_time_ms", "duration_ms"]
 

@@ -67,8 +67,8 @@ def ticket_members(events: DataFrame, windows: DataFrame, p: Params = DEFAULTS)
     return joined.withColumn("rank", F.row_number().over(by_ticket)).where(F.col("rank") <= p.ticket_group_size)
 
 
-def open_tickets(events: DataFrame, p: Params = DEFAULTS, start_number: int = 0) -> DataFrame:
-    """One row per ticket: the opening event's fields, its group and its number.
+def ticket_rows(events: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """One row per ticket: the opening event's fields and its group.
 
     The windows and the few events a ticket keeps are written out, so that
     the events are read twice and not once per later step.
@@ -99,7 +99,52 @@ def open_tickets(events: DataFrame, p: Params = DEFAULTS, start_number: int = 0)
     grouped = members.where(F.col("rank") > 1).groupBy(*KEYS, "open_sec").agg(
         F.array_sort(F.collect_list(F.struct("ts", "rank", "event_id"))).alias("grouped_events")
     )
-    tickets = tickets.join(grouped, [*KEYS, "open_sec"], "left")
+    return tickets.join(grouped, [*KEYS, "open_sec"], "left")
+
+
+def open_tickets(events: DataFrame, p: Params = DEFAULTS, start_number: int = 0) -> DataFrame:
+    """Tickets with their number and id."""
+    return numbered_tickets(ticket_rows(events, p), start_number)
+
+
+def open_or_group(events: DataFrame, stored: DataFrame, p: Params = DEFAULTS, start_number: int = 0) -> tuple[DataFrame, DataFrame]:
+    """New tickets, and tickets whose failed request repeats a stored unresolved incident (``incident_id``).
+
+    A failed request is looked up among the stored incidents of its tenant and
+    service before a ticket is opened for it, so a job that starts anew does
+    not open what is open already; only new tickets are numbered.
+    """
+    rows = cut_lineage(ticket_rows(events, p), "tickets")
+    text = F.substring(F.coalesce(optional(rows, "error_message"), F.lit("")), 1, fixed.DUPLICATE_TEXT)
+    asked = rows.where(F.col("anomaly_type") == "request_failure").select("event_id", "tenant_id", "service", "ts", text.alias("text"))
+    found = cut_lineage(recent_duplicates(asked, stored, p).select("event_id", "incident_id"), "duplicates")
+    return numbered_tickets(rows.join(found, "event_id", "left_anti"), start_number), rows.join(found, "event_id")
+
+
+def group_into(incidents: DataFrame, repeats: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+    """Incidents with the tickets that repeat them: their count, traces (the first few stay) and a timeline entry each."""
+    entry = timeline_entry(
+        F.col("ts"), "grouped", F.lit("identified"), F.concat(F.lit("Similar events grouped: "), F.col("n_events").cast("string")),
+        F.lit("system"), F.col("event_id"),
+    )
+    has_traces = "request_traces" in repeats.columns and "request_traces" in incidents.columns
+    traces = [F.flatten(F.collect_list(F.coalesce("request_traces", F.array()))).alias("_traces")] if has_traces else []
+    added = repeats.groupBy(F.col("incident_id").alias("id")).agg(
+        F.sum("n_events").alias("_n"), F.max("ts").alias("_at"), F.array_sort(F.collect_list(F.struct("ts", entry.alias("entry")))).alias("_entries"), *traces
+    )
+    rows = incidents.join(added, "id", "left")
+    changed = {
+        "similar_count": F.col("similar_count") + F.coalesce("_n", F.lit(0)),
+        "updated_at": F.greatest("updated_at", "_at"),
+        "timeline": F.concat("timeline", F.coalesce(F.col("_entries.entry"), F.slice("timeline", 1, 0))),
+    }
+    if has_traces:
+        both = F.concat(F.coalesce("request_traces", F.slice("_traces", 1, 0)), F.coalesce("_traces", F.slice("request_traces", 1, 0)))
+        changed["request_traces"] = F.coalesce(F.slice(both, 1, p.ticket_group_size), F.col("request_traces"))
+    return rows.withColumns(changed).select(*incidents.columns)
+
+
+def numbered_tickets(tickets: DataFrame, start_number: int = 0) -> DataFrame:
     numbered = running_number(tickets, ["ts", "event_id"], "number", start_number)
     return numbered.withColumn(
         "id", F.concat(F.lit("TICK-"), F.lpad(F.col("number").cast("string"), F.greatest(F.lit(4), F.length(F.col("number").cast("string"))), F.lit("0")))

@@ -207,10 +207,10 @@ def timeline_rows(incidents: DataFrame) -> DataFrame:
     ).select("incident_id", "pos", "e.*")
 
 
-def latest_audit(audit: DataFrame, n: int = 100) -> DataFrame:
-    """The newest entries per incident, newest first, at most 500."""
+def latest_audit(audit: DataFrame, n: int = 100, cap: int = MAX_AUDIT) -> DataFrame:
+    """The newest ``n`` entries per incident, newest first; no more than ``cap``."""
     order = W.partitionBy("incident_id").orderBy(F.desc("at"), F.desc("seq"))
-    return audit.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= min(n, MAX_AUDIT))
+    return audit.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= min(n, cap))
 
 
 def merge_tags(base: Column, *more: Column) -> Column:

@@ -28,6 +28,7 @@ MESSAGE = (
 
 # bits of an arrival number for the record's place in its message and for the topic's partition
 PLACE_BITS, PARTITION_BITS = 18, 8
+ATTRIBUTE_TEXTS = "array<struct<key:string,value:struct<stringValue:string>>>"
 
 CORE = [
     "ts", "log_id", "observed_ts", "level", "message", "service", "tenant_id", "environment",
@@ -180,7 +181,9 @@ def parsed_rows(raw: DataFrame, p: Params = DEFAULTS) -> DataFrame:
         "trace_id": F.col("trace"),
         "span_id": F.col("span"),
         "scope_name": F.coalesce(F.nullif("scope_name", F.lit("")), field("scope_name")),
-        "host_name": F.coalesce(resource("host.name"), field("host_name")),
+        "host_name": F.coalesce(
+            resource("host.name"), F.nullif(F.try_element_at("la", F.lit("host.name")), F.lit("")), field("host_name")
+        ),
         "attrs": F.when(canonical, without_keys("fields", CORE_NAMES + ["timestamp"])).otherwise(
             merge_attributes(log_attrs, res_attrs)
         ),
@@ -269,6 +272,39 @@ def scoring_columns(rows: DataFrame) -> DataFrame:
     return rows.withColumns(lifted | {"latency_ms": F.coalesce(*times)})
 
 
+def fields_to_batches(rows: DataFrame, batch_rows: int = 1000) -> DataFrame:
+    """Flat field maps (column ``f``) to OTLP batches, one message per service and block of rows.
+
+    Fields without a place of their own become attributes, ``host`` under the
+    name ``host.name``; empty ids are left out.
+    """
+
+    def field(name: str) -> Column:
+        return F.nullif(F.try_element_at("f", F.lit(name)), F.lit(""))
+
+    def attribute_of(key: Column, value: Column) -> Column:
+        return F.struct(key.alias("key"), F.struct(value.alias("stringValue")).alias("value"))
+
+    others = F.transform(F.map_entries(without_keys("f", fixed.FLAT_FIELDS)), lambda e: attribute_of(e["key"], e["value"]))
+    host = F.when(field("host").isNotNull(), F.array(attribute_of(F.lit("host.name"), field("host"))))
+    time = F.coalesce(F.try_to_timestamp(field("timestamp")), F.current_timestamp())
+    record = F.struct(
+        (F.unix_micros(time) * 1000).cast("string").alias("timeUnixNano"),
+        F.upper(F.coalesce(field("level"), F.lit("INFO"))).alias("severityText"),
+        F.struct(F.coalesce(field("message"), F.lit("")).alias("stringValue")).alias("body"),
+        F.concat(others, F.coalesce(host, F.array().cast(ATTRIBUTE_TEXTS))).alias("attributes"),
+        field("trace_id").alias("traceId"),
+        field("span_id").alias("spanId"),
+    )
+    placed = rows.select("f", F.coalesce(field("service"), F.lit("unknown")).alias("service"), F.monotonically_increasing_id().alias("place"))
+    grouped = placed.groupBy("service", F.floor(F.col("place") / batch_rows).alias("block")).agg(
+        F.array_sort(F.collect_list(F.struct("place", record.alias("record")))).alias("records")
+    )
+    scope = F.array(F.struct(F.struct(F.lit("lanternlog").alias("name")).alias("scope"), F.col("records.record").alias("logRecords")))
+    resource = F.struct(F.array(attribute_of(F.lit("service.name"), F.col("service"))).alias("attributes"))
+    return grouped.select(F.to_json(F.struct(F.array(F.struct(resource.alias("resource"), scope.alias("scopeLogs"))).alias("resourceLogs"))).alias("value"))
+
+
 def to_batches(
     logs: DataFrame, batch_rows: int = 1000, attributes: dict[str, Column] | None = None, offsets: bool = False
 ) -> DataFrame:

@@ -78,6 +78,11 @@ INCIDENT_CONTRACT = Contract(
         "priority": ["P1", "P2", "P3", "P4", "P5"],
     },
     unit_range=["anomaly_score"],
+    known=[
+        "id", "created_at", "title", "severity", "urgency", "priority", "state", "service", "tenant_id", "environment", "description",
+        "anomaly_type", "anomaly_score", "affected_services", "affected_endpoint", "trace_id", "evidence_logs", "causal_chain",
+        "error_message", "error_category", "updated_at", "resolved_at",
+    ],
 )
 
 

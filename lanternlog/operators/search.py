@@ -18,7 +18,6 @@ ANOMALY_FIELDS = [
 LOG_LIMIT = 200
 ANOMALY_LIMIT = 100
 INCIDENT_LIMIT = 200
-EXPORT_LIMIT = 100
 
 
 def clamp(limit: int | None, default: int, cap: int) -> int:
@@ -76,18 +75,18 @@ def project(df: DataFrame, fields: list[str]) -> DataFrame:
 
 def search_logs(
     logs: DataFrame, tenant: str | None = None, service=None, level=None, query: str | None = None,
-    start=None, end=None, limit: int | None = None, fields: list[str] | None = None,
+    start=None, end=None, limit: int | None = None, fields: list[str] | None = None, cap: int = LOG_LIMIT,
 ) -> DataFrame:
-    """Newest rows that match all filters."""
+    """Newest rows that match all filters, ``limit`` of them and no more than ``cap``."""
     rows = where_equal(in_time(for_tenant(logs, tenant), start, end), service=service, level=level)
     rows = full_text(rows, query, ["message", "service", "host_name"])
-    rows = rows.orderBy(F.desc("ts"), F.desc("log_seq")).limit(clamp(limit, 50, LOG_LIMIT))
+    rows = rows.orderBy(F.desc("ts"), F.desc("log_seq")).limit(clamp(limit, 50, cap))
     return project(rows, fields or LOG_FIELDS)
 
 
-def search_anomalies(events: DataFrame, tenant=None, service=None, severity=None, limit=None, fields=None) -> DataFrame:
+def search_anomalies(events: DataFrame, tenant=None, service=None, severity=None, limit=None, fields=None, cap: int = ANOMALY_LIMIT) -> DataFrame:
     rows = where_equal(for_tenant(events, tenant), service=service, severity=severity)
-    rows = rows.orderBy(F.desc("ts"), F.desc("event_id")).limit(clamp(limit, 20, ANOMALY_LIMIT))
+    rows = rows.orderBy(F.desc("ts"), F.desc("event_id")).limit(clamp(limit, 20, cap))
     return project(rows, fields or ANOMALY_FIELDS)
 
 
@@ -106,12 +105,12 @@ def match_incidents(
 
 def search_incidents(
     incidents: DataFrame, sort: str = "created_at", ascending: bool = False, offset: int = 0,
-    limit: int | None = None, **filters,
+    limit: int | None = None, cap: int = INCIDENT_LIMIT, **filters,
 ) -> DataFrame:
     """One page of matching incidents."""
     order = F.asc(sort) if ascending else F.desc(sort)
     rows = match_incidents(incidents, **filters).orderBy(order, F.desc("id"))
-    return rows.offset(offset).limit(clamp(limit, 50, INCIDENT_LIMIT))
+    return rows.offset(offset).limit(clamp(limit, 50, cap))
 
 
 def page_info(matching: DataFrame, offset: int, limit: int) -> DataFrame:

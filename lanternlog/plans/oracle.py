@@ -771,6 +771,8 @@ _BODIES: dict[str, str] = {
         and state not in ('resolved', 'mitigated')
         and list_has_any({words("title || ' ' || description || ' ' || service || ' ' || anomaly_type || ' ' || severity")}, ['memory', 'timeout'])
       order by number, id desc limit 20 offset 20""",
+    "incident_get": """
+      select id, tenant_id, service, state, severity, title from inc where id = (select min(id) from inc where tenant_id = 't1')""",
     "page_totals": """
       select count(*) as total, 20 as "limit", 40 as "offset", 60 < count(*) as has_more from inc where tenant_id = 't0' and state = 'resolved'""",
     "latest_logs": "select log_seq, epoch, service, level, message from logs order by epoch desc, log_seq desc limit 100",
@@ -819,9 +821,17 @@ _BODIES: dict[str, str] = {
       select unnest(['missing:ts', 'missing:log_id', 'missing:level', 'missing:message', 'missing:service', 'missing:tenant_id', 'value:level', 'range:anomaly_score']) as rule,
         unnest([0, 0, 0, 0, count(*) filter (log_seq % 29 = 0), 0, count(*) filter (log_seq % 17 = 0), count(*) filter (log_seq % 31 = 0)]) as broken,
         count(*) as total from logs""",
+    "incident_check": """
+      select unnest(['missing:id', 'missing:created_at', 'missing:title', 'missing:severity', 'missing:state', 'missing:service', 'missing:tenant_id',
+          'value:severity', 'value:state', 'value:urgency', 'value:priority', 'range:anomaly_score', 'unknown:number']) as rule,
+        unnest([0, 0, count(*) filter (number % 7 = 0), 0, 0, 0, 0, 0, count(*) filter (number % 3 = 0), 0, count(*) filter (number % 5 = 0), 0,
+          count(*)]) as broken, count(*) as total from inc""",
     "schema_rejects": """
       select case when log_seq % 5 = 0 and log_seq % 7 = 0 then 'value:severity,range:anomaly_score' when log_seq % 5 = 0 then 'value:severity'
         else 'range:anomaly_score' end as broken, count(*) as n from rules where log_seq % 5 = 0 or log_seq % 7 = 0 group by all""",
+    "export_json": """
+      select id, title, state, created_epoch, service || ',' || anomaly_type || ',' || severity as tags, trace_id as trace from inc""",
+    "upload_encode": "select log_seq, epoch, level, message, service, trace_id, 'h' || service as host, tenant_id as region from logs",
     "export_csv": f"""
       select form, id, array_to_string(list_transform(cells, lambda c: case when regexp_matches(c, '[,"\n]') then '"' || replace(c, '"', '""') || '"' else c end), ',') as line
       from (

@@ -796,6 +796,14 @@ def page_incidents(spark, sf):
     return r.select("id", "number", "state", "severity", "title")
 
 
+@query
+def incident_get(spark, sf):
+    """The first incident of tenant t1, by its id."""
+    inc = views.incidents(spark, sf)
+    first = inc.where("tenant_id = 't1'").agg(F.min("id")).head()[0]
+    return search.get_incident(inc, first, "t1").select("id", "tenant_id", "service", "state", "severity", "title")
+
+
 @query
 def page_totals(spark, sf):
     m = search.match_incidents(views.incidents(spark, sf), tenant="t0", state="resolved")
@@ -935,6 +943,17 @@ def schema_check(spark, sf):
     return quality.contract_report(bad, quality.LOG_CONTRACT)
 
 
+@query
+def incident_check(spark, sf):
+    """Contract rules over stored incidents, some broken, with a field the contract does not know."""
+    inc = views.incidents(spark, sf).select(
+        "id", "created_at", F.when(F.col("number") % 7 != 0, F.col("title")).alias("title"), "severity", "urgency", "service", "tenant_id",
+        F.when(F.col("number") % 5 == 0, "P9").otherwise(F.col("priority")).alias("priority"),
+        F.when(F.col("number") % 3 == 0, "done").otherwise(F.col("state")).alias("state"), "anomaly_score", "number",
+    )
+    return quality.contract_report(inc, quality.INCIDENT_CONTRACT)
+
+
 @query
 def schema_rejects(spark, sf):
     """Anomaly events that break their contract, with the broken rules."""
@@ -948,6 +967,32 @@ def schema_rejects(spark, sf):
 # --- sources and sinks -------------------------------------------------------
 
 
+@query
+def export_json(spark, sf):
+    """Incidents as JSON lines, read back."""
+    inc = views.incidents(spark, sf).select("id", "title", "severity", "state", "created_at", "tags", "custom_fields")
+    lines = writers.export_json(inc)
+    read = F.from_json("line", inc.schema)
+    return lines.select("id", read["title"].alias("title"), read["state"].alias("state"), F.unix_seconds(read["created_at"]).alias("created_epoch"),
+                        F.array_join(read["tags"], ",").alias("tags"), read["custom_fields"]["trace"].alias("trace"))
+
+
+@query
+def upload_encode(spark, sf):
+    """Flat uploads encoded to batches and parsed: other fields become attributes, the host has a name."""
+    logs = log_view(spark, sf)
+    f = F.create_map(
+        F.lit("message"), "message", F.lit("level"), F.lower("level"), F.lit("service"), "service", F.lit("timestamp"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("trace_id"), "trace_id", F.lit("host"), F.concat(F.lit("h"), "service"),
+        F.lit("seq"), F.col("log_seq").cast("string"), F.lit("region"), "tenant_id",
+    )
+    rows = parse.good_rows(parse.parsed_rows(parse.fields_to_batches(logs.select(f.alias("f")))))
+    return rows.select(
+        F.col("attrs")["seq"].cast("long").alias("log_seq"), epoch("ts"), "level", "message", "service", "trace_id",
+        F.col("host_name").alias("host"), F.col("attrs")["region"].alias("region"),
+    )
+
+
 @query
 def export_csv(spark, sf):
     """Incident export lines in three forms."""

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lanternlog.functions.ids import store_key
 from lanternlog.params import DEFAULTS, Params
-from lanternlog.sources.readers import read_dated
 
 
 def topic_messages(df: DataFrame, key: str | None = None) -> DataFrame:
@@ -54,10 +53,8 @@ def upsert_daily(keyed: DataFrame, path: str, max_records_per_file: int = 0) ->
     spark = keyed.sparkSession
     rows = keyed.dropDuplicates(["dt", "_key"])
     if _exists(spark, path):
-        span = keyed.agg(F.min("dt").alias("a"), F.max("dt").alias("b")).head()
-        if span is None or span["a"] is None:
-            return
-        held = read_dated(spark, path, F.lit(span["a"]), F.lit(span["b"])).select("dt", "_key")
+        days = [r["dt"] for r in keyed.select("dt").distinct().collect() if r["dt"] is not None]
+        held = spark.read.parquet(path).where(F.col("dt").isin(days) if days else F.lit(False)).select("dt", "_key")
         rows = rows.join(held, ["dt", "_key"], "left_anti")
     writer = rows.write.mode("append").partitionBy("dt")
     if max_records_per_file:

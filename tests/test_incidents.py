@@ -105,3 +105,30 @@ def test_transitions_keep_first_stamps(spark):
     row = lc.apply_transitions(df, req).head()
     assert (row.state, row.acknowledged_at, row.resolved_at, row.mttr_seconds) == ("resolved", at + timedelta(minutes=1), at + timedelta(minutes=5), 300)
     assert [e.message for e in row.timeline][1:3] == ["State changed: identified -> acknowledged", "State changed: acknowledged -> acknowledged"]
+
+
+def test_repeats_of_stored_incidents_open_nothing(spark, tmp_path):
+    """A failed request that repeats an unresolved incident is grouped into it; others open tickets with the next numbers."""
+    from lanternlog.operators import trace as tr
+
+    base = datetime(2024, 1, 1, 12)
+
+    def failing(trace_id, minutes, service, message):
+        at = base + timedelta(minutes=minutes)
+        return [(at, k, "ten", trace_id, s, lv, m, "sp") for k, (s, lv, m) in enumerate((("web", "INFO", "begin"), (service, "ERROR", message)))]
+
+    schema = "ts timestamp, log_seq bigint, tenant_id string, trace_id string, service string, level string, message string, span_id string"
+    logs = spark.createDataFrame([r for rs in (failing("a", 0, "pay", "deadlock detected on orders"), failing("b", 1, "mail", "Request timeout after")) for r in rs], schema)
+    stored = inc.build_incidents(inc.open_tickets(tr.request_failures(logs)))
+    stored = stored.withColumn("description", F.concat("description", F.lit(": "), F.element_at("evidence_logs", -1)["message"]))
+    stored.write.parquet(f"{tmp_path}/stored")
+    stored = spark.read.parquet(f"{tmp_path}/stored").withColumn("state", F.when(F.col("service") == "mail", "resolved").otherwise(F.col("state")))
+    later = [failing("c", 5, "pay", "deadlock detected on orders"), failing("d", 6, "pay", "deadlock detected on orders"), failing("e", 6, "mail", "Request timeout after"), failing("f", 7, "pay", "No space left on device")]
+    events = tr.request_failures(spark.createDataFrame([r for rs in later for r in rs], schema))
+    opened, repeats = inc.open_or_group(events, stored, start_number=2)
+    assert sorted((r.service, r.id) for r in opened.collect()) == [("mail", "TICK-0003"), ("pay", "TICK-0004")]
+    first = stored.where("service = 'pay'").head()
+    assert [(r.incident_id, r.n_events) for r in repeats.collect()] == [(first.id, 2)]
+    after = inc.group_into(stored, repeats).where(F.col("id") == first.id).head()
+    assert (after.similar_count, len(after.request_traces), after.timeline[-1].type) == (first.similar_count + 2, 3, "grouped")
+    assert inc.group_into(stored, repeats).where("service = 'mail'").head().similar_count == 1
