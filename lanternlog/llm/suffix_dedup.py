@@ -35,6 +35,8 @@ BUCKET_BYTES = 6 << 20
 PART_BYTES = 6 << 20
 #: Suffixes of a record.
 MOST_RUN = 64
+#: Records of a text whose cover grams are sought at a time.
+CHUNK = 1 << 16
 RECORDS = "bucket int, cover binary, id binary, no binary, place binary, n binary, data binary"
 SPANS = "part int, id binary, no binary, low binary, high binary"
 
@@ -49,6 +51,11 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return mixed(mixed(eight[: len(eight) - 8]) + eight[8:])
 
 
+def hashes_at(data: np.ndarray, places: np.ndarray) -> np.ndarray:
+    eight = words_at(data)
+    return mixed(mixed(eight[places]) + eight[places + 8])
+
+
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each ``width`` neighbours, by doubling."""
     have = 1
@@ -58,16 +65,43 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - have)], x[width - have :]) if have < width else x
 
 
-def runs(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Records of one text: the cover gram's hash, the first suffix and the number of suffixes."""
-    cover = sliding_least(gram_hashes(data), length - GRAM + 1)
+def runs(data: np.ndarray, length: int) -> bytes:
+    """Records of one text, two small numbers each: the number of suffixes, and how far behind the first one the cover gram lies."""
+    grams = gram_hashes(data)
+    cover = sliding_least(grams, length - GRAM + 1)
     new = np.flatnonzero(np.concatenate([[True], cover[1:] != cover[:-1]]))
     n = np.diff(np.append(new, len(cover)))
     if n.max(initial=0) > MOST_RUN:
         pieces = -(-n // MOST_RUN)
         index = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         new, n = np.repeat(new, pieces) + index * MOST_RUN, np.minimum(np.repeat(n, pieces) - index * MOST_RUN, MOST_RUN)
-    return cover[new], new, n
+    windows = np.lib.stride_tricks.sliding_window_view(grams, length - GRAM + 1)
+    behind = np.concatenate([windows[new[low : low + CHUNK]].argmin(axis=1) for low in range(0, len(new), CHUNK)])
+    return np.stack([n, behind], axis=1).astype(place_type(length)).tobytes()
+
+
+def place_type(length: int) -> type:
+    return np.uint8 if length <= 256 else np.uint32
+
+
+def read_runs(data: np.ndarray, stored: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Records of one text: the cover gram's hash, the first suffix and the number of suffixes."""
+    n, behind = np.frombuffer(stored, place_type(length)).reshape(-1, 2).T.astype(np.int64)
+    first = np.cumsum(n) - n
+    return hashes_at(data, first + behind), first, n
+
+
+def with_runs(texts: DataFrame, length: int) -> DataFrame:
+    """The texts (id, no, text) with their records' places, so that no block has to look for them again."""
+    schema = "id bigint, no bigint, text binary, runs binary"
+    fields = arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [runs(np.frombuffer(t.as_buffer(), np.uint8), length) if len(t.as_buffer()) >= length else b"" for t in batch["text"]]
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["no"], batch["text"], pa.array(found, pa.binary())], schema=fields)
+
+    return texts.mapInArrow(run, schema)
 
 
 def gathered(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -99,11 +133,11 @@ def records(texts: DataFrame, length: int, block: int, blocks: int, buckets: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for doc_id, no, text in zip(*(batch[c] for c in ("id", "no", "text"))):
+            for doc_id, no, text, stored in zip(*(batch[c] for c in ("id", "no", "text", "runs"))):
                 raw = np.frombuffer(text.as_buffer(), np.uint8)
                 if len(raw) < length:
                     continue
-                cover, first, n = runs(raw, length)
+                cover, first, n = read_runs(raw, stored.as_py(), length)
                 own = cover % np.uint64(blocks) == block
                 cover, first, n = cover[own], first[own], n[own]
                 bucket = ((cover >> np.uint64(16)) % np.uint64(buckets)).astype(np.int32)
@@ -116,7 +150,7 @@ def records(texts: DataFrame, length: int, block: int, blocks: int, buckets: int
         if held:
             yield pack(held)
 
-    return texts.select("id", "no", "text").mapInArrow(run, RECORDS)
+    return texts.select("id", "no", "text", "runs").mapInArrow(run, RECORDS)
 
 
 def covered(rows: list[dict], length: int) -> tuple[np.ndarray, ...]:
@@ -232,7 +266,7 @@ def remove_repeated(docs: DataFrame, length: int = LENGTH, blocks: int = BLOCKS)
     known = cut_lineage(rows.select("id", "digest", size.cast("bigint").alias("n_bytes"), short).join(least, "digest"), "suffix-ids")
     firsts = known.filter("id = least").select("id", "digest")
     texts = rows.join(firsts, ["id", "digest"], "left_semi").select("id", F.xxhash64("digest").alias("no"), "text")
-    texts = cut_lineage(texts, "suffix-texts")
+    texts = cut_lineage(with_runs(texts, length), "suffix-texts")
     release(spark)
     total = texts.agg(F.sum(F.length("text")).alias("b")).first()["b"] or 0
     buckets, parts = int(max(8, 5 * total // (blocks * BUCKET_BYTES))), int(max(8, total // PART_BYTES)) | 1
