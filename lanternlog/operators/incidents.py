@@ -289,14 +289,17 @@ def build_incidents(tickets: DataFrame, evidence: DataFrame | None = None) -> Da
 def evidence_logs(tickets: DataFrame, logs: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """The newest error, fatal and warning rows of the ticket's service at its opening.
 
-    Rows are numbered per service; a ticket then needs one or two blocks of
-    ``evidence_rows`` numbers, so the join never meets a whole service.
+    Only such rows and the tickets' own are numbered per service, once; a
+    ticket then needs one or two blocks of ``evidence_rows`` numbers, so the
+    join never meets a whole service.
     """
     size = p.evidence_rows
     key = ["tenant_id", "service"]
     fits = F.col("level").isin("ERROR", "FATAL", "WARN")
     rows = logs.select(*key, "ts", "log_seq", "level", "message")
-    numbered = running_counts(rows, key, {"ev_no": fits})
+    others = rows.where(~F.coalesce(fits, F.lit(False))).join(tickets.select("log_seq"), "log_seq", "left_semi")
+    rows = rows.where(fits).unionByName(others)
+    numbered = cut_lineage(running_counts(rows, key, {"ev_no": F.coalesce(fits, F.lit(False))}), "numbered")
     at = numbered.select("log_seq", "ev_no").join(tickets.select("id", *key, "log_seq"), "log_seq")
     asked = at.select(
         "id", *key, F.col("ev_no").alias("upto"),

@@ -229,15 +229,15 @@ def flat_rows(rows: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """Flat log fields (column ``f``: map<string,string>) to canonical rows.
 
     Level names are normalised, defaults fill what is missing, and fields
-    that are not core columns become attributes.
+    that are not core columns become attributes.  A row whose time cannot be
+    read gets the current one and is marked (``bad_time``).
     """
 
     def field(name):
         return F.nullif(F.try_element_at("f", F.lit(name)), F.lit(""))
 
-    rows = rows.withColumn(
-        "ts", F.coalesce(F.try_to_timestamp(F.coalesce(field("@timestamp"), field("timestamp"))), F.current_timestamp())
-    )
+    given = F.coalesce(field("@timestamp"), field("timestamp"))
+    rows = rows.withColumn("ts", F.coalesce(F.try_to_timestamp(given), F.current_timestamp()))
     trace = F.coalesce(field("trace_id"), F.lit(""))
     span = F.coalesce(field("span_id"), F.lit(""))
     tenant = F.coalesce(field("tenant_id"), F.lit(p.default_tenant))
@@ -255,6 +255,7 @@ def flat_rows(rows: DataFrame, p: Params = DEFAULTS) -> DataFrame:
         field("scope_name").alias("scope_name"),
         F.coalesce(field("host_name"), field("host")).alias("host_name"),
         without_keys("f", CORE_NAMES + ["timestamp", "host"]).alias("attrs"),
+        (given.isNotNull() & F.try_to_timestamp(given).isNull()).alias("bad_time"),
     )
 
 

@@ -39,25 +39,31 @@ def _between(df: DataFrame, start: Column | None, end: Column | None) -> DataFra
     return df if end is None else df.where(F.col("ts") <= end)
 
 
-def facets(df: DataFrame, sizes: dict[str, int]) -> DataFrame:
-    """Top values per facet column, by count, in one pass: (facet, value, n, rank)."""
-    names = list(sizes)
+def value_counts(df: DataFrame, names: list[str]) -> DataFrame:
+    """Rows per value of each column, in one pass: (facet, value, n)."""
     grouped = df.groupingSets([[F.col(n)] for n in names], *[F.col(n) for n in names]).agg(
         F.count(F.lit(1)).alias("n"), F.grouping_id().alias("gid")
     )
     # grouping id has the bit of every column that is aggregated away
     all_bits = (1 << len(names)) - 1
-    facet, value, size = None, None, None
+    facet, value = None, None
     for i, name in enumerate(names):
         hit = F.col("gid") == (all_bits ^ (1 << (len(names) - 1 - i)))
         facet = F.when(hit, name) if facet is None else facet.when(hit, name)
         value = F.when(hit, F.col(name).cast("string")) if value is None else value.when(hit, F.col(name).cast("string"))
-        size = F.when(hit, sizes[name]) if size is None else size.when(hit, sizes[name])
-    rows = grouped.select(facet.alias("facet"), value.alias("value"), "n", size.alias("size")).where(
-        F.col("value").isNotNull()
-    )
+    return grouped.select(facet.alias("facet"), value.alias("value"), "n").where(F.col("value").isNotNull())
+
+
+def facets(df: DataFrame, sizes: dict[str, int]) -> DataFrame:
+    """Top values per facet column, by count: (facet, value, n, rank).
+
+    The largest size is a constant, by which Spark limits each facet before the shuffle.
+    """
+    rows = value_counts(df, list(sizes))
+    size = F.coalesce(*[F.when(F.col("facet") == n, k) for n, k in sizes.items()])
     rank = F.row_number().over(W.partitionBy("facet").orderBy(F.desc("n"), "value"))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= F.col("size")).drop("size")
+    rows = rows.withColumn("rank", rank).where(F.col("rank") <= max(sizes.values()))
+    return rows.where(F.col("rank") <= size)
 
 
 def incident_facets(incidents: DataFrame) -> DataFrame:
@@ -125,7 +131,7 @@ def mean_resolve_seconds(incidents: DataFrame) -> DataFrame:
 
 def distribution(logs: DataFrame) -> DataFrame:
     """Rows by level and by service, and the number of traces: (kind, value, n)."""
-    by_value = facets(logs, {"level": 10**9, "service": 10**9}).select(F.col("facet").alias("kind"), "value", "n")
+    by_value = value_counts(logs, ["level", "service"]).withColumnRenamed("facet", "kind")
     traces = logs.agg(F.countDistinct("trace_id").alias("n")).select(
         F.lit("traces").alias("kind"), F.lit("distinct").alias("value"), "n"
     )

@@ -148,7 +148,8 @@ def reach(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """Services reachable from each root along caller -> callee, root excluded.
 
     Breadth first: each round joins only the services found in the round
-    before.  Rounds are written out, so a lost executor repeats one round.
+    before.  A round is written once, so a lost executor repeats one round,
+    and what was found is read from the rounds.
     """
     hops = cut_lineage(edges.select("tenant_id", F.col("caller").alias("svc"), F.col("callee").alias("next")).distinct())
     found = frontier = cut_lineage(roots.select("tenant_id", "root", F.col("root").alias("svc")).distinct())
@@ -157,7 +158,7 @@ def reach(edges: DataFrame, roots: DataFrame) -> DataFrame:
         frontier = cut_lineage(step.join(found, ["tenant_id", "root", "svc"], "left_anti"))
         if frontier.isEmpty():
             break
-        found = cut_lineage(found.unionByName(frontier))
+        found = found.unionByName(frontier)
     return found.where(F.col("svc") != F.col("root"))
 
 

@@ -815,8 +815,8 @@ _BODIES: dict[str, str] = {
       select count(*) as total, true as valid, '' as missing_required, '' as missing_recommended,
         count(*) filter (level in ('VERBOSE', 'TRACE')) as bad_levels, count(*) as readable, count(*) filter (bad_time) as bad_timestamps from flatf""",
     "flat_upload": """
-      select service, case when level = '' then 'INFO' else level end as level, 'dev-local' as tenant_id, count(*) as n,
-        min(epoch) as first_epoch, max(epoch) as last_epoch from flatf where not bad_time group by all""",
+      select service, case when level = '' then 'INFO' else level end as level, 'dev-local' as tenant_id, bad_time, count(*) as n,
+        min(epoch) filter (not bad_time) as first_epoch, max(epoch) filter (not bad_time) as last_epoch from flatf group by all""",
     "schema_check": """
       select unnest(['missing:ts', 'missing:log_id', 'missing:level', 'missing:message', 'missing:service', 'missing:tenant_id', 'value:level', 'range:anomaly_score']) as rule,
         unnest([0, 0, 0, 0, count(*) filter (log_seq % 29 = 0), 0, count(*) filter (log_seq % 17 = 0), count(*) filter (log_seq % 31 = 0)]) as broken,

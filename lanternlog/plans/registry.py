@@ -924,10 +924,10 @@ def validate_logs(spark, sf):
 
 @query
 def flat_upload(spark, sf):
-    """Flat upload rows normalised to canonical rows."""
-    rows = parse.flat_rows(views.flat_fields(spark, sf).where("f['timestamp'] <> 'not a time'"))
-    return rows.groupBy("service", "level", "tenant_id").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.unix_seconds("ts")).alias("first_epoch"), F.max(F.unix_seconds("ts")).alias("last_epoch")
+    """Flat upload rows normalised to canonical rows; those with an unreadable time are counted apart."""
+    rows = parse.flat_rows(views.flat_fields(spark, sf)).withColumn("epoch", F.when(~F.col("bad_time"), F.unix_seconds("ts")))
+    return rows.groupBy("service", "level", "tenant_id", "bad_time").agg(
+        F.count(F.lit(1)).alias("n"), F.min("epoch").alias("first_epoch"), F.max("epoch").alias("last_epoch")
     )
 
 
