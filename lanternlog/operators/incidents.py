@@ -356,7 +356,7 @@ def recent_duplicates(events: DataFrame, incidents: DataFrame, p: Params = DEFAU
     Events and incidents with equal words are first reduced to one text.
     Two texts that share the needed share of words share one of the event
     text's rarest words, so texts are joined on those words only and then
-    checked in full; times are compared for matching texts only.
+    checked in full; times meet in an as-of join of matching texts.
     """
     key = ["tenant_id", "service"]
     width = p.ticket_dedup_seconds
@@ -395,26 +395,13 @@ def recent_duplicates(events: DataFrame, incidents: DataFrame, p: Params = DEFAU
         )
         .select(*key, "ask_text", "held_text")
     )
-    # incidents of a matching text, the newest per second, then per event
-    second = F.unix_seconds("created_at")
-    held_rows = held.groupBy(*key, "held_text", second.alias("held_sec")).agg(
-        F.max(F.struct("created_at", "id")).alias("newest")
-    )
-    offered = (
-        pairs.join(held_rows, [*key, "held_text"])
-        .groupBy(*key, "ask_text", "held_sec")
-        .agg(F.max("newest").alias("newest"))
-        .withColumn("slot", F.floor(F.col("held_sec") / width))
-    )
-    slots = asked.select(
-        *key, "event_id", "ts", "ask_text",
-        F.explode(F.sequence(F.floor((F.unix_seconds("ts") - width) / width), F.floor(F.unix_seconds("ts") / width))).alias("slot"),
-    )
-    hits = slots.join(offered, [*key, "ask_text", "slot"]).where(
-        (F.col("newest.created_at") <= F.col("ts"))
-        & (F.col("newest.created_at") >= F.col("ts") - F.make_dt_interval(secs=F.lit(width)))
-    )
-    return hits.groupBy(*key, "event_id", "ts").agg(F.max("newest").alias("hit")).select(
+    # the newest incident of a matching text at or before the event, if it is new enough
+    held_rows = held.groupBy(*key, "held_text", "created_at").agg(F.max("id").alias("id"))
+    offered = pairs.join(held_rows, [*key, "held_text"]).groupBy(*key, "ask_text", "created_at").agg(F.max("id").alias("id"))
+    events_at = asked.select(*key, "event_id", "ts", "ask_text")
+    hits = asof(events_at, offered, [*key, "ask_text"], "ts", "created_at", ["created_at", "id"], "hit", LOOKUP_SECONDS)
+    since = F.col("ts") - F.make_dt_interval(secs=F.lit(width))
+    return hits.where(F.col("hit.created_at") >= since).select(
         *key, "event_id", "ts", F.col("hit.id").alias("incident_id"), F.col("hit.created_at").alias("created_at")
     )
 
