@@ -24,6 +24,8 @@ from .common import cut_lineage, md5_number, word_count
 SHARD_WORDS = 1 << 17
 MOST_SHARDS = 1 << 16
 BLOCK_WORDS = 8
+#: A word with the white space before it.
+SPACED_WORD = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
 
 
 def source_targets(per_source: DataFrame, weights: Sequence[int], share: float, most: int) -> DataFrame:
@@ -139,3 +141,24 @@ def mix(
     laid = laid.withColumns({"from": low - F.col("start"), "to": high - F.col("start"), "head": head})
     laid = laid.withColumn("taken", F.col("copies") * F.col("size") + F.col("to") - F.col("from") + F.col("head"))
     return laid.select(*carried, "doc_id", "size", "source", "source_size", "target", "taken", "copies", "from", "to", "head")
+
+
+def taken_texts(docs: DataFrame, plan: DataFrame, row: str) -> DataFrame:
+    """The rows of ``docs`` as often as ``plan`` (of ``mix``, with ``row``) takes them, each with the text it takes.
+
+    A part of a text keeps the white space between its words; what lies before its first word goes, unless the part
+    begins with the text.
+    """
+    chosen = plan.filter("taken > 0").select(row, "size", "copies", "from", "to", "head")
+    rows = docs.join(chosen.withColumnsRenamed({c: f"_{c}" for c in ("size", "copies", "from", "to", "head")}), row)
+    whole = F.struct(F.lit(0).cast("bigint").alias("low"), F.col("_size").alias("high"))
+    part = F.struct(F.col("_from").alias("low"), F.col("_to").alias("high"))
+    head = F.struct(F.lit(0).cast("bigint").alias("low"), F.col("_head").alias("high"))
+    takes = F.concat(F.array_repeat(whole, F.col("_copies").cast("int")), F.array(part, head))
+    rows = rows.withColumn("_take", F.explode(F.filter(takes, lambda x: x["high"] > x["low"])))
+    low, high = F.col("_take.low"), F.col("_take.high")
+    words = F.slice(F.regexp_extract_all("text", F.lit(SPACED_WORD), F.lit(0)), (low + 1).cast("int"), (high - low).cast("int"))
+    cut = F.array_join(words, "")
+    cut = F.when(low > 0, F.regexp_replace(cut, r"^[\x20\x09-\x0D]+", "")).otherwise(cut)
+    text = F.when((low == 0) & (high == F.col("_size")), F.col("text")).otherwise(cut)
+    return rows.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns])
