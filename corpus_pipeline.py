@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lanternlog.llm import classifier, line_dedup, mixing, near_dedup, packing
-from lanternlog.llm.common import WORD, cut_lineage
+from lanternlog.llm.common import cut_lineage
 from lanternlog.llm.queries import VOCABULARY
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -46,16 +46,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: whole copies, and the part of the words where a run ends in one."""
     docs = numbered(docs)
-    plan = mixing.mix(docs, row="_row").filter("taken > 0").select("_row", "size", "copies", "from", "to", "head")
-    rows = docs.join(plan, "_row")
-    whole = F.struct(F.lit(0).cast("bigint").alias("low"), F.col("size").alias("high"))
-    part = F.struct(F.col("from").alias("low"), F.col("to").alias("high"))
-    head = F.struct(F.lit(0).cast("bigint").alias("low"), F.col("head").alias("high"))
-    takes = F.concat(F.array_repeat(whole, F.col("copies").cast("int")), F.array(part, head))
-    rows = rows.withColumn("_take", F.explode(F.filter(takes, lambda x: x["high"] > x["low"])))
-    words = F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), (F.col("_take.low") + 1).cast("int"), (F.col("_take.high") - F.col("_take.low")).cast("int"))
-    text = F.when((F.col("_take.low") == 0) & (F.col("_take.high") == F.col("size")), F.col("text")).otherwise(F.array_join(words, " "))
-    rows = rows.select("doc_id", text.alias("text"), "lang", "source")
+    rows = mixing.taken_texts(docs, mixing.mix(docs, row="_row"), "_row")
     return rows.withColumn("n_chars", F.char_length("text").cast("bigint")).select(*COLUMNS)
 
 
