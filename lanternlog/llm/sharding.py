@@ -15,7 +15,8 @@ gives the rest. Groups of equal rows are spread again before they are written ou
 Defined results: a null text counts as no bytes (size 1, CRC of nothing, which is 0). A null key is a key of its own, so
 all its rows share one shard. Rows with equal key and text get different slots; rows are ordered inside a shard by
 block, key (null first), size and CRC, so reruns agree. An empty table gives an empty table. Other columns of
-any name are not read by ``manifest`` and pass through ``with_shard`` and ``write_shards``.
+any name are not read by ``manifest`` and pass through ``with_shard`` and ``write_shards``; only one that has the name asked
+for the shard is replaced by it.
 """
 
 from __future__ import annotations
