@@ -60,6 +60,26 @@ def test_recent_duplicates_equal_brute_force(spark):
     assert got == expected and expected
 
 
+def test_an_incident_is_offered_once_to_event_texts_that_match_alike(spark, monkeypatch):
+    """Twenty event texts that repeat the same incidents look them up as one, however many words of their own incidents have."""
+    at = datetime(2024, 1, 1)
+    held = [(f"I{i:02d}", "t", "s", "identified", "no words in common", f"connection refused to host order {1000 + i}", at + timedelta(seconds=i)) for i in range(30)]
+    stored = spark.createDataFrame(held, "id string, tenant_id string, service string, state string, title string, description string, created_at timestamp")
+    rows = [(f"E{i:02d}", "t", "s", at + timedelta(seconds=i + 5), f"connection refused to host u{i}") for i in range(20)]
+    ev = spark.createDataFrame(rows, "event_id string, tenant_id string, service string, ts timestamp, text string")
+    offered = []
+
+    def counted(left, right, *rest):
+        offered.append(right.count())
+        return asof(left, right, *rest)
+
+    asof = inc.asof
+    monkeypatch.setattr(inc, "asof", counted)
+    got = {r.event_id: r.incident_id for r in inc.recent_duplicates(ev, stored).collect()}
+    assert got == {f"E{i:02d}": f"I{i + 5:02d}" for i in range(20)}
+    assert offered == [30]
+
+
 def test_similar_resolved_equal_brute_force(spark):
     held, df = store(spark, 120)
     asked = df.select(F.col("id").alias("ask_id"), "tenant_id", "service", F.col("title").alias("text"))
