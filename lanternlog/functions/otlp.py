@@ -13,74 +13,97 @@ ANY_VALUE = (
     "struct<stringValue:string,intValue:string,doubleValue:string,boolValue:string,"
     "arrayValue:string,kvlistValue:string>"
 )
+LISTED, KEYED = "struct<values:array<string>>", "struct<values:array<struct<key:string,value:string>>>"
+#: The same value with the parts of an array or list already apart.
+PARTED_VALUE = f"struct<stringValue:string,intValue:string,doubleValue:string,boolValue:string,arrayValue:{LISTED},kvlistValue:{KEYED}>"
 ATTRIBUTES = f"array<struct<key:string,value:{ANY_VALUE}>>"
+
+
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), F.lit(1))
+
+
 def scalar_text(value: Column) -> Column:
     return F.coalesce(value["stringValue"], value["intValue"], value["doubleValue"], value["boolValue"])
 
 
 def quoted(text: Column) -> Column:
     """A text as a JSON string; null stays null."""
-    listed = F.when(text.isNotNull(), F.to_json(F.array(text)))
-    return F.substring(listed, F.lit(2), F.length(listed) - 2)
-
+    return F.when(text.isNotNull(), bound(F.to_json(F.array(text)), lambda listed: F.substring(listed, F.lit(2), F.length(listed) - 2)))
 
-def _done(text: Column) -> Column:
-    """A piece of output."""
-    return F.struct(text.alias("text"), F.lit(None).cast("string").alias("wrapped"))
 
+def _piece(text: Column, wrapped: Column | None = None) -> Column:
+    """A piece of output, and the wrapped value that follows it and is still to be opened."""
+    return F.struct(text.alias("text"), (F.lit(None).cast("string") if wrapped is None else wrapped).alias("wrapped"))
 
-def _pending(json: Column) -> Column:
-    """A wrapped value that is still to be opened; a missing one is null."""
-    return F.struct(F.when(json.isNull(), "null").alias("text"), json.alias("wrapped"))
 
-
-def _opened(value: Column) -> Column:
-    """One level of a value: its plain text, or brackets around its wrapped parts."""
+def _opened(value: Column, items: Column, pairs: Column, before: Column) -> Column:
+    """One level of a value behind the text ``before``: its plain text, or brackets around its wrapped parts."""
     plain = F.coalesce(quoted(value["stringValue"]), value["intValue"], value["doubleValue"], value["boolValue"])
-    items = F.from_json(value["arrayValue"], "struct<values:array<string>>")["values"]
-    pairs = F.from_json(value["kvlistValue"], "struct<values:array<struct<key:string,value:string>>>")["values"]
 
-    def comma(i: Column) -> Column:
-        return F.when(i > 0, ",").otherwise("")
+    def part(i: Column, begin: str, name: Column, wrapped: Column) -> Column:
+        opening = F.when(i == 0, F.concat(before, F.lit(begin))).otherwise(",")
+        return _piece(F.concat(opening, name, F.when(wrapped.isNull(), "null").otherwise("")), wrapped)
 
-    listed = F.flatten(F.transform(items, lambda v, i: F.array(_done(comma(i)), _pending(v))))
-    keyed = F.flatten(
-        F.transform(
-            pairs,
-            lambda kv, i: F.array(_done(F.concat(comma(i), F.coalesce(quoted(kv["key"]), F.lit('""')), F.lit(":"))), _pending(kv["value"])),
+    def around(begin: str, parts: Column, end: str) -> Column:
+        return bound(
+            parts,
+            lambda x: F.when(F.size(x) > 0, F.concat(x, F.array(_piece(F.lit(end))))).otherwise(
+                F.array(_piece(F.concat(before, F.lit(begin + end))))
+            ),
         )
-    )
-
-    def around(begin: str, inner: Column, end: str) -> Column:
-        return F.concat(F.array(_done(F.lit(begin))), F.coalesce(inner, F.array().cast("array<struct<text:string,wrapped:string>>")), F.array(_done(F.lit(end))))
 
+    listed = F.transform(items, lambda v, i: part(i, "[", F.lit(""), v))
+    keyed = F.transform(
+        pairs, lambda kv, i: part(i, "{", F.concat(F.coalesce(quoted(kv["key"]), F.lit('""')), F.lit(":")), kv["value"])
+    )
     return (
-        F.when(plain.isNotNull(), F.array(_done(plain)))
+        F.when(scalar_text(value).isNotNull(), F.array(_piece(F.concat(before, plain))))
         .when(value["arrayValue"].isNotNull(), around("[", listed, "]"))
         .when(value["kvlistValue"].isNotNull(), around("{", keyed, "}"))
-        .otherwise(F.array(_done(F.lit("null"))))
+        .otherwise(F.array(_piece(F.concat(before, F.lit("null")))))
     )
 
 
+def _opened_raw(value: Column, before: Column) -> Column:
+    """One level of a value whose array or list is still JSON text."""
+    return _opened(value, F.from_json(value["arrayValue"], LISTED)["values"], F.from_json(value["kvlistValue"], KEYED)["values"], before)
+
+
+def _opened_json(json: Column, before: Column) -> Column:
+    """One level of a value as JSON text, read once; a value that shows nothing, an odd one perhaps, is read again as its plain texts."""
+
+    def parted(v: Column) -> Column:
+        shown = F.coalesce(scalar_text(v).isNotNull() | v["arrayValue"].isNotNull() | v["kvlistValue"].isNotNull(), F.lit(False))
+        again = bound(F.from_json(json, ANY_VALUE), lambda raw: _opened_raw(raw, before))
+        return F.when(shown, _opened(v, v["arrayValue"]["values"], v["kvlistValue"]["values"], before)).otherwise(again)
+
+    return bound(F.from_json(json, PARTED_VALUE), parted)
+
+
 def nested_text(value: Column) -> Column:
     """Arrays and key-value lists as plain JSON text, at any depth.
 
-    The value is a list of finished pieces and of wrapped values.  Each pass
-    opens the wrapped ones by a level, and the passes end when none is left; a
-    value has at most as many levels as its text has wrappers.
+    The value is a list of finished pieces, each with the wrapped value that
+    follows it, if any.  Each pass opens the wrapped ones by a level, each
+    read once, and the passes end when none is left; a value has at most as
+    many levels as its text has wrappers.
     """
     raw = F.coalesce(value["arrayValue"], value["kvlistValue"])
     levels = F.regexp_count(raw, F.lit('"(arrayValue|kvlistValue)"')) + 2
 
-    def deeper(pieces: Column, _: Column) -> Column:
-        opened = F.transform(
-            pieces,
-            lambda p: F.when(p["wrapped"].isNull(), F.array(p)).otherwise(_opened(F.from_json(p["wrapped"], ANY_VALUE))),
-        )
-        return F.when(F.exists(pieces, lambda p: p["wrapped"].isNotNull()), F.flatten(opened)).otherwise(pieces)
+    def state(pieces: Column) -> Column:
+        return bound(pieces, lambda ps: F.struct(ps.alias("pieces"), F.exists(ps, lambda p: p["wrapped"].isNotNull()).alias("open")))
+
+    def opened(p: Column) -> Column:
+        return F.when(p["wrapped"].isNull(), F.array(p)).otherwise(_opened_json(p["wrapped"], p["text"]))
 
-    pieces = F.aggregate(F.sequence(F.lit(1), levels), _opened(value), deeper)
-    return F.when(raw.isNotNull(), F.array_join(F.transform(pieces, lambda p: p["text"]), ""))
+    def deeper(at: Column, _: Column) -> Column:
+        return F.when(at["open"], state(F.flatten(F.transform(at["pieces"], opened)))).otherwise(at)
+
+    last = F.aggregate(F.sequence(F.lit(1), levels), state(_opened_raw(value, F.lit(""))), deeper)
+    return F.when(raw.isNotNull(), F.array_join(F.transform(last["pieces"], lambda p: p["text"]), ""))
 
 
 def any_value(value: Column) -> Column:
@@ -115,12 +138,14 @@ def flat_names(values: Column, prefix: str = "") -> Column:
         return F.concat(F.lit(prefix), F.replace(entry["key"], F.lit("."), F.lit("_")))
 
     def as_map(entries: Column) -> Column:
-        names = F.array_distinct(F.transform(entries, lambda e: e["key"]))
-        last = F.transform(names, lambda n: F.element_at(F.filter(entries, lambda e: e["key"] == n), -1))
-        return F.map_from_entries(F.when(F.size(names) == F.size(entries), entries).otherwise(last))
+        def last(names: Column) -> Column:
+            found = F.transform(names, lambda n: F.element_at(F.filter(entries, lambda e: e["key"] == n), -1))
+            return F.when(F.size(names) == F.size(entries), entries).otherwise(found)
+
+        return F.map_from_entries(bound(F.array_distinct(F.transform(entries, lambda e: e["key"])), last))
 
     renamed = F.transform(F.map_entries(values), lambda e: F.struct(name(e).alias("key"), e["value"].alias("value")))
-    return F.get(F.transform(F.array(renamed), as_map), F.lit(0))
+    return bound(renamed, as_map)
 
 
 def without_keys(values: Column, names: list[str]) -> Column:

@@ -120,6 +120,19 @@ def test_nested_values_at_any_depth(spark):
     assert {r.i: json.loads(r.text) for r in got} == dict(enumerate(values))
 
 
+def test_each_level_of_a_value_is_read_once(spark, capsys):
+    """The JSON of a level is read in few places of the plan, not at every use of one of its fields; odd values stay as they were."""
+    odd = ['{"arrayValue":"x"}', '{"arrayValue":{}}', '{"kvlistValue":{"values":["a"]}}', '{"stringValue":null}', "5", "null", '{"other":1}']
+    table = spark.createDataFrame([('{"values":[%s]}' % ",".join(odd),)], "j string")
+    none = F.lit(None).cast("string")
+    value = F.struct(none.alias("stringValue"), none.alias("intValue"), none.alias("doubleValue"), none.alias("boolValue"), F.col("j").alias("arrayValue"), none.alias("kvlistValue"))
+    shown = table.select(value.alias("v")).select(otlp.any_value(F.col("v")).alias("t"))
+    shown.explain(True)
+    analyzed = capsys.readouterr().out.split("== Analyzed Logical Plan ==")[1].split("== Optimized")[0]
+    assert 0 < analyzed.count("from_json(") <= 15
+    assert shown.head().t == "[[],[],{},null,null,null,null]"
+
+
 def test_detectors_run_on_parsed_rows(spark, sf, tmp_path):
     """The README's example: messages in text files, parsed, scored, correlated; also what stateful detectors need."""
     from lanternlog.operators import composite, features, incidents, rule_score, trace
