@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lanternlog.functions import fixed
 from lanternlog.functions.ids import log_id
-from lanternlog.functions.otlp import ATTRIBUTES, attribute, attribute_map, flat_names, without_keys
+from lanternlog.functions.otlp import ATTRIBUTES, attribute, attribute_map, bound, flat_names, without_keys
 from lanternlog.functions.text import normalize_level
 from lanternlog.params import DEFAULTS, Params
 
@@ -222,7 +222,10 @@ def body_text(body: Column, message: Column) -> Column:
 
 def merge_attributes(first: Column, second: Column) -> Column:
     """Both maps; of equal keys the first one's value stays."""
-    return F.map_concat(first, F.map_filter(second, lambda k, v: ~F.array_contains(F.map_keys(first), k)))
+    return bound(
+        F.struct(first.alias("first"), F.map_keys(first).alias("names"), second.alias("second")),
+        lambda m: F.map_concat(m["first"], F.map_filter(m["second"], lambda k, v: ~F.array_contains(m["names"], k))),
+    )
 
 
 def flat_rows(rows: DataFrame, p: Params = DEFAULTS) -> DataFrame:

@@ -138,3 +138,12 @@ def test_filters_reach_the_scan(spark, tmp_path):
 
 def test_tenant_filter(spark):
     assert tenancy.for_tenant(logs(spark, [0]), "other").count() == 0
+
+
+def test_costly_rows_are_dealt_to_more_tasks_as_the_table_grows(spark):
+    from lanternlog.sources.logview import spread
+
+    for rows in (1000, 4000):
+        dealt = spread(spark.range(0, rows, 1, 1), "id", 100)
+        assert dealt.rdd.getNumPartitions() == rows // 100 and dealt.count() == rows
+    assert spread(spark.range(0, 10, 1, 1), "id", 100).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
