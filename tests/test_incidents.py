@@ -94,6 +94,24 @@ def test_similar_resolved_equal_brute_force(spark):
         assert got.get(a[0], []) == [i for _, i in sorted(fits, reverse=True)[:3]]
 
 
+def test_similar_resolved_takes_a_common_word_in_parts(spark, monkeypatch):
+    """Tasks follow the number of asked words, a word of all rows is joined in parts, and the answers stay the same."""
+    at = datetime(2024, 1, 1)
+    rows = [(f"I{i:03d}", "t", "s", "resolved" if i % 2 else "identified", "disk", f"disk full n{i}", at + timedelta(seconds=i)) for i in range(60)]
+    df = spark.createDataFrame(rows, "id string, tenant_id string, service string, state string, title string, description string, created_at timestamp")
+    df = df.withColumn("root_cause", F.lit(None).cast("string"))
+    asked = df.select(F.col("id").alias("ask_id"), "tenant_id", "service", F.col("description").alias("text"))
+    monkeypatch.setattr(inc, "WORD_ROWS", 7)
+    monkeypatch.setattr(inc, "WORDS_A_TASK", 10)
+    got = inc.similar_resolved(asked, df)
+    assert got.rdd.getNumPartitions() == 18
+    newest = ["I059", "I057", "I055", "I053"]
+    answers = {}
+    for r in got.orderBy("rank").collect():
+        answers.setdefault(r.ask_id, []).append(r.similar_id)
+    assert answers == {r[0]: [i for i in newest if i != r[0]][:3] for r in rows}
+
+
 def test_priority_matrix(spark):
     df = spark.createDataFrame([("critical", "medium"), ("high", "low"), ("low", "low"), ("odd", "high")], "s string, u string")
     assert [r.p for r in df.select(inc.priority(F.col("s"), F.col("u")).alias("p")).collect()] == ["P1", "P3", "P5", "P3"]
