@@ -70,7 +70,11 @@ def with_route(raw: DataFrame) -> DataFrame:
 
 
 def _records(p_fields: Column) -> Column:
-    """Log records of a message as one array; a message without any readable form gives one empty record."""
+    """Log records of a message as one array; a message without any readable form gives one empty record.
+
+    The route is a field of the records: a filter on it then stays behind the
+    explode, where it would else make each message be written and read anew.
+    """
     m = F.col("m")
     none = F.lit(None).cast("string")
 
@@ -80,7 +84,7 @@ def _records(p_fields: Column) -> Column:
             r["observedTimeUnixNano"].alias("observed"), r["severityText"].alias("severity"), r["body"].alias("body"),
             r["attributes"].alias("attributes"), r["traceId"].alias("trace_id"), r["spanId"].alias("span_id"),
             text_time.alias("text_time"), service.alias("field_service"), message.alias("field_message"),
-            fields.alias("fields"),
+            fields.alias("fields"), F.col("route").alias("route"),
         )
 
     empty = F.array().cast(f"array<{RECORD}>")
@@ -133,9 +137,9 @@ def parsed_rows(raw: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """
     fields = F.from_json("value", "map<string,string>")
     order = [c for c in ("partition", "offset") if c in raw.columns]
-    rows = with_route(raw).select("value", "route", *order, F.posexplode(_records(fields)).alias("pos", "r"))
+    rows = with_route(raw).select("value", *order, F.posexplode(_records(fields)).alias("pos", "r"))
     rows = rows.select(
-        "value", "route", "pos", arrival_number(order).alias("log_seq"), "r.*",
+        "value", "pos", arrival_number(order).alias("log_seq"), "r.*",
         attribute_map(F.col("r.res")).alias("ra"), attribute_map(F.col("r.attributes")).alias("la"),
     )
 

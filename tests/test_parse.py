@@ -133,6 +133,17 @@ def test_each_level_of_a_value_is_read_once(spark, capsys):
     assert shown.head().t == "[[],[],{},null,null,null,null]"
 
 
+def test_good_rows_are_told_without_reading_messages_anew(spark, capsys):
+    """No filter of the plan holds the reading of a message; each is read where its records come from."""
+    messages = raw(spark, batch([{"body": {"stringValue": "a"}}], []), "{bad", {"x": 1}).withColumn("offset", F.length("value").cast("long"))
+    rows = ps.good_rows(ps.parsed_rows(messages))
+    rows.explain(True)
+    plan = capsys.readouterr().out.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+    filters = [line for line in plan.split("\n") if "Filter " in line]
+    assert filters and not any("from_json" in line for line in filters)
+    assert [r.message for r in rows.collect()] == ["a"]
+
+
 def test_detectors_run_on_parsed_rows(spark, sf, tmp_path):
     """The README's example: messages in text files, parsed, scored, correlated; also what stateful detectors need."""
     from lanternlog.operators import composite, features, incidents, rule_score, trace
