@@ -24,8 +24,8 @@ def rule_scores(logs: DataFrame, threshold: float | None = None) -> DataFrame:
     message = F.coalesce(F.col("message"), F.lit(""))
     level_type = _by_level(level, 2, "unknown")
     level_score = _by_level(level, 1, 0.0)
-    critical = message.rlike(fixed.RULE_CRITICAL)
-    error = message.rlike(fixed.RULE_ERROR)
+    pattern = F.when(message.rlike(fixed.RULE_CRITICAL), 2).when(message.rlike(fixed.RULE_ERROR), 1).otherwise(0)
+    critical, error = F.col("_pattern") == 2, F.col("_pattern") == 1
     pattern_score = (
         F.when(critical, F.lit(fixed.RULE_CRITICAL_SCORE)).when(error, F.lit(fixed.RULE_ERROR_SCORE)).otherwise(F.lit(0.0))
     )
@@ -47,7 +47,11 @@ def rule_scores(logs: DataFrame, threshold: float | None = None) -> DataFrame:
     if threshold is not None:
         # most rows cannot reach the threshold by their level; no pattern is tried on them
         best = level_score + F.lit(fixed.RULE_CRITICAL_SCORE + feature_limit + 1e-9)
-        rows = rows.where((best >= threshold) & (level_score + pattern_score + features >= threshold))
+        rows = rows.where(best >= threshold)
+    # a generated column: the optimizer would copy a plain one, and its patterns, to every place of use
+    rows = rows.select("*", F.inline(F.array(F.struct(pattern.alias("_pattern")))))
+    if threshold is not None:
+        rows = rows.where(level_score + pattern_score + features >= threshold)
     return rows.withColumns(
         {
             "severity_score": level_score,
@@ -56,7 +60,7 @@ def rule_scores(logs: DataFrame, threshold: float | None = None) -> DataFrame:
             "anomaly_type": anomaly_type,
             "detection_mode": F.when((level == "FATAL") | critical, "immediate").otherwise("windowed"),
         }
-    ).withColumn("raw_score", F.col("severity_score") + F.col("pattern_score") + F.col("ml_score"))
+    ).withColumn("raw_score", F.col("severity_score") + F.col("pattern_score") + F.col("ml_score")).drop("_pattern")
 
 
 def rule_score(logs: DataFrame, p: Params = DEFAULTS) -> DataFrame:

@@ -1,10 +1,12 @@
 import random
 from datetime import datetime, timedelta, timezone
 
+import pytest
 from pyspark.sql import functions as F
 
 from lanternlog.functions.text import query_tokens
 from lanternlog.operators import incidents as inc, lifecycle as lc, reports
+from lanternlog.operators.rule_score import rule_score
 
 T0 = 1704067200
 
@@ -80,6 +82,57 @@ def test_an_incident_is_offered_once_to_event_texts_that_match_alike(spark, monk
     assert offered == [30]
 
 
+def texts_with_own_words(n, seed):
+    random.seed(seed)
+    words = ["refused", "host", "disk", "gate"]
+    return [(" ".join(random.sample(words, 2) + [f"u{random.randrange(12)}" for _ in range(random.randrange(3))]), T0 + random.randrange(3600)) for _ in range(n)]
+
+
+@pytest.mark.parametrize("room", [0, 1, 10**9])
+def test_recent_duplicates_are_the_same_however_words_are_split(spark, monkeypatch, room):
+    """All words in cores, some listed as rare, all of them rare; an event row that comes twice is answered twice."""
+    monkeypatch.setattr(inc, "PAIRS_A_WORD", room)
+    held = [(f"I{i:03d}", "t", "s", "identified", "no title" if i % 2 else text, text if i % 2 else "", sec) for i, (text, sec) in enumerate(texts_with_own_words(120, 1))]
+    asked = [(f"E{i:03d}", "t", "s", sec, text) for i, (text, sec) in enumerate(texts_with_own_words(80, 2))]
+    stored = spark.createDataFrame(held, "id string, tenant_id string, service string, state string, title string, description string, sec bigint").withColumn("created_at", F.timestamp_seconds("sec"))
+    ev = spark.createDataFrame(asked + asked[:20], "event_id string, tenant_id string, service string, sec bigint, text string").withColumn("ts", F.timestamp_seconds("sec"))
+    expected = []
+    for r in asked + asked[:20]:
+        q = set(r[4].split())
+        fits = [(h[6], h[0]) for h in held if r[3] - 900 <= h[6] <= r[3] and max(len(q & set(h[4].split())), len(q & set(h[5].split()))) >= max(int(len(q) * 0.6), 1)]
+        expected += [(r[0], max(fits)[1])] if fits else []
+    assert sorted((r.event_id, r.incident_id) for r in inc.recent_duplicates(ev, stored).collect()) == sorted(expected)
+    assert 40 < len(expected) < 100
+
+
+def test_texts_with_a_word_of_their_own_are_not_paired_one_by_one(spark, monkeypatch):
+    """Forty hosts in event texts and in incidents: what matches by the words around the host is one pair, not 1,600."""
+    at = datetime(2024, 1, 1)
+    held = [(f"I{i:02d}", "t", "s", "identified", "title", f"connection refused to host u{i} port of order", at + timedelta(seconds=i)) for i in range(40)]
+    stored = spark.createDataFrame(held, "id string, tenant_id string, service string, state string, title string, description string, created_at timestamp")
+    rows = [(f"E{i:02d}", "t", "s", at + timedelta(seconds=40 + i), f"connection refused to host u{i} port of order") for i in range(40)]
+    ev = spark.createDataFrame(rows, "event_id string, tenant_id string, service string, ts timestamp, text string")
+    pairs = []
+
+    def counted(df, name="step"):
+        df = cut_lineage(df, name)
+        if name == "text-pairs":
+            pairs.append(df.count())
+        return df
+
+    cut_lineage = inc.cut_lineage
+    monkeypatch.setattr(inc, "cut_lineage", counted)
+    got = {r.event_id: r.incident_id for r in inc.recent_duplicates(ev, stored).collect()}
+    assert got == {f"E{i:02d}": "I39" for i in range(40)}
+    assert pairs == [1]
+
+
+def test_a_rule_tries_its_patterns_once_on_a_row(spark):
+    logs = spark.createDataFrame([(datetime(2024, 1, 1), 1, "t", "s", "ERROR", "heap space")], "ts timestamp, log_seq bigint, tenant_id string, service string, level string, message string")
+    plan = rule_score(logs).select("anomaly_type", "anomaly_score", "severity", "detection_mode")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("|heap space|") == 1
+
+
 def test_similar_resolved_equal_brute_force(spark):
     held, df = store(spark, 120)
     asked = df.select(F.col("id").alias("ask_id"), "tenant_id", "service", F.col("title").alias("text"))
